@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.column import Column
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows of one Arrow batch handed to Python: texts can be long, so batches are small.
 BATCH_ROWS = 512
@@ -51,3 +55,22 @@ def crc_mod(col: str | Column, n: int) -> Column:
 def text_of(col: str = "text") -> Column:
     """The text, a null one as the empty string."""
     return F.coalesce(F.col(col), F.lit(""))
+
+
+def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str | T.StructType) -> DataFrame:
+    """df through a Python function on batches of columns.
+
+    make() is called once in each task and returns the function: a dict of lists (nulls are None, whatever the type) to a dict
+    of lists or arrays of the columns of schema. Batches without rows give nothing.
+    """
+    kinds = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(kinds)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = make()
+        for batch in batches:
+            if batch.num_rows:
+                got = step({n: c.to_pylist() for n, c in zip(batch.schema.names, batch.columns, strict=True)})
+                yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in arrow], schema=arrow)
+
+    return df.mapInArrow(scan, kinds)

@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table, tune
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    tune(spark)
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprint import fingerprints
 
@@ -28,8 +35,15 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).drop("row_no")
 
 
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_output import materialise
+
+    tune(spark)
+    return materialise(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_fingerprints, op8_license_scan, op9_exact_dedup)}
+    return {f.__name__: f for f in (op5_best_fit_packing, op7_fingerprints, op8_license_scan, op9_exact_dedup, op10_token_output)}
 
 
 def oracle_sql() -> dict[str, str]:
