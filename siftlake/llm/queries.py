@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table, tune
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_of_documents
+
+    tune(spark)
+    return quality_of_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -16,6 +23,13 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import language_of_documents
+
+    tune(spark)
+    return language_of_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprint import fingerprints
 
@@ -43,7 +57,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_best_fit_packing, op7_fingerprints, op8_license_scan, op9_exact_dedup, op10_token_output)}
+    return {f.__name__: f for f in (op2_quality_classifier, op5_best_fit_packing, op6_language_id, op7_fingerprints, op8_license_scan, op9_exact_dedup, op10_token_output)}
 
 
 def oracle_sql() -> dict[str, str]:
