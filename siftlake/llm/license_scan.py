@@ -16,15 +16,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from .common import text_of
+from .common import text_of, written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same on text in which A-Z have not been lowered.
+ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The characters beyond ASCII whose lower case has ASCII letters: for texts without them, lower() does to words what lowering A-Z
+#: does, as far as ASCII words go, and is much faster.
+ODD = "[\u0130\u212a]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GRAM = 2
 #: Diagonals no further apart than this many words are merged: a word more or less in a notice.
 DRIFT = 3
-#: Share of a notice's words that must stand in place.
-COVER = 0.7
+#: Of so many words of a notice one may be missing or changed.
+PER_MISS = 8
 
 
 @dataclass(frozen=True)
@@ -57,7 +62,8 @@ TEMPLATES = (
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))
+    lowered = F.when(text.rlike(ODD), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
+    return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
 
 
 def template_grams(spark: SparkSession, templates: Sequence[Template]) -> DataFrame:
@@ -87,11 +93,14 @@ def license_spans(docs: DataFrame, templates: Sequence[Template] = TEMPLATES) ->
     hits = hits.select("row_no", "t", "label", "base", "twords", "tpos", "pos", diagonal.alias("diagonal"), beside.alias("beside"))
     keys = ["row_no", "t", "label", "base", "twords", "diagonal"]
     lines = hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("votes"), F.first("beside").alias("beside"))
+    # A phrase needs every vote of its diagonal, a notice more than a chance pair of words.
+    enough = F.when(F.col("base"), F.size("twords") - GRAM + 1).otherwise(F.least(F.lit(2), F.size("twords") - GRAM + 1))
+    lines = lines.filter(F.col("votes") >= enough)
     # The words in place on this diagonal, by their place in the template.
     own = F.slice(F.col("twords"), 1 - F.least("diagonal", F.lit(0)), F.size("twords"))
     same = F.zip_with("beside", own, lambda a, b: a == b)
     hit_at = F.filter(F.transform(same, lambda x, i: F.when(x, i - F.least(F.col("diagonal"), F.lit(0)))), lambda i: i.isNotNull())
-    lines = lines.withColumn("at", hit_at)
+    lines = written(lines.select(*keys, hit_at.alias("at")), "diagonals")
     exact = lines.filter("base").filter(F.size("at") == F.size("twords")).select("row_no", "label", "base", F.col("diagonal").alias("start"), (F.col("diagonal") + F.size("twords")).alias("stop"), F.lit(1.0).alias("cover"))
     # A notice with a word more or less lies on neighbouring diagonals: those are merged and their words united.
     by = Window.partitionBy("row_no", "t").orderBy("diagonal")
@@ -101,7 +110,8 @@ def license_spans(docs: DataFrame, templates: Sequence[Template] = TEMPLATES) ->
     merged = notices.filter(F.size("at") > 0).groupBy("row_no", "label", "base", "t", "span", "twords").agg(
         F.min(first).alias("start"), F.max(last).alias("stop"), F.size(F.array_distinct(F.flatten(F.collect_set("at")))).alias("n"))
     # Each place of a template counts once, so a cover is never over 1.
-    merged = merged.withColumn("cover", F.col("n") / F.size("twords")).filter(F.col("cover") >= COVER)
+    full = F.size("twords")
+    merged = merged.filter(F.col("n") >= full - F.floor(full / PER_MISS)).withColumn("cover", F.col("n") / full)
     return exact.unionByName(merged.select("row_no", "label", "base", "start", "stop", "cover"))
 
 
@@ -118,7 +128,7 @@ def license_scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES) ->
         F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
         F.max("cover").alias("score"),
     )
-    counted = keyed.select("row_no", "doc_id", F.regexp_count(F.translate("text", UPPER, LOWER), F.lit(WORD)).cast("long").alias("n_words"))
+    counted = keyed.select("row_no", "doc_id", F.regexp_count("text", F.lit(ANY_WORD)).cast("long").alias("n_words"))
     out = counted.join(found, "row_no", "left")
     none = {"n_base": F.lit(0).cast("long"), "base_labels": F.lit(""), "labels": F.lit(""), "score": F.lit(0.0)}
     return out.withColumns({k: F.coalesce(F.col(k), v) for k, v in none.items()}).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
