@@ -18,9 +18,9 @@ from pyspark.sql.column import Column
 
 from .common import text_of, written
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same on text in which A-Z have not been lowered.
-ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words, in text in which A-Z have been lowered; and the same in text as it is.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ANY_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: The characters beyond ASCII whose lower case has ASCII letters: for texts without them, lower() does to words what lowering A-Z
 #: does, as far as ASCII words go, and is much faster.
 ODD = "[\u0130\u212a]"
@@ -62,8 +62,9 @@ TEMPLATES = (
 
 
 def words_of(text: Column) -> Column:
+    """The words, A-Z lowered. (Splitting at gaps takes a quarter of the time of extracting words.)"""
     lowered = F.when(text.rlike(ODD), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
-    return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(lowered, GAP), "")
 
 
 def template_grams(spark: SparkSession, templates: Sequence[Template]) -> DataFrame:
@@ -76,9 +77,8 @@ def template_grams(spark: SparkSession, templates: Sequence[Template]) -> DataFr
 
 def gram_hashes(words: Column) -> Column:
     """The hash of each word with the next one; none if there is a single word."""
-    last = F.size(words) - GRAM
-    each = F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.xxhash64(*[F.get(words, i - 1 + k) for k in range(GRAM)]))
-    return F.when(last >= 0, each).otherwise(F.array().cast("array<bigint>"))
+    last = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, F.lit(1), last), F.slice(words, F.lit(GRAM), last), lambda a, b: F.xxhash64(a, b))
 
 
 def license_spans(docs: DataFrame, templates: Sequence[Template] = TEMPLATES) -> DataFrame:
@@ -128,7 +128,7 @@ def license_scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES) ->
         F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
         F.max("cover").alias("score"),
     )
-    counted = keyed.select("row_no", "doc_id", F.regexp_count("text", F.lit(ANY_WORD)).cast("long").alias("n_words"))
+    counted = keyed.select("row_no", "doc_id", F.size(F.array_remove(F.split("text", ANY_GAP), "")).cast("long").alias("n_words"))
     out = counted.join(found, "row_no", "left")
     none = {"n_base": F.lit(0).cast("long"), "base_labels": F.lit(""), "labels": F.lit(""), "score": F.lit(0.0)}
     return out.withColumns({k: F.coalesce(F.col(k), v) for k, v in none.items()}).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
