@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table, tune
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    tune(spark)
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("row")
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_of_documents
 
@@ -57,7 +64,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_classifier, op5_best_fit_packing, op6_language_id, op7_fingerprints, op8_license_scan, op9_exact_dedup, op10_token_output)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_classifier, op5_best_fit_packing, op6_language_id, op7_fingerprints, op8_license_scan, op9_exact_dedup, op10_token_output)}
 
 
 def oracle_sql() -> dict[str, str]:
