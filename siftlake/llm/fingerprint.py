@@ -103,30 +103,33 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.left("text", n - cut), F.left(F.coalesce("next_text", F.lit("")), cut))
-    rows = near.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), canonical(F.col("text")).alias("c"), canonical(edited).alias("ce"), canonical(F.coalesce("next_text", F.lit(""))).alias("cn"))
-    kinds = {"": "c", "e": "ce", "n": "cn"}
-    hashes = [h.alias(f"{k}{i}") for k, c in kinds.items() for i, h in enumerate(hash128(F.col(c)))]
-    slim = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *hashes, *[F.unhex(F.sha2(c, 256)).alias(f"{k}s") for k, c in kinds.items()])
+    rows = near.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), canonical(F.col("text")).alias("c"), canonical(edited).alias("e"), canonical(F.coalesce("next_text", F.lit(""))).alias("n"))
+    hashes = [h.alias(f"{k}{i}") for k in "ce" for i, h in enumerate(hash128(F.col(k)))]
+    # Fingerprints are equal exactly where canonical texts are, so likeness compares those.
+    same = [(F.col("c") == F.col(k)).cast("double").alias(name) for k, name in (("e", "near_edited"), ("n", "near_next"))]
+    slim = rows.select("doc_id", "n_chars", F.unhex(F.sha2("edited", 256)).alias("sha"), *hashes, *[F.unhex(F.sha2(k, 256)).alias(f"{k}s") for k in "ce"], *same)
     slim = written(slim, "fingerprints")
     clash = clashes(base, slim)
     prints = {}
-    for k in kinds:
-        found = F.lit(False) if clash is None else F.array_contains(F.lit(clash), hex128(f"{k}0", f"{k}1"))
-        prints[k] = F.when(found, F.concat(hex128(f"{k}0", f"{k}1"), F.lit("-"), F.lower(F.hex(f"{k}s")))).otherwise(hex128(f"{k}0", f"{k}1"))
-    same = lambda a, b: (prints[a] == prints[b]).cast("double")
-    return slim.select("doc_id", "n_chars", "edited_sha256", prints[""].alias("fingerprint"), prints["e"].alias("edited_fingerprint"), same("", "e").alias("near_edited"), same("", "n").alias("near_next"))
+    for k, name in (("c", "fingerprint"), ("e", "edited_fingerprint")):
+        short = hex128(f"{k}0", f"{k}1")
+        found = F.lit(False) if clash is None else F.array_contains(F.lit(clash), short)
+        prints[name] = F.when(found, F.concat(short, F.lit("-"), F.lower(F.hex(f"{k}s")))).otherwise(short)
+    return slim.select("doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), *[v.alias(k) for k, v in prints.items()], "near_edited", "near_next")
 
 
 def clashes(base: DataFrame, slim: DataFrame) -> list[str] | None:
     """Hashes that texts of different bytes share, as hex; None if there are none, which is all that ever happens by chance.
 
-    Only rows whose hash another row has are read again; a bucket's least and greatest canonical text tell whether all of it
-    are equal, and both are merged before they are shuffled.
+    Only rows whose hash another row has are read again; a bucket's different canonical texts are counted, equal ones being
+    merged before they are shuffled.
     """
-    shared = slim.groupBy("0", "1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("0").alias("h0"), F.col("1").alias("h1"))
-    ids = slim.join(shared, (F.col("0") == F.col("h0")) & (F.col("1") == F.col("h1")), "left_semi").select("doc_id").distinct()
+    at = [F.col("c0") == F.col("h0"), F.col("c1") == F.col("h1")]
+    shared = slim.groupBy("c0", "c1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("c0").alias("h0"), F.col("c1").alias("h1"))
+    ids = slim.select("doc_id", "c0", "c1").join(shared, at, "left_semi").select("doc_id")
     texts = base.join(ids, "doc_id", "left_semi").select(canonical(F.col("text")).alias("c"))
     high, low = hash128(F.col("c"))
-    differ = texts.withColumns({"h0": high, "h1": low}).groupBy("h0", "h1").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least <> most")
+    different = texts.withColumns({"h0": high, "h1": low}).groupBy("h0", "h1", "c").agg(F.lit(1).alias("one"))
+    differ = different.groupBy("h0", "h1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     found = [r[0] for r in differ.select(hex128("h0", "h1")).collect()]
     return found or None
