@@ -232,6 +232,23 @@ def verified_in_blocks(members: DataFrame, texts: DataFrame) -> DataFrame:
     return dealt.select("key", "i", "j", "node", "component", "block", "text").mapInArrow(scan, schema)
 
 
+def compared_groups(unsettled: DataFrame) -> DataFrame:
+    """unsettled (key, node, component) with buckets that overlap merged where that makes fewer comparisons.
+
+    Near copies of one text share buckets in most bands, and each bucket holds most of them: one group of all of them is then
+    compared once instead of once a bucket. Where buckets only hang together by a few members each stays by itself.
+    """
+    cost = lambda n: n * F.ceil(n / BLOCK)
+    heads = unsettled.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n"))
+    star = unsettled.join(heads, "key").filter("a <> node").select("a", F.col("node").alias("b")).distinct()
+    groups = written(connected_components(star), "groups")
+    apart = heads.join(groups.withColumnRenamed("node", "a"), "a").groupBy("component").agg(F.sum(cost(F.col("n"))).alias("apart"))
+    merged = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n")).join(apart, "component").filter(cost(F.col("n")) <= F.col("apart"))
+    chosen = groups.join(merged, "component", "left").select("node", F.when(F.col("n").isNotNull(), F.col("component")).alias("group"))
+    keyed = unsettled.join(chosen, "node")
+    return keyed.select(F.coalesce("group", "key").alias("key"), "node", "component").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: id, row, class_id (the least id of the class), class_size, n_links, kept.
 
@@ -259,7 +276,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_keys = stats.filter("least <> most").groupBy("n", "sum", "xor").agg(F.min("key").alias("key")).select("key")
     unsettled = written(placed.join(open_keys, "key", "left_semi"), "unsettled")
     if unsettled.head(1):
-        links = links.unionByName(written(verified_in_blocks(unsettled, texts), "verified"))
+        links = links.unionByName(written(verified_in_blocks(written(compared_groups(unsettled), "groups"), texts), "verified"))
         parts = connected_components(links)
     degrees = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     named = nodes.select("node", "digest", "first", "copies").join(parts, "node", "left").join(degrees, "node", "left").withColumn("class", F.coalesce("component", "node"))
