@@ -11,18 +11,17 @@ from .common import written
 def connected_components(links: DataFrame) -> DataFrame:
     """links (a, b) -> node, component: the smallest node that each can reach.
 
-    Every round takes the least label among a node's neighbours and then its label's own label, so that a chain's length halves;
-    each round is a written table. Only nodes with links are in the result.
+    Every round gives each node the least of itself and its neighbours and contracts the links to these labels, so that few are
+    left after a round or two, however large a component is; each round is a written table. Only nodes with links are in the result.
     """
     both = links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct()
-    both = written(both, "links")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("jumped"))
-        new = lower.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("jumped", "label")).alias("label"))
-        new = written(new, "labels")
-        labels = new.select("node", "label")
-        if not new.filter("label <> old").head(1):
-            return labels.select("node", F.col("label").alias("component"))
+    edges = written(both.select("a", "b"), "links")
+    found = written(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct(), "labels")
+    while edges.head(1):
+        label = written(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
+        step = found.join(label.withColumnRenamed("a", "component"), "component", "left")
+        found = written(step.select("node", F.coalesce("label", "component").alias("component")), "labels")
+        one = edges.join(label, "a").select(F.col("label").alias("la"), F.col("b").alias("a"))
+        edges = one.join(label, "a").select(F.col("la").alias("a"), F.col("label").alias("b")).filter("a <> b").distinct()
+        edges = written(edges, "links")
+    return found

@@ -196,7 +196,8 @@ def verified_in_blocks(members: DataFrame, texts: DataFrame) -> DataFrame:
     placed = members.join(sizes, "key").select("key", "node", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
     each = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
     met = placed.select("key", "node", "component", "block", F.inline(each)).join(texts, "node")
-    dealt = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    # By number: what a task does grows with the square of its rows, so partitions aren't merged by their bytes.
+    dealt = met.repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
     schema = T.StructType.fromDDL("a long, b long")
 
     def compare(rows: list[tuple]) -> Iterator[tuple[int, int]]:
