@@ -65,8 +65,10 @@ class Pieces:
         """A piece that encodes to itself, or any single character."""
         if len(text) == 1:
             return True
+        if text not in self.ids:
+            return False
         if (got := self.whole.get(text)) is None:
-            got = self.whole[text] = text in self.ids and self.merged(text) == [text]
+            got = self.whole[text] = self.merged(text) == [text]
         return got
 
     def compatible(self, a: str, b: str) -> bool:
@@ -208,11 +210,17 @@ def encode_whole(p: Pieces, text: str, chunk: int = CHUNK) -> list[int]:
     return [i for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) for i in chunk_ids(p, t, a, b, states[k], states[k + 1])]
 
 
+def parted(docs: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (row, doc_id, text, sha) of a single chunk, and those of more."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text_of().alias("text")).withColumn("sha", F.sha2("text", 256))
+    size = F.length("text") + 1
+    return rows.filter(size <= chunk), rows.filter(size > chunk)
+
+
 def encoded(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """row, doc_id, chunks, ids (array<int>), sha (of the text): a row for each row of docs."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text_of().alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    size = F.length("text") + 1
+    small, giant = parted(docs, chunk)
 
     def direct() -> Callable[[dict], dict]:
         p = pieces()
@@ -223,11 +231,16 @@ def encoded(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
         return step
 
     schema = f"row long, doc_id {kind}, chunks int, ids array<int>, sha string"
-    sha = F.sha2("text", 256).alias("sha")
-    small = map_batches(rows.filter(size <= chunk).select("row", "doc_id", "text", sha), direct, schema)
+    return map_batches(small, direct, schema).unionByName(scanned(giant, chunk))
+
+
+def scanned(giant: DataFrame, chunk: int) -> DataFrame:
+    """Giant documents (row, doc_id, text, sha) by the parallel scan: row, doc_id, chunks, ids, sha."""
+    kind = giant.schema["doc_id"].dataType.simpleString()
+    size = F.length("text") + 1
     n = F.ceil(size / chunk).cast("int")
     text = F.concat(F.lit(MARK), F.translate("text", " ", MARK)).alias("text")
-    giant = rows.filter(size > chunk).select("row", "doc_id", sha, n.alias("chunks"), text)
+    giant = giant.select("row", "doc_id", "sha", n.alias("chunks"), text)
     k = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("k")
     giant = giant.select("row", "doc_id", "sha", "chunks", "text", k)
     begin = F.greatest(F.col("k") * chunk - REACH, F.lit(0))
@@ -282,23 +295,32 @@ def encoded(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
     traced = map_batches(cuts.join(states, ["row", "k"]), trace, f"row long, doc_id {kind}, sha string, chunks int, k int, ids array<int>")
     parts = F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda q: q["ids"])
-    whole = traced.groupBy("row", "doc_id", "chunks", "sha").agg(F.flatten(parts).alias("ids"))
-    return small.unionByName(whole.select("row", "doc_id", "chunks", "ids", "sha"))
+    return traced.groupBy("row", "doc_id", "chunks", "sha").agg(F.flatten(parts).alias("ids")).select("row", "doc_id", "chunks", "ids", "sha")
+
 
+def encode_and_decode(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, n_chunks, n_ids, ids_crc32, round_trip: whether decoding gives the text again.
 
-def encode_and_decode(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chunks, n_ids, ids_crc32, round_trip: whether decoding gives the text again."""
+    Ids of single chunks don't leave the task that encodes them.
+    """
     from hashlib import sha256
 
+    small, giant = parted(docs, chunk)
+
     def make() -> Callable[[dict], dict]:
         model = pieces().model
 
         def step(batch: dict) -> dict:
-            crcs = [zlib.crc32(np.asarray(i, dtype="<u4").tobytes()) for i in batch["ids"]]
-            same = [sha256(model.decode(i).encode()).hexdigest() == s for i, s in zip(batch["ids"], batch["sha"], strict=True)]
-            return {"doc_id": batch["doc_id"], "n_chunks": batch["chunks"], "n_ids": [len(i) for i in batch["ids"]], "ids_crc32": crcs, "round_trip": same}
+            ids = batch["ids"] if "ids" in batch else model.encode(batch["text"], num_threads=1)
+            crcs = [zlib.crc32(np.array(i, dtype="<u4").tobytes()) for i in ids]
+            back = model.decode(ids)
+            same = [b == t for b, t in zip(back, batch["text"], strict=True)] if "text" in batch else [sha256(b.encode()).hexdigest() == s for b, s in zip(back, batch["sha"], strict=True)]
+            chunks = batch.get("chunks") or [1] * len(ids)
+            return {"doc_id": batch["doc_id"], "n_chunks": chunks, "n_ids": [len(i) for i in ids], "ids_crc32": crcs, "round_trip": same}
 
         return step
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_batches(encoded(docs).select("doc_id", "chunks", "ids", "sha"), make, f"doc_id {kind}, n_chunks int, n_ids long, ids_crc32 long, round_trip boolean")
+    schema = f"doc_id {kind}, n_chunks int, n_ids long, ids_crc32 long, round_trip boolean"
+    by_scan = map_batches(scanned(giant, chunk).select("doc_id", "chunks", "ids", "sha"), make, schema)
+    return map_batches(small.select("doc_id", "text"), make, schema).unionByName(by_scan)
