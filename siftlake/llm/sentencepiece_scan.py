@@ -128,6 +128,12 @@ def paths(p: Pieces, t: str, begin: dict[Token, int], stop: int) -> tuple[dict[T
     return {x: m for e, xs in ends.items() if e >= stop for x, m in xs.items()}, back
 
 
+def reachable(p: Pieces, t: str, at: int) -> list[Token]:
+    """The states of a boundary: if a word starts within a piece's reach before it, those that lead there from its start."""
+    near = words_between(t, at - REACH, at - 1)
+    return list(paths(p, t, {(near[1], near[1]): 1}, at)[0]) if near else spanning(p, t, at)
+
+
 def words_between(t: str, left: int, right: int) -> tuple[int, int] | None:
     """The first and last place of left..right at which a word starts after something that isn't a mark."""
     starts = lambda i: t[i] == MARK and i > 0 and t[i - 1] != MARK
@@ -139,8 +145,8 @@ def words_between(t: str, left: int, right: int) -> tuple[int, int] | None:
 
 def chunk_entries(p: Pieces, t: str, left: int, right: int, first: bool, last: bool) -> list[tuple[Token, Token]]:
     """The finite entries of a chunk's transfer matrix: pairs of states, as places from its left and right boundary."""
-    begin = [(left, left)] if first else spanning(p, t, left)
-    at = words_between(t, left, right)
+    begin = [(left, left)] if first else reachable(p, t, left)
+    at = words_between(t, left, right - 1)
     masks = {x: 1 << i for i, x in enumerate(begin)}
     if at is None:
         got, _ = paths(p, t, masks, right)
@@ -151,13 +157,7 @@ def chunk_entries(p: Pieces, t: str, left: int, right: int, first: bool, last: b
         mask = 0
         for y, m in got.items():
             mask |= m if y[1] == inner else 0
-        if outer >= right:  # the word starts at the boundary itself: whatever ends there
-            ahead = {y: 0 for y in got} if inner == outer else paths(p, t, {(inner, inner): 1}, right)[0]
-            if inner == outer:
-                found = [(x, y) for y, m in got.items() if y[1] == right for i, x in enumerate(begin) if m >> i & 1]
-                return [((x[0] - left, x[1] - left), (y[0] - right, y[1] - right)) for x, y in found]
-        else:
-            ahead = paths(p, t, {(outer, outer): 1}, right)[0]
+        ahead, _ = paths(p, t, {(outer, outer): 1}, right)
         found = [(x, y) for i, x in enumerate(begin) if mask >> i & 1 for y in ahead if not last or y[1] == right]
     return [((x[0] - left, x[1] - left), (y[0] - right, y[1] - right)) for x, y in found]
 
