@@ -25,6 +25,8 @@ from .common import map_batches, text_of
 #: A subtree is template if it stands on at least so many pages of its host, and on this share of them.
 MIN_PAGES = 5
 MIN_SHARE = 0.25
+#: Parts that the pages of a host are dealt into when they meet its template: one host may hold a third of all pages.
+SALTS = 64
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
@@ -226,7 +228,9 @@ def template_hashes(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: a row for each row of pages (page_id, url, html)."""
     known = pages.select("page_id", "url", host_of().alias("host"), text_of("html").alias("html"))
-    joined = known.join(template_hashes(known), "host", "left").select("page_id", "url", "html", "template")
+    salted = template_hashes(known).withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    dealt = known.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    joined = dealt.join(salted, ["host", "salt"], "left").select("page_id", "url", "html", "template")
 
     def make() -> Callable[[dict], dict]:
         def step(batch: dict) -> dict:
