@@ -70,20 +70,22 @@ def permuted(numbers: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
 
 
 def sequences(docs: DataFrame, stride: int, shards: int, low: int, span: int, key: int) -> DataFrame:
-    """doc_id, piece, n_ids, shard, place, ids (stride little-endian 16-bit ids): a row for each sequence."""
+    """doc_id, piece, n_ids, shard, place, ids (a zstandard frame of little-endian 16-bit ids): a row for each sequence."""
     numbers = span << PIECE_BITS
 
     def make() -> Callable[[dict], dict]:
-        encode = encoder()
+        import zstandard
+
+        # Entropy coding, which the shuffle's own codec lacks; padding is added where shards are written.
+        encode, squeeze = encoder(), zstandard.ZstdCompressor(level=3).compress
 
         def step(batch: dict) -> dict:
             out: dict = {k: [] for k in ("doc_id", "piece", "n_ids", "ids", "number")}
             for doc, number, text in zip(batch["doc_id"], batch["number"], batch["text"], strict=True):
                 ids = np.asarray([*encode(text), END], dtype="<u2")
                 for k in range(0, len(ids), stride):
-                    whole = np.full(stride, PAD, dtype="<u2")
-                    whole[: len(ids) - k] = ids[k : k + stride]
-                    for name, value in zip(out, (doc, k // stride, min(stride, len(ids) - k), whole.tobytes(), (number << PIECE_BITS) + k // stride), strict=True):
+                    piece = ids[k : k + stride]
+                    for name, value in zip(out, (doc, k // stride, len(piece), squeeze(piece.tobytes()), (number << PIECE_BITS) + k // stride), strict=True):
                         out[name].append(value)
             place = permuted(np.asarray(out.pop("number"), dtype=np.uint64), numbers, key)
             # The shard is the range of places: place * shards / numbers without overflow.
@@ -97,8 +99,8 @@ def sequences(docs: DataFrame, stride: int, shards: int, low: int, span: int, ke
     return map_batches(docs.select("doc_id", number.cast("long").alias("number"), text_of().alias("text")), make, f"doc_id {kind}, piece int, n_ids int, shard int, place long, ids binary")
 
 
-def write_shards(seqs: DataFrame, folder: str) -> DataFrame:
-    """Write every shard that a partition holds, in order of place; seqs is dealt by shard and sorted by place.
+def write_shards(seqs: DataFrame, folder: str, stride: int) -> DataFrame:
+    """Write every shard that a partition holds, in order of place, sequences padded to stride; seqs is dealt by shard and sorted by place.
 
     A shard is written under a name of the task attempt and then renamed, so that a task that runs again replaces it whole.
     """
@@ -106,6 +108,9 @@ def write_shards(seqs: DataFrame, folder: str) -> DataFrame:
     schema = to_arrow_schema(T.StructType.fromDDL(f"doc_id {kind}, piece int, n_ids int, shard int, record long, ids_crc32 long"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        expand = zstandard.ZstdDecompressor().decompress
         store, root = fs.FileSystem.from_uri(folder)
         attempt = TaskContext.get().taskAttemptId()
         now, out, record = -1, None, 0
@@ -117,14 +122,16 @@ def write_shards(seqs: DataFrame, folder: str) -> DataFrame:
 
         for batch in batches:
             records, crcs = [], []
-            for shard, ids, n in zip(batch["shard"].to_pylist(), batch["ids"].to_pylist(), batch["n_ids"].to_pylist(), strict=True):
+            for shard, frame in zip(batch["shard"].to_pylist(), batch["ids"].to_pylist(), strict=True):
                 if shard != now:
                     close()
                     now, record = shard, 0
                     out = store.open_output_stream(f"{root}/.{now:06d}-{attempt}")
-                out.write(ids)
+                ids = np.frombuffer(expand(frame), "<u2")
+                out.write(ids.tobytes())
+                out.write(np.full(stride - len(ids), PAD, "<u2").tobytes())
                 records.append(record)
-                crcs.append(zlib.crc32(np.frombuffer(ids, "<u2")[:n].astype("<u4").tobytes()))
+                crcs.append(zlib.crc32(ids.astype("<u4").tobytes()))
                 record += 1
             yield pa.RecordBatch.from_arrays([batch[c] for c in ("doc_id", "piece", "n_ids", "shard")] + [pa.array(records, pa.int64()), pa.array(crcs, pa.int64())], schema=schema)
         close()
@@ -149,7 +156,7 @@ def materialise(docs: DataFrame, folder: str | None = None, stride: int = STRIDE
     store.create_dir(root)
     seqs = sequences(docs, stride, shards, low, min(span, MOST_IDS), key) if span <= MOST_IDS else sequences(docs, stride, shards, 0, MOST_IDS + 1, key)
     dealt = seqs.repartitionById(shards, "shard") if hasattr(seqs, "repartitionById") else seqs.repartition(shards, "shard")
-    index = written(write_shards(dealt.sortWithinPartitions("shard", "place", "doc_id", "piece"), folder), "shard-index")
+    index = written(write_shards(dealt.sortWithinPartitions("shard", "place", "doc_id", "piece"), folder, stride), "shard-index")
     # A row for each shard: where its first record stands in the whole order.
     sizes = index.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
     bases = sizes.withColumn("base", F.sum("n").over(Window.orderBy("shard")) - F.col("n")).select("shard", "base")
