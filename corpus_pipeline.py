@@ -13,7 +13,7 @@ from pyspark.sql.column import Column
 
 from siftlake.llm import exact_dedup as exact
 from siftlake.llm import langid, near_dedup, packing, quality
-from siftlake.llm.common import crc_mod, table, tune, written
+from siftlake.llm.common import crc_mod, stable, table, tune, written
 
 
 def judged(docs: DataFrame, judge: Callable[[DataFrame, list[str], str], DataFrame], keep: Column) -> DataFrame:
@@ -46,6 +46,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates, the document of the smallest id."""
     tune(spark)
+    docs = stable(docs)
     kept = near_dedup.near_duplicates(docs).filter("kept").select(F.col("row").alias("__row"))
     return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").drop("__row").select(*docs.columns)
 

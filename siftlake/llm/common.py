@@ -47,6 +47,21 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stable(df: DataFrame) -> DataFrame:
+    """df, or a written copy of it, whose rows get the same numbers of monotonically_increasing_id in every scan.
+
+    The splits of files follow from the cores at hand unless their least number is set; it is kept for the session here, so that
+    a scan after the loss of executors numbers rows like the one before. Plans that are more than a scan of files are written.
+    """
+    spark = df.sparkSession
+    if not spark.conf.get("spark.sql.files.minPartitionNum", None):
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter") and plan.deterministic():
+        plan = plan.child()
+    return df if plan.nodeName() == "LogicalRelation" else written(df, "rows")
+
+
 def crc_mod(col: str | Column, n: int) -> Column:
     """crc32 of a number's decimal digits, modulo n."""
     return F.crc32(F.col(col).cast("string") if isinstance(col, str) else col.cast("string")) % F.lit(n)

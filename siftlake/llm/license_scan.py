@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from .common import text_of, written
+from .common import stable, text_of, written
 
 #: What stands between words, in text in which A-Z have been lowered; and the same in text as it is.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -117,7 +117,7 @@ def license_spans(docs: DataFrame, templates: Sequence[Template] = TEMPLATES) ->
 
 def license_scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES) -> DataFrame:
     """One row for each row of docs (doc_id, text): counts and places of base phrases, labels, and a score."""
-    keyed = docs.select(F.monotonically_increasing_id().alias("row_no"), "doc_id", text_of().alias("text"))
+    keyed = stable(docs.select("doc_id", text_of().alias("text"))).select(F.monotonically_increasing_id().alias("row_no"), "doc_id", "text")
     spans = license_spans(keyed, templates)
     at = F.when(F.col("base"), F.col("start"))
     found = spans.groupBy("row_no").agg(

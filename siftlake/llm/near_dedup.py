@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, text_of, written
+from .common import map_batches, stable, text_of, written
 from .components import connected_components
 
 WORDS = 5
@@ -254,8 +254,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """A row for each row of docs: id, row, class_id (the least id of the class), class_size, n_links, kept.
 
     n_links: verified links of the row's text to other texts that the classes were joined by. kept: one row of each class, that
-    of the least id.
+    of the least id. row: the row's monotonically_increasing_id in stable(docs).
     """
+    docs = stable(docs)
     rows = written(sketches(docs, id_col, text_col), "sketches")
     first = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))
     nodes = written(rows.groupBy("digest").agg(F.min("row").alias("node"), F.min_by("keys", "row").alias("keys"), F.min(first).alias("first"), F.count(F.lit(1)).alias("copies")), "nodes")

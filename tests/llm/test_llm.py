@@ -6,9 +6,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from siftlake.llm import html_extract, langid, license_scan, near_dedup, packing, quality, token_output
-from siftlake.llm.common import table
+from siftlake.llm.common import stable, table
 from siftlake.llm.exact_dedup import exact_dedup, exact_groups
 from siftlake.llm.fingerprint import fingerprints
 from siftlake.llm.sentencepiece_scan import encode_and_decode, encode_whole, pieces
@@ -39,6 +40,20 @@ def test_exact_against_brute_force(spark, odd, empty):
     assert exact_groups(empty).count() == 0 and exact_dedup(empty).count() == 0
 
 
+def test_row_numbers_outlive_executors(spark, odd):
+    docs = table(spark, "/root/testdata/sf0.1", "documents").select("doc_id")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        number = lambda: {r.doc_id: r.n for r in stable(docs).withColumn("n", F.monotonically_increasing_id()).collect()}
+        before = number()
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "40")  # what a scan is split by once the cores are others
+        assert number() == before
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+    assert stable(docs) is docs and stable(docs.distinct()).count() == docs.count() and stable(odd) is not odd
+
+
 def test_near_against_brute_force(spark, odd, empty):
     docs = table(spark, SF, "documents")
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
