@@ -26,7 +26,8 @@ def frecency(opens: DataFrame, now: int) -> DataFrame:
 
 
 def boost(score: Column) -> Column:
-    return F.least(12 * F.log1p(score), F.lit(40)).cast("int")
+    """Up to 40; none for what was never opened (least would pass over a null)."""
+    return F.least(12 * F.log1p(F.coalesce(score, F.lit(0.0))), F.lit(40)).cast("int")
 
 
 def nearness(path: Column, near: str) -> Column:
