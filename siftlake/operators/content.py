@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 from ..functions.scoring import LOWER, UPPER
+from ..plans import trigrams as index
 
 # Fixed values.
 DEFINES = "fn|func|function|def|class|struct|enum|trait|interface|type|typealias|impl|let|const|var|val|static|module|mod|protocol|extension|macro_rules!|define|typedef|union|object|record|namespace|actor"
@@ -91,7 +92,8 @@ def contents(docs: DataFrame) -> DataFrame:
 
 def trigrams(bodies: DataFrame) -> DataFrame:
     """key, gid: the distinct three-character keys of each body, A-Z folded."""
-    low = F.translate("body", UPPER, LOWER)
+    # The two letters that a search without case takes for k and s are folded to them.
+    low = F.translate("body", UPPER + "\u017f\u212a", LOWER + "sk")
     # Characters are cut once, and neighbours put together: a substring by place would count from the start each time.
     keys = F.transform(F.array(F.regexp_extract_all(low, F.lit("(?s)."), F.lit(0))), joined)[0]
     return bodies.select("gid", F.explode(keys).alias("key"))
@@ -115,6 +117,21 @@ def candidates(postings: DataFrame, plan: list[str]) -> DataFrame:
     return postings.filter(F.col("key").isin(plan)).groupBy("gid").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(plan)).select("gid")
 
 
+def planned(postings: DataFrame, plan: index.Plan) -> DataFrame:
+    """gid of the bodies that a plan of plans.trigrams lets in: one pass over the plan's keys, one flag for each key of it."""
+    wanted = sorted(index.keys(plan))
+    flag = {k: f"k{i}" for i, k in enumerate(wanted)}
+
+    def holds(p: index.Plan) -> Column:
+        if isinstance(p, str):
+            return F.col(flag[p])
+        parts = [holds(x) for x in p[1]]
+        return reduce(lambda a, b: a & b, parts) if p[0] == "and" else reduce(lambda a, b: a | b, parts)
+
+    seen = postings.filter(F.col("key").isin(wanted)).groupBy("gid").agg(*[F.bool_or(F.col("key") == k).alias(f) for k, f in flag.items()])
+    return seen.filter(holds(plan)).select("gid")
+
+
 def symbols(bodies: DataFrame) -> DataFrame:
     """symbol, gid: identifiers after a declaring keyword; a name that is itself a keyword is looked at again."""
     regex = rf"(?<![A-Za-z0-9_])(?={'(?:' + DEFINES + ')'}(?:<[^>\n]*>)?[ \t*&]+(?:mut[ \t]+)?([A-Za-z_][A-Za-z0-9_]*))"

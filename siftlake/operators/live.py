@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST_PENDING, LEAST_PENDING, MOST_SOFT, QUIET, STALE = 350_000, 50_000, 175_000, 30, 12 * 3600
+MOST_MERGED = 96 << 20
 
 
 def live_view(base: DataFrame, dead: DataFrame, delta: DataFrame) -> DataFrame:
@@ -40,6 +41,28 @@ def should_compact(pending: int, base: int, quiet: float, stale: float, asked: b
     return asked or pending > MOST_PENDING or quiet >= QUIET and (pending > soft or stale >= STALE and pending > 0)
 
 
+def merge_plan(segments: list[tuple[int, int, int]]) -> list[int]:
+    """Which segments (id, bytes, dead bytes) to rewrite as one: the one with the largest dead share once a sixteenth of all is dead,
+    else eight of one size tier (powers of four) of up to MOST_MERGED bytes, smallest tier first; none if all is well."""
+    if sum(d for *_, d in segments) * 16 > sum(b for _, b, _ in segments):
+        return [max(segments, key=lambda s: s[2] / max(s[1], 1))[0]]
+    tiers: dict[int, list[tuple[int, int, int]]] = {}
+    for s in segments:
+        tiers.setdefault((max(s[1], 1).bit_length() - 1) // 2, []).append(s)
+    for _, group in sorted(tiers.items()):
+        if len(group) >= 8 and sum(b for _, b, _ in group[:8]) <= MOST_MERGED:
+            return [i for i, *_ in group[:8]]
+    return []
+
+
+def sync_diff(wanted: DataFrame, held: DataFrame) -> DataFrame:
+    """path, op of docs (path, size, mtime): keep, reindex (new or changed) or drop."""
+    have = held.select("path", F.col("size").alias("h_size"), F.col("mtime").alias("h_mtime"))
+    both = wanted.select("path", "size", "mtime").join(have, "path", "full_outer")
+    same = (F.col("size") == F.col("h_size")) & (F.col("mtime") == F.col("h_mtime"))
+    return both.select("path", F.when(F.col("size").isNull(), "drop").when(F.coalesce(same, F.lit(False)), "keep").otherwise("reindex").alias("op"))
+
+
 def replay_delay(failures: int) -> int:
     """Seconds before lost events are asked for again."""
     return min(60, 2 << min(failures, 10))

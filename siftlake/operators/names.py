@@ -71,10 +71,14 @@ def predicate(q: Query) -> Column:
     return reduce(lambda a, b: a & b, out, F.lit(True))
 
 
-def token_scores(names: DataFrame, token: Token) -> DataFrame:
-    """name, score of the names that match a token."""
+def token_scores(names: DataFrame, token: Token, typos: str = "none") -> DataFrame:
+    """name, score of the names that match a token; typos: none, one (an edit after the first letter) or deep."""
     if token.mode == "fuzzy":
-        return fuzzy(names.select("name"), token.text)
+        clean = fuzzy(names.select("name"), token.text)
+        if typos == "none" or not edits_of(token):
+            return clean
+        other = deep_scores(names, token.text) if typos == "deep" else typo_scores(names, token.text)
+        return clean.unionByName(other).groupBy("name").agg(F.max("score").alias("score"))
     where, score = mode_score(token.text, token.mode)
     return names.select("name").filter(where).select("name", F.expr(score).alias("score"))
 
@@ -92,8 +96,8 @@ def spelled(q: list[Token]) -> Column:
     return F.when((squashed(F.col("name")) == joined) | (squashed(stem) == joined), 100).otherwise(0)
 
 
-def search(entries: DataFrame, q: Query, now: int) -> DataFrame:
-    """path, kind, size, mtime, score, rank: the best q.limit entries, by score, files first, then folder and name.
+def search(entries: DataFrame, q: Query, now: int, offset: int = 0, typos: str = "none") -> DataFrame:
+    """path, kind, size, mtime, score: q.limit entries from place offset on, by score, files first, then folder and name.
 
     Names are scored once each and joined back, which Catalyst doesn't do by itself; folders are scored per distinct name too.
     """
@@ -103,12 +107,13 @@ def search(entries: DataFrame, q: Query, now: int) -> DataFrame:
     if not tokens:
         scored = found.withColumn("own", F.lit(0))
     elif len(tokens) == 1:
-        scored = found.join(token_scores(names, tokens[0]).withColumnRenamed("score", "own"), "name")
+        scored = found.join(token_scores(names, tokens[0], typos).withColumnRenamed("score", "own"), "name")
     else:
-        scored = several(found, names, tokens)
+        scored = several(found, names, tokens, typos)
     score = F.col("own") + prior("parent") + F.expr(tweaks(now))
     out = scored.select("path", "parent", "name", "kind", "size", "mtime", score.cast("int").alias("score"))
-    top = out.orderBy(*total_order()).limit(q.limit)
+    ordered = out.orderBy(*total_order())
+    top = ordered.limit(q.limit) if not offset else ordered.offset(offset).limit(q.limit)
     return top.select("path", "kind", "size", "mtime", "score")
 
 
@@ -116,11 +121,11 @@ def total_order() -> list[Column]:
     return [F.desc("score"), (F.col("kind") != 0).asc(), F.split("parent", "/").asc(), F.col("name").asc()]
 
 
-def several(found: DataFrame, names: DataFrame, tokens: list[Token]) -> DataFrame:
+def several(found: DataFrame, names: DataFrame, tokens: list[Token], typos: str = "none") -> DataFrame:
     """found with own: each token in the own name, or inherited from a folder; one in the own name at least."""
     table = names
     for k, t in enumerate(tokens):
-        table = table.join(token_scores(names, t).withColumnRenamed("score", f"t{k}"), "name", "left")
+        table = table.join(token_scores(names, t, typos).withColumnRenamed("score", f"t{k}"), "name", "left")
     folders = found.select("parent").distinct()
     each = folders.select("parent", F.explode(F.array_distinct(F.filter(F.split("parent", "/"), lambda c: c != ""))).alias("name"))
     parts = each.select("name").distinct()
@@ -137,6 +142,71 @@ def several(found: DataFrame, names: DataFrame, tokens: list[Token]) -> DataFram
     return scored.filter(some & every).withColumn("own", own + spelled(tokens))
 
 
+def edits_of(token: Token) -> int:
+    """How many edits a token may take when typos count: one from 5 letters on, two from 8."""
+    return 0 if token.mode != "fuzzy" or token.negate else (len(token.text) >= 5) + (len(token.text) >= 8)
+
+
+def deep_scores(names: DataFrame, text: str) -> DataFrame:
+    """name, score of names that hold text with one or two edits, the first letter's too, at the start of a word.
+
+    An Arrow function over distinct names; names too short to hold the text are out before.
+    """
+    most = edits_of(Token(text))
+
+    @F.pandas_udf("int")
+    def score(column: pd.Series) -> pd.Series:
+        return column.map(lambda n: deep_score(n, text, most)).astype("Int32")
+
+    long = names.select("name").filter(F.length("name") >= len(text) - most)
+    return long.select("name", score("name").alias("score")).filter("score IS NOT NULL")
+
+
+def deep_score(name: str, text: str, most: int, cost: int = 60) -> int | None:
+    """The score of the part of a name that text spells with the fewest edits, then the earliest start; none if it spells it right."""
+    if not most or len(text) > 64:
+        return None
+    low = name[:63].translate({c: c + 32 for c in range(65, 91)})
+    starts = [int(len(name) > 1 and name[0] == ".")] + [i + 1 for i, c in enumerate(low) if c == " "]
+    found = [(got[0], s, got[1]) for s in starts if (got := fewest_edits(low[s:], text, most))]
+    if not found:
+        return None
+    edits, start, length = min(found)
+    part = fuzzy_score(name, low[start : start + length], 30)
+    return None if part is None else part - cost * edits
+
+
+def fewest_edits(word: str, text: str, most: int) -> tuple[int, int] | None:
+    """(edits, length) of the prefix of word nearest to text: letters may be wrong, extra, missing or swapped, digits never.
+
+    One row of costs for each letter of text, over prefixes of word; swaps look two rows back.
+    """
+    far = most + 1
+    before: list[int] = []
+    row = [0]
+    for c in word[: most]:
+        row.append(far if c.isdigit() else min(far, row[-1] + 1))
+    row += [far] * (len(word) + 1 - len(row))
+    for i, c in enumerate(text):
+        free = not c.isdigit()
+        new = [row[0] + 1 if free else far]
+        for j, w in enumerate(word, 1):
+            w_free = not w.isdigit()
+            cost = row[j - 1] if w == c else row[j - 1] + 1 if free and w_free else far
+            if free:
+                cost = min(cost, row[j] + 1)
+            if w_free:
+                cost = min(cost, new[j - 1] + 1)
+            if i and j > 1 and free and text[i - 1] != c and not text[i - 1].isdigit() and w == text[i - 1] and word[j - 2] == c:
+                cost = min(cost, before[j - 2] + 1)
+            new.append(min(cost, far))
+        if min(new) > most:
+            return None
+        before, row = row, new
+    least = min(row)
+    return None if least == 0 or least > most else (least, row.index(least))
+
+
 def typo_scores(names: DataFrame, text: str) -> DataFrame:
     """name, score of names that hold text with one edit at the start of a word; a Python function over distinct names.
 

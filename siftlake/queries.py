@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.scoring import fuzzy_sql, mode_score, prior, prior_adjust, quoted, tweaks
+from .engine import Engine
 from .operators import content, enrich, live
-from .operators.names import fuzzy, predicate, search, typo_scores
+from .operators.ignore import ignored, rules_of
+from .operators.names import deep_scores, fuzzy, predicate, search, typo_scores
+from .plans import trigrams
 from .plans.parser import parse
 from .sources.corpus import ENTRIES_SQL, HOME, NOW, entries, files, files_sql, with_names
 from .streaming.feed import flushes
@@ -160,7 +163,7 @@ def i_content_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     return content.contents(docs(spark, sf)).select("gid", "copies")
 
 
-UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ\u017f\u212a", "abcdefghijklmnopqrstuvwxyzsk"
 
 
 @query("i_trigram_postings_count", f"WITH c AS (SELECT DISTINCT translate(text, '{UP}', '{LOW}') AS low, text FROM documents WHERE length(text) >= 3), k AS (SELECT DISTINCT text, substr(low, i, 3) AS key FROM (SELECT *, unnest(range(1, length(low) - 1)) AS i FROM c)) SELECT key, count(*) AS bodies FROM k GROUP BY key")
@@ -268,3 +271,104 @@ def l_overlay_union(spark: SparkSession, sf: str) -> DataFrame:
     e = entries(spark, sf).select("path", "size")
     delta = e.filter("size % 5 = 0").select("path", (F.col("size") + 7).alias("size"))
     return live.live_view(e, e.filter("size % 7 = 3"), delta)
+
+
+def engine(spark: SparkSession, sf: str, **more: object) -> Engine:
+    return Engine(entries(spark, sf), docs(spark, sf), home=HOME, now=NOW, **more)
+
+
+def git_listed(spark: SparkSession, sf: str) -> DataFrame:
+    """The status of status() as a listing (listed, bits, is_dir)."""
+    paths = files(spark, sf, tables=("documents",)).select("path")
+    number = F.regexp_extract("path", r"doc_(\d+)", 1).try_cast("long") % 11
+    bits = F.when(number == 0, 1).when(number == 1, 6).when(number == 2, 32).when(number == 3, 128)
+    return paths.select(F.col("path").alias("listed"), bits.alias("bits"), F.lit(False).alias("is_dir")).filter("bits IS NOT NULL")
+
+
+IGNORE_FILES = [
+    ("/Users/u/notes", ".gitignore", "# output\nbuild/\n*.log\n!doc_00000*.log\n"),
+    ("/Users/u/notes/en", ".gitignore", "/src1/*.md\n/src2/**/*.rs\n"),
+    ("/Users/u/Sites", ".ignore", "page_[1-3]*.html\n"),
+]
+
+
+@query("i_ignore_files", f"""{E} SELECT path FROM e WHERE (starts_with(path, '/Users/u/notes/') AND (regexp_matches(path, '/build(/|$)')
+ OR name LIKE '%.log' AND NOT name LIKE 'doc#_00000%.log' ESCAPE '#' OR regexp_matches(path, '^/Users/u/notes/en/src1/[^/]*[.]md$')
+ OR regexp_matches(path, '^/Users/u/notes/en/src2/(.*/)?[^/]*[.]rs$'))) OR starts_with(path, '/Users/u/Sites/') AND regexp_matches(name, '^page_[1-3].*[.]html$')""")
+def i_ignore_files(spark: SparkSession, sf: str) -> DataFrame:
+    return ignored(entries(spark, sf), rules_of(spark, IGNORE_FILES))
+
+
+REGEX = "(apache|gnu general|mit) (public )?licen[sc]e"
+
+
+@query("i_regex_plan", f"WITH b AS ({files_sql(True, ('documents',))}) SELECT path FROM b WHERE regexp_matches(body, '{REGEX}', 'i')")
+def i_regex_plan(spark: SparkSession, sf: str) -> DataFrame:
+    d = docs(spark, sf).withColumn("gid", F.sha2("body", 256))
+    likely = content.planned(content.trigrams(content.contents(docs(spark, sf))), trigrams.of_regex(REGEX))
+    return d.join(likely, "gid", "left_semi").filter(F.col("body").rlike("(?iu)" + REGEX)).select("path")
+
+
+@query("f_glob_request", f"{E} SELECT path FROM e WHERE regexp_matches(path, '(?i)^/Users/u/notes/(en|fr)/(.*/)?doc_[^/]*[0-4][.](md|rs)$')")
+def f_glob_request(spark: SparkSession, sf: str) -> DataFrame:
+    return engine(spark, sf).glob("{en,fr}/**/doc_*[0-4].{md,rs}", "/Users/u/notes").select("path")
+
+
+@query("f_list_folder", f"{E} SELECT path, kind FROM e WHERE parent = '/Users/u/Contacts'")
+def f_list_folder(spark: SparkSession, sf: str) -> DataFrame:
+    return engine(spark, sf).list_folder("/Users/u/Contacts").select("path", "kind")
+
+
+@query("f_holding", f"{E} SELECT DISTINCT parent AS path FROM e WHERE kind = 0 AND name = 'doc_000041.md'")
+def f_holding(spark: SparkSession, sf: str) -> DataFrame:
+    return engine(spark, sf).holding("doc_000041.md")
+
+
+@query("f_lookup", f"{E} SELECT path, kind FROM e WHERE lower(path) = '/users/u/notes/en'")
+def f_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    return engine(spark, sf).lookup("/users/u/NOTES/en").select("path", "kind")
+
+
+@query("t_paged", f"{PRIOR_SQL},\nu AS (SELECT DISTINCT name FROM e),\n{mode_sql('doc_0001', 'exact')},\n{SCORE_TAIL.format(where='', limit=20)} OFFSET 15")
+def t_paged(spark: SparkSession, sf: str) -> DataFrame:
+    return engine(spark, sf).search("'doc_0001 limit:20", offset=15)
+
+
+@query("t_grep_and_status", f"{PRIOR_SQL},\nu AS (SELECT DISTINCT name FROM e),\n{mode_sql('doc_', 'prefix')}, {GIT_SQL}, w AS (SELECT b.path FROM ({files_sql(True, ('documents',))}) b JOIN x ON x.path = b.path WHERE bits & 191 > 0 AND contains(lower(body), 'license'))\n, {SCORE_TAIL.format(where='WHERE e.path IN (SELECT path FROM w)', limit=80)}")
+def t_grep_and_status(spark: SparkSession, sf: str) -> DataFrame:
+    return engine(spark, sf, status=git_listed(spark, sf)).search("^doc_ git:modified grep:license limit:80")
+
+
+def doc_opens(spark: SparkSession, sf: str) -> DataFrame:
+    """path, ts of opens(), with the paths of the documents."""
+    paths = files(spark, sf, tables=("documents",)).select(F.regexp_extract("path", r"doc_(\d+)", 1).try_cast("long").alias("k"), "path")
+    return opens(spark, sf).withColumnRenamed("path", "k").join(paths, "k").select("path", "ts")
+
+
+@query("t_usage_and_near")
+def t_usage_and_near(spark: SparkSession, sf: str) -> DataFrame:
+    return engine(spark, sf, opens=doc_opens(spark, sf), near=NEAR).search("doc md limit:60")
+
+
+@query("s_deep_typo")
+def s_deep_typo(spark: SparkSession, sf: str) -> DataFrame:
+    return deep_scores(entries(spark, sf).select("name").distinct(), "ucstomer")
+
+
+@query("g_paged_files", f"""{DOCS_SQL}, h AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line) AS rn FROM m WHERE regexp_matches(text, 'the', 'i') AND (path LIKE '%.md' OR path LIKE '%.txt')),
+p AS (SELECT path FROM b WHERE path IN (SELECT path FROM h) ORDER BY CASE WHEN contains(path, '/.') THEN -2 ELSE 0 END DESC, mtime DESC, path LIMIT 20 OFFSET 5)
+SELECT path, CAST(line AS INT) AS line, rtrim(substr(text, 1, 400)) AS text, CAST(octet_length(encode(regexp_extract(text, '(?s)^(.*?)(?:the)', 1, 'i'))) AS INT) AS col FROM h WHERE rn <= 5 AND path IN (SELECT path FROM p)""")
+def g_paged_files(spark: SparkSession, sf: str) -> DataFrame:
+    return engine(spark, sf).grep("the", where="ext:md,txt", limit=20, offset=5)
+
+
+@query("e_recent")
+def e_recent(spark: SparkSession, sf: str) -> DataFrame:
+    return engine(spark, sf, opens=doc_opens(spark, sf)).recent("in:~/notes limit:50")
+
+
+@query("l_sync_diff", f"{E}, w AS (SELECT path, size, mtime FROM e WHERE {BASE}), h AS (SELECT path, CASE WHEN size % 3 = 0 THEN size + 1 ELSE size END AS size, mtime FROM e WHERE {SEEN}) SELECT coalesce(w.path, h.path) AS path, CASE WHEN w.path IS NULL THEN 'drop' WHEN w.size = h.size AND w.mtime = h.mtime THEN 'keep' ELSE 'reindex' END AS op FROM w FULL JOIN h ON w.path = h.path")
+def l_sync_diff(spark: SparkSession, sf: str) -> DataFrame:
+    e = entries(spark, sf).select("path", "size", "mtime", "kind")
+    held = e.filter(SEEN).withColumn("size", F.when(F.col("size") % 3 == 0, F.col("size") + 1).otherwise(F.col("size")))
+    return live.sync_diff(e.filter(BASE), held)
