@@ -1,3 +1,4 @@
+import itertools
 import re
 
 import pytest
@@ -170,3 +171,24 @@ def test_store(spark, tmp_path):
     assert sorted(tuple(r) for r in store.read_usage(spark, f"file://{tmp_path}/usage").collect()) == sorted([("/a\tb", 1.5, 7), ('"q\nz', 2.0, 8)])
     assert store.skip_list("# x\n~/a/\n\n/b\n", "/u") == ["/u/a", "/b"]
     assert [r.path for r in e.filter(~store.blocked(F.col("path"), ["/u/a"])).collect()] == ["/u"]
+
+
+def one_edit(text):
+    """All that one edit makes of a text, digits untouched."""
+    letters = "abc"
+    for i in range(len(text) + 1):
+        yield from (text[:i] + x + text[i:] for x in letters)
+        if i < len(text) and not text[i].isdigit():
+            yield text[:i] + text[i + 1 :]
+            yield from (text[:i] + x + text[i + 1 :] for x in letters)
+            if i and text[i - 1] != text[i] and not text[i - 1].isdigit():
+                yield text[: i - 1] + text[i] + text[i - 1] + text[i + 1 :]
+
+
+def test_one_edit_against_all_edits():
+    for text in ("abca", "ab1c", "aab", "1b2"):
+        near = {x for x in one_edit(text)}
+        for word in map("".join, itertools.chain.from_iterable(itertools.product("ab1c", repeat=n) for n in range(6))):
+            lengths = [len(x) for x in near if word.startswith(x)]
+            want = None if word.startswith(text) or not lengths else (1, min(lengths))
+            assert fewest_edits(word, text, 1) == want, (word, text)
