@@ -36,12 +36,14 @@ class Engine:
     def search(self, text: str, offset: int = 0) -> DataFrame:
         """Ranked entries with every filter of the query applied, those on status and content too."""
         queries = [self.parsed(t) for t in forms(text)]
-        found = [self.ranked(q, offset) for q in queries]
-        if len(found) == 1:
-            return found[0]
+        if len(queries) == 1:
+            return self.ranked(queries[0], offset)
+        # Each form gives all that a page of the merged order may need; the page is cut after.
+        limit = queries[0].limit
+        found = [self.ranked(replace(q, limit=limit + offset), 0) for q in queries]
         columns = ["kind", "size", "mtime"]
         merged = reduce(DataFrame.unionByName, found).groupBy("path").agg(*[F.first(c).alias(c) for c in columns], F.max("score").alias("score"))
-        return merged.orderBy(F.desc("score"), (F.col("kind") != 0).asc(), "path").limit(queries[0].limit)
+        return merged.orderBy(F.desc("score"), (F.col("kind") != 0).asc(), "path").offset(offset).limit(limit)
 
     def parsed(self, text: str) -> Query:
         return parse(text, self.home, self.now)
@@ -77,7 +79,7 @@ class Engine:
         return entries.join(bits.filter(reduce(lambda a, b: a & b, hits)).select("path"), "path", "left_semi")
 
     def holding_text(self, pattern: str, mode: str) -> DataFrame:
-        """path of the docs with a line that matches; bodies that the index rules out are never read."""
+        """path of the docs with a line that matches; bodies that the index rules out are hashed, but never searched."""
         regex = content.java_regex(pattern, mode)
         docs = self.likely(regex)
         return docs.filter(F.col("body").rlike("(?m)" + regex)).join(content.lines_of(docs).filter(F.col("text").rlike(regex)), "path", "left_semi").select("path")

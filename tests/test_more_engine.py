@@ -152,8 +152,11 @@ def test_engine(spark):
 
 
 def test_normal_forms(spark):
-    e = tree(spark, ["/u/café.txt", "/u/café.txt"])
-    assert Engine(e, home="/u", now=NOW).search("café").count() == 2
+    e = tree(spark, ["/u/caf\u00e9.txt", "/u/cafe\u0301.txt"])
+    x = Engine(e, home="/u", now=NOW)
+    every = [r.path for r in x.search("caf\u00e9").collect()]
+    assert len(every) == 2
+    assert [[r.path for r in x.search("caf\u00e9 limit:1", offset=k).collect()] for k in range(3)] == [every[:1], every[1:], []]
 
 
 def test_store(spark, tmp_path):
