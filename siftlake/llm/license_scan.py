@@ -28,8 +28,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GRAM = 2
 #: Diagonals no further apart than this many words are merged: a word more or less in a notice.
 DRIFT = 3
-#: Of so many words of a notice one may be missing or changed.
-PER_MISS = 8
+#: Share of a notice's words that must stand in place.
+COVER = 0.7
 
 
 @dataclass(frozen=True)
@@ -61,6 +61,23 @@ TEMPLATES = (
 )
 
 
+def twins(templates: Sequence[Template]) -> list[tuple[int, list[int]]]:
+    """For each template a number that its twins share, and the places of the words that tell it from them.
+
+    Twins are notices of one length that differ in so few words that a copy of one covers the other (CC BY-NC and CC BY-SA).
+    """
+    out = []
+    for i, t in enumerate(templates):
+        family, telling = i, set()
+        for j, u in enumerate(templates):
+            differ = [k for k, (a, b) in enumerate(zip(t.text.split(), u.text.split(), strict=False)) if a != b]
+            n = len(t.text.split())
+            if i != j and not t.base and not u.base and n == len(u.text.split()) and n - len(differ) >= COVER * n:
+                family, telling = min(family, j), telling | set(differ)
+        out.append((family, sorted(telling)))
+    return out
+
+
 def words_of(text: Column) -> Column:
     """The words, A-Z lowered. (Splitting at gaps takes a quarter of the time of extracting words.)"""
     lowered = F.when(text.rlike(ODD), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
@@ -68,9 +85,9 @@ def words_of(text: Column) -> Column:
 
 
 def template_grams(spark: SparkSession, templates: Sequence[Template]) -> DataFrame:
-    """A row for each gram of each template: t, label, base, words, tpos, gram."""
-    rows = [(i, t.label, t.base, t.text.split()) for i, t in enumerate(templates)]
-    table = spark.createDataFrame(rows, "t int, label string, base boolean, twords array<string>")
+    """A row for each gram of each template: t, label, base, twords, family, telling, tpos, gram."""
+    rows = [(i, t.label, t.base, t.text.split(), *w) for i, (t, w) in enumerate(zip(templates, twins(templates), strict=True))]
+    table = spark.createDataFrame(rows, "t int, label string, base boolean, twords array<string>, family int, telling array<int>")
     grams = F.posexplode(gram_hashes(F.col("twords"))).alias("tpos", "gram")
     return table.select("*", grams)
 
@@ -90,12 +107,11 @@ def license_spans(docs: DataFrame, templates: Sequence[Template] = TEMPLATES) ->
     diagonal = F.col("pos") - F.col("tpos")
     # Only rows that hit take words along: those that the diagonal lays beside the template.
     beside = F.slice(F.col("words"), F.greatest(diagonal, F.lit(0)) + 1, F.size("twords") + F.least(diagonal, F.lit(0)))
-    hits = hits.select("row_no", "t", "label", "base", "twords", "tpos", "pos", diagonal.alias("diagonal"), beside.alias("beside"))
-    keys = ["row_no", "t", "label", "base", "twords", "diagonal"]
+    hits = hits.select("row_no", "t", "label", "base", "twords", "family", "telling", "tpos", "pos", diagonal.alias("diagonal"), beside.alias("beside"))
+    keys = ["row_no", "t", "label", "base", "twords", "family", "telling", "diagonal"]
     lines = hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("votes"), F.first("beside").alias("beside"))
-    # A phrase needs every vote of its diagonal, a notice more than a chance pair of words.
-    enough = F.when(F.col("base"), F.size("twords") - GRAM + 1).otherwise(F.least(F.lit(2), F.size("twords") - GRAM + 1))
-    lines = lines.filter(F.col("votes") >= enough)
+    # A phrase needs every vote of its diagonal; a notice is judged by the words of its merged span only.
+    lines = lines.filter(~F.col("base") | (F.col("votes") >= F.size("twords") - GRAM + 1))
     # The words in place on this diagonal, by their place in the template.
     own = F.slice(F.col("twords"), 1 - F.least("diagonal", F.lit(0)), F.size("twords"))
     same = F.zip_with("beside", own, lambda a, b: a == b)
@@ -107,11 +123,14 @@ def license_spans(docs: DataFrame, templates: Sequence[Template] = TEMPLATES) ->
     far = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by) > DRIFT, F.lit(True)).cast("int")
     notices = lines.filter("NOT base").withColumn("span", F.sum(far).over(by.rowsBetween(Window.unboundedPreceding, 0)))
     first, last = F.col("diagonal") + F.array_min("at"), F.col("diagonal") + F.array_max("at") + 1
-    merged = notices.filter(F.size("at") > 0).groupBy("row_no", "label", "base", "t", "span", "twords").agg(
-        F.min(first).alias("start"), F.max(last).alias("stop"), F.size(F.array_distinct(F.flatten(F.collect_set("at")))).alias("n"))
+    places = F.array_distinct(F.flatten(F.collect_set("at"))).alias("places")
+    merged = notices.filter(F.size("at") > 0).groupBy("row_no", "label", "base", "t", "span", "twords", "family", "telling").agg(F.min(first).alias("start"), F.max(last).alias("stop"), places)
     # Each place of a template counts once, so a cover is never over 1.
-    full = F.size("twords")
-    merged = merged.filter(F.col("n") >= full - F.floor(full / PER_MISS)).withColumn("cover", F.col("n") / full)
+    merged = merged.withColumn("cover", F.size("places") / F.size("twords")).filter(F.col("cover") >= COVER)
+    # A span without a word that tells its notice from a twin gives way to one of the twin that has such a word, in the same place.
+    beside = Window.partitionBy("row_no", "family").orderBy("start").rangeBetween(-DRIFT, DRIFT)
+    told = F.arrays_overlap("places", "telling")
+    merged = merged.withColumn("told", told).withColumn("rival", F.max("told").over(beside)).filter((F.size("telling") == 0) | F.col("told") | ~F.col("rival"))
     return exact.unionByName(merged.select("row_no", "label", "base", "start", "stop", "cover"))
 
 

@@ -115,6 +115,14 @@ def test_licenses_against_brute_force(spark, odd, empty):
     assert license_scan.license_scan(empty).count() == 0
 
 
+def test_license_notices_with_a_word_more(spark):
+    texts = ["Licensed under the CC BY-NC 4.0", "This work by Jane Doe is licensed under the GNU General Public License, version 3", "Licensed under CC BY-SA 4.0",
+             "Licensed under CC BY-X 4.0", "the GNU Affero General Public License", "licensed under something 4 0", "This program is free software: you may redistribute it and/or change it under the terms of the GNU General Public License"]
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0] == ("cc-by-nc", 1.0) and got[1] == ("gpl,gpl-notice", 1.0) and got[2] == ("cc-by-sa", 1.0) and got[3] == ("cc-by-nc,cc-by-sa", 6 / 7)
+    assert got[4] == ("agpl,gpl", 1.0) and got[5] == ("", 0.0) and "gpl-header" in got[6][0]
+
+
 def test_packing(spark, odd, empty):
     encode = encoder()
     for docs in (table(spark, SF, "documents"), odd.dropDuplicates(["doc_id"])):
