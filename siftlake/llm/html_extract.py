@@ -1,8 +1,8 @@
 """Main text of web pages by site template removal.
 
 Every page is cut into elements. The subtrees of block elements are hashed; Spark counts on how many pages of its host each hash
-stands, and subtrees that recur on many of them are the site's template and are deleted, as are elements that are by their tag,
-role or class no part of an article. Where a page marks its article (article or main elements), only that counts, and paragraphs
+stands, and subtrees that recur on MIN_PAGES of them, however many the host has, are the site's template and are deleted, as are
+elements that are by their tag, role or class no part of an article. Where a page marks its article (article or main elements), only that counts, and paragraphs
 in it are never taken for template, however often they are copied.
 
 Defined results: a null page is empty, and so is its text; pages without an address share a host; repeated rows get a row each;
@@ -20,13 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from .common import map_batches, text_of
+from .common import map_batches, stable, text_of, written
 
-#: A subtree is template if it stands on at least so many pages of its host, and on this share of them.
+#: A subtree is template if it stands on at least so many pages of its host.
 MIN_PAGES = 5
-MIN_SHARE = 0.25
-#: Parts that the pages of a host are dealt into when they meet its template: one host may hold a third of all pages.
-SALTS = 64
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
@@ -203,34 +200,36 @@ def host_of(url: str = "url") -> Column:
     return F.coalesce(F.regexp_extract(F.lower(F.col(url)), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit(""))
 
 
-def template_hashes(pages: DataFrame) -> DataFrame:
-    """host, template: the hashes of subtrees that recur on many of its pages; no more of them than 1 / MIN_SHARE pages hold."""
+def page_subtrees(pages: DataFrame) -> DataFrame:
+    """pages (row, host, html) -> row, host, hash: each counted subtree of a page once."""
 
     def make() -> Callable[[dict], dict]:
         def step(batch: dict) -> dict:
-            out: dict = {"host": [], "hash": []}
-            for host, source in zip(batch["host"], batch["html"], strict=True):
-                got = [None, *subtrees(parse(source))]  # the null one counts pages
+            out: dict = {"row": [], "host": [], "hash": []}
+            for row, host, source in zip(batch["row"], batch["host"], batch["html"], strict=True):
+                got = list(subtrees(parse(source)))
                 out["hash"] += got
+                out["row"] += [row] * len(got)
                 out["host"] += [host] * len(got)
             return out
 
         return step
 
-    seen = map_batches(pages.select("host", "html"), make, "host string, hash long").groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
-    total = F.max(F.when(F.col("hash").isNull(), F.col("n"))).alias("pages")
-    often = F.collect_list(F.when(F.col("hash").isNotNull() & (F.col("n") >= MIN_PAGES), F.struct("n", "hash"))).alias("often")
-    by_host = seen.filter(F.col("hash").isNull() | (F.col("n") >= MIN_PAGES)).groupBy("host").agg(total, often)
-    template = F.transform(F.filter("often", lambda x: x["n"] >= F.col("pages") * MIN_SHARE), lambda x: x["hash"])
-    return by_host.select("host", template.alias("template")).filter(F.size("template") > 0)
+    return map_batches(pages.select("row", "host", "html"), make, "row long, host string, hash long")
+
+
+def template_of(pages: DataFrame) -> DataFrame:
+    """row, template: the hashes of a page's subtrees that recur on its host; rows without any are left out."""
+    seen = written(page_subtrees(pages), "subtrees")
+    often = seen.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_PAGES)
+    # By equality of (host, hash), so that neither a host's pages nor its template meet in one row or task.
+    return seen.join(often.select("host", "hash"), ["host", "hash"], "left_semi").groupBy("row").agg(F.collect_list("hash").alias("template"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: a row for each row of pages (page_id, url, html)."""
-    known = pages.select("page_id", "url", host_of().alias("host"), text_of("html").alias("html"))
-    salted = template_hashes(known).withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    dealt = known.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    joined = dealt.join(salted, ["host", "salt"], "left").select("page_id", "url", "html", "template")
+    known = stable(pages.select("page_id", "url", "html")).select(F.monotonically_increasing_id().alias("row"), "page_id", "url", host_of().alias("host"), text_of("html").alias("html"))
+    joined = known.join(template_of(known), "row", "left").select("page_id", "url", "html", "template")
 
     def make() -> Callable[[dict], dict]:
         def step(batch: dict) -> dict:

@@ -206,6 +206,16 @@ def test_html(spark):
     assert got[3].text == "own 3" and got[None].text == "" and got[21].n_chars == 0 and len(got) == 22
 
 
+def texts_of(spark, pages):
+    df = spark.createDataFrame([(i, "http://h/x", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in html_extract.extract(df).collect()}
+
+
+def test_html_template_of_few_pages_of_a_host(spark):
+    got = texts_of(spark, [f"<body>{'<div>in this part</div>' if i < 10 else ''}<p>own {i}</p>" for i in range(320)])
+    assert got == {i: f"own {i}" for i in range(320)}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
