@@ -1,8 +1,8 @@
 """Main text of web pages by site template removal.
 
 Every page is cut into elements. The subtrees of block elements are hashed; Spark counts on how many pages of its host each hash
-stands, and subtrees that recur on MIN_PAGES of them, however many the host has, are the site's template and are deleted, as are
-elements that are by their tag, role or class no part of an article. Where a page marks its article (article or main elements), only that counts, and paragraphs
+stands, and subtrees that recur on MIN_PAGES of them, however many the host has, are the site's template and are deleted (copies of
+one page, equal in their text but for white space, count as one page), as are elements that are by their tag, role or class no part of an article. Where a page marks its article (article or main elements), only that counts, and paragraphs
 in it are never taken for template, however often they are copied.
 
 Defined results: a null page is empty, and so is its text; pages without an address share a host; repeated rows get a row each;
@@ -22,7 +22,7 @@ from pyspark.sql.column import Column
 
 from .common import map_batches, stable, text_of, written
 
-#: A subtree is template if it stands on at least so many pages of its host.
+#: A subtree is template if it stands on at least so many pages of its host that differ in their text.
 MIN_PAGES = 5
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -201,29 +201,33 @@ def host_of(url: str = "url") -> Column:
 
 
 def page_subtrees(pages: DataFrame) -> DataFrame:
-    """pages (row, host, html) -> row, host, hash: each counted subtree of a page once."""
+    """pages (row, host, html) -> row, host, hash, page: each counted subtree of a page once, with a hash of the page's whole text."""
+    from xxhash import xxh3_64_intdigest
 
     def make() -> Callable[[dict], dict]:
         def step(batch: dict) -> dict:
-            out: dict = {"row": [], "host": [], "hash": []}
+            out: dict = {"row": [], "host": [], "hash": [], "page": []}
             for row, host, source in zip(batch["row"], batch["host"], batch["html"], strict=True):
-                got = list(subtrees(parse(source)))
+                page = parse(source)
+                got = list(subtrees(page))
+                text = SPACE.sub(" ", " ".join(t for _, t in page.pieces)).strip()
                 out["hash"] += got
                 out["row"] += [row] * len(got)
                 out["host"] += [host] * len(got)
+                out["page"] += [xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)] * len(got)
             return out
 
         return step
 
-    return map_batches(pages.select("row", "host", "html"), make, "row long, host string, hash long")
+    return map_batches(pages.select("row", "host", "html"), make, "row long, host string, hash long, page long")
 
 
 def template_of(pages: DataFrame) -> DataFrame:
     """row, template: the hashes of a page's subtrees that recur on its host; rows without any are left out."""
     seen = written(page_subtrees(pages), "subtrees")
-    often = seen.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_PAGES)
+    often = seen.select("host", "hash", "page").distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_PAGES)
     # By equality of (host, hash), so that neither a host's pages nor its template meet in one row or task.
-    return seen.join(often.select("host", "hash"), ["host", "hash"], "left_semi").groupBy("row").agg(F.collect_list("hash").alias("template"))
+    return seen.select("row", "host", "hash").join(often.select("host", "hash"), ["host", "hash"], "left_semi").groupBy("row").agg(F.collect_list("hash").alias("template"))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -216,6 +216,12 @@ def test_html_template_of_few_pages_of_a_host(spark):
     assert got == {i: f"own {i}" for i in range(320)}
 
 
+def test_html_copies_of_a_page_are_no_template(spark):
+    bare, marked = "<body><p>one</p><p>two</p>", "<body><article><div><h1>Head</h1><p>three</p></div></article>"
+    got = texts_of(spark, [bare] * 5 + [marked] * 5 + [f"{marked}<!-- {i} --><script>{i}</script>" for i in range(3)])
+    assert set(got.values()) == {"one\n\ntwo", "Head\n\nthree"}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
