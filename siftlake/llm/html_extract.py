@@ -31,7 +31,9 @@ BLOCK = frozenset(
 )
 #: Elements that are no article text wherever they stand.
 DROPPED = frozenset("head nav footer aside form menu button select textarea dialog label fieldset audio video canvas map object datalist".split())
-RAW = "script|style|noscript|template|svg|iframe|math|textarea|select|title|object|noembed|noframes"
+#: Elements that may stand around a whole page, too.
+FORMS = frozenset({"form", "fieldset"})
+RAW = "script|style|noscript|template|svg|iframe|textarea|select|title|object|noembed|noframes"
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S | re.I)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 SPACE = re.compile(r"\s+")
@@ -60,6 +62,11 @@ class Element:
     end: int = 0
     last: int = 0
     article: bool = False
+    #: Clutter by itself; whether that may be a wrapper's (a class name or a form); hidden by itself; the element around it.
+    clutter: bool = False
+    soft: bool = False
+    hidden: bool = False
+    up: Element | None = None
 
 
 @dataclass
@@ -143,16 +150,58 @@ def parse(source: str) -> Page:
         inside = up is not None and up.inside
         words, roles, hidden = names_of(m[4]) if m[4].strip() else (set(), set(), False)
         article = tag in ("article", "main") or "main" in roles
-        dropped = up is not None and up.dropped or tag in DROPPED or hidden or bool(roles & ROLES) or tag not in ("html", "body") and bool(words & CLUTTER)
+        hard = tag in DROPPED - FORMS or hidden or bool(roles & ROLES - {"form"})
+        soft = tag in FORMS or "form" in roles or tag not in ("html", "body") and bool(words & CLUTTER)
         if not inside and not article and tag not in ("html", "body"):
-            dropped = dropped or tag == "header" or bool(words & OUTER)
-        e = Element(tag, m.start(), len(page.pieces), dropped, inside or article, article=article)
+            hard, soft = hard or tag == "header", soft or bool(words & OUTER)
+        e = Element(tag, m.start(), len(page.pieces), False, inside or article, article=article, clutter=hard or soft, soft=soft and not hard, hidden=hidden, up=up)
         stack.append(e)
         page.elements.append(e)
     close(0, len(source))
+    drop(page)
     return page
 
 
+def above(e: Element) -> list[Element]:
+    """The elements around e, from the innermost."""
+    out = []
+    while e.up is not None:
+        e = e.up
+        out.append(e)
+    return out
+
+
+def inherit(page: Page) -> None:
+    for e in page.elements:
+        e.dropped = e.clutter or e.up is not None and e.up.dropped
+
+
+def drop(page: Page) -> None:
+    """Sets dropped: clutter and all in it, but for wrappers that hold the page's article or most of its text."""
+    inherit(page)
+    if not any(e.dropped for e in page.elements):
+        return
+    sizes = [0]
+    for _, text in page.pieces:
+        sizes.append(sizes[-1] + len(SPACE.sub(" ", text).strip()))
+    size = lambda e: sizes[e.last] - sizes[e.first]
+    whole = roots(page)
+    if not whole:
+        marked = [e for e in page.elements if e.article and not e.clutter and not any(u.hidden for u in above(e))]
+        if marked:
+            best = max(marked, key=lambda e: (size(e), -e.start))
+            for u in above(best):
+                u.clutter = False
+            inherit(page)
+            whole = roots(page)
+    # Of an article, or of a page without one.
+    spans = [(e.first, e.last) for e in whole] or [(0, len(page.pieces))]
+    for e in page.elements:
+        if e.clutter and e.soft and any(a <= e.first and e.last <= b and 2 * size(e) > sizes[b] - sizes[a] for a, b in spans) and not (whole and e.article):
+            e.clutter = False
+    inherit(page)
+
+
 def roots(page: Page) -> list[Element]:
     """The outermost articles that are not dropped; the whole page's main elements if it has none."""
     for tags in (("article",), ("main",), None):

@@ -222,6 +222,19 @@ def test_html_copies_of_a_page_are_no_template(spark):
     assert set(got.values()) == {"one\n\ntwo", "Head\n\nthree"}
 
 
+def test_html_wrappers_of_a_page_are_kept():
+    text = lambda page: html_extract.main_text(html_extract.parse(page), set())
+    menu, related = "<nav>menu</nav>", "<div class=related><article>teaser</article></div>"
+    article = "<article><h1>Head</h1><p>The text of it.</p></article>"
+    for wrap in ("div class=content-sidebar-wrap", 'div class="site has-sidebar"', "form id=aspnetForm", "div class=no-header", "div role=form"):
+        end = wrap.split()[0]
+        assert text(f"<body><{wrap}>{menu}{article}{related}</{end}><footer>foot</footer>") == "Head\n\nThe text of it."
+        assert text(f"<body><{wrap}>{menu}<p>The text of the page.</p><div class=related>no</div></{end}><footer>foot</footer>") == "The text of the page."
+    assert text(f"<body>{article}<form>Your mail</form>{related}") == "Head\n\nThe text of it."
+    assert text("<body><article><p>It holds</p><p><math><mi>x</mi></math> here</p><div class=share>no</div></article>") == "It holds\n\nx here"
+    assert text("<body><div hidden><article>none</article></div><p>a</p>") == "a" and text("<body><article class=comment>c</article><p>some text</p>") == "some text"
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
