@@ -4,8 +4,8 @@ A text is brought into canonical form (composed Unicode, lower case, white space
 of different seeds, and texts that share a hash are compared byte by byte: where two canonical texts differ, the fingerprint
 gets the SHA-256 of the canonical text as a suffix, so that equal texts always have equal fingerprints and others never do.
 
-Composition covers a base letter followed by up to three combining marks in canonical order (every pair that Unicode
-composes), not Hangul jamo. Defined results: a null text counts as empty; repeated rows get a row each; a null id comes last.
+Composition is normal form C as unicodedata has it: characters are decomposed, runs of marks sorted by combining class, and
+composed again, Hangul by arithmetic; texts without a character that this could change are left alone. Defined results: a null text counts as empty; repeated rows get a row each; a null id comes last.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from __future__ import annotations
 import sys
 import unicodedata
 from functools import cache
-from itertools import chain
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,30 +22,97 @@ from .common import text_of, written
 
 #: Cells that document ids are counted in to cut them into buckets of similar size; the table of cells is broadcast.
 CELLS = 65_536
-MARKS = 3
+#: Vowels and final consonants of Hangul that compose with what is before them.
+VOWELS, FINALS = (0x1161, 0x1175), (0x11A8, 0x11C2)
 
 
 @cache
 def compositions() -> dict[str, str]:
-    """Pairs of base letter and mark with the character that Unicode composes of them."""
+    """Pairs of characters with the one that Unicode composes of them (without Hangul)."""
     out = {}
     for code in range(sys.maxunicode + 1):
         c = chr(code)
-        pair = unicodedata.normalize("NFD", c)
         parts = unicodedata.decomposition(c).split()
-        if len(parts) == 2 and parts[0][0] != "<" and unicodedata.normalize("NFC", pair) == c:
+        if len(parts) == 2 and parts[0][0] != "<" and unicodedata.normalize("NFC", c) == c:
             out[chr(int(parts[0], 16)) + chr(int(parts[1], 16))] = c
-    return {k: v for k, v in out.items() if unicodedata.category(k[1])[0] == "M"}
+    return out
+
+
+@cache
+def decompositions() -> dict[str, str]:
+    """Characters with their full canonical decomposition (without Hangul)."""
+    every = (chr(code) for code in range(sys.maxunicode + 1) if not 0xD800 <= code < 0xE000 and not 0xAC00 <= code <= 0xD7A3)
+    return {c: d for c in every if (d := unicodedata.normalize("NFD", c)) != c}
+
+
+@cache
+def marks() -> dict[str, int]:
+    """Characters of a combining class, with it."""
+    return {chr(code): n for code in range(sys.maxunicode + 1) if (n := unicodedata.combining(chr(code)))}
+
+
+def ranges(characters: set[str]) -> str:
+    """The inside of a regex class of characters."""
+    codes, out = sorted(map(ord, characters)), []
+    for code in codes:
+        if out and out[-1][1] == code - 1:
+            out[-1][1] = code
+        else:
+            out.append([code, code])
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in out)
 
 
 def composed(text: Column) -> Column:
-    """The text with base letters and marks composed; texts without marks are left alone."""
-    pairs = F.create_map(*[F.lit(x) for x in chain.from_iterable(compositions().items())])
-    out = text
-    for _ in range(MARKS):
-        tokens = F.regexp_extract_all(out, F.lit(r"(?s)[^\p{M}]\p{M}|[^\p{M}]+(?=[^\p{M}]\p{M})|[^\p{M}]+|\p{M}"), F.lit(0))
-        out = F.array_join(F.transform(tokens, lambda t: F.when(F.length(t) == 2, F.coalesce(F.try_element_at(pairs, t), t)).otherwise(t)), "")
-    return F.when(text.rlike(r"\p{M}"), out).otherwise(text)
+    """The text in normal form C; texts without a character that it could change are left alone."""
+    # One literal a table: thousands of them take long to plan.
+    table = lambda d: F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in d.items())), F.lit("\x02"), F.lit("\x01"))
+    pairs, whole, classes = compositions(), decompositions(), marks()
+    hangul = {chr(code) for a, b in (VOWELS, FINALS) for code in range(a, b + 1)}
+    joining = set(classes) | {k[1] for k in pairs} | hangul
+    joins, splits = ranges(joining), ranges(set(whole))
+    changing = ranges(joining | {c for c in whole if unicodedata.normalize("NFC", c) != c})
+    # A class is looked up as the code of a character that stands for it, 0 for characters of none.
+    froms, tos = "".join(classes), "".join(chr(0xE000 + n) for n in classes.values())
+    code = lambda c: F.ascii(c)
+    class_of = lambda c: F.when(F.translate(c, froms, tos) != c, code(F.translate(c, froms, tos)) - 0xE000).otherwise(F.lit(0))
+    each = lambda t: F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0))
+
+    def ordered(t: Column) -> Column:
+        """Characters with their class: runs of marks sorted by it, others in place."""
+        numbered = F.transform(each(t), lambda c, i: F.struct(class_of(c).alias("n"), i.alias("i"), c.alias("c")))
+        start = F.struct(F.lit(0).alias("run"), F.array().cast("array<struct<run:int,n:int,i:int,c:string>>").alias("out"))
+
+        def step(a: Column, x: Column) -> Column:
+            run = a["run"] + F.when(x["n"] == 0, 1).otherwise(0)
+            return F.struct(run.alias("run"), F.concat(a["out"], F.array(F.struct(run.alias("run"), x["n"].alias("n"), x["i"].alias("i"), x["c"].alias("c")))).alias("out"))
+
+        return F.array_sort(F.aggregate(numbered, start, step)["out"])
+
+    def pair(a: Column, c: Column) -> Column:
+        """What a and c compose to, else null."""
+        first, second = code(a), code(c)
+        syllable = F.when(first.between(0x1100, 0x1112) & second.between(*VOWELS), 0xAC00 + ((first - 0x1100) * 21 + second - VOWELS[0]) * 28)
+        syllable = syllable.when(first.between(0xAC00, 0xD7A3) & ((first - 0xAC00) % 28 == 0) & second.between(*FINALS), first + second - FINALS[0] + 1)
+        return F.coalesce(F.decode(F.unhex(F.hex(syllable)), "UTF-16BE"), F.try_element_at(table(pairs), F.concat(a, c)))
+
+    def cluster(t: Column) -> Column:
+        """done: text behind; base: the last character of no class; rest: marks after it, the last of class n."""
+        start = F.struct(F.lit("").alias("done"), F.lit("").alias("base"), F.lit("").alias("rest"), F.lit(0).alias("n"))
+
+        def step(a: Column, x: Column) -> Column:
+            free = (a["rest"] == "") | (a["n"] < x["n"])
+            put = lambda done, base, rest, n: F.struct(done.alias("done"), base.alias("base"), rest.alias("rest"), n.alias("n"))
+            new = F.when(free, pair(a["base"], x["c"]))
+            apart = F.when(x["n"] == 0, put(F.concat(a["done"], a["base"], a["rest"]), x["c"], F.lit(""), F.lit(0))).otherwise(put(a["done"], a["base"], F.concat(a["rest"], x["c"]), x["n"]))
+            return F.when(new.isNotNull(), put(a["done"], new, a["rest"], a["n"])).otherwise(apart)
+
+        return F.aggregate(ordered(t), start, step, lambda a: F.concat(a["done"], a["base"], a["rest"]))
+
+    tokens = F.regexp_extract_all(text, F.lit(f"(?s)[{splits}]|[^{splits}]+"), F.lit(0))
+    apart = F.array_join(F.transform(tokens, lambda t: F.when(F.length(t) == 1, F.coalesce(F.try_element_at(table(whole), t), t)).otherwise(t)), "")
+    tokens = F.regexp_extract_all(apart, F.lit(f"(?s)[^{joins}]?[{joins}]+|[^{joins}]+(?=[^{joins}][{joins}])|[^{joins}]+"), F.lit(0))
+    out = F.array_join(F.transform(tokens, lambda t: F.when(t.rlike(f"[{joins}]"), cluster(t)).otherwise(t)), "")
+    return F.when(text.rlike(f"[{changing}]"), out).otherwise(text)
 
 
 def canonical(text: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from siftlake.llm import html_extract, langid, license_scan, near_dedup, packing, quality, token_output
 from siftlake.llm.common import stable, table
 from siftlake.llm.exact_dedup import exact_dedup, exact_groups
-from siftlake.llm.fingerprint import fingerprints
+from siftlake.llm.fingerprint import composed, fingerprints
 from siftlake.llm.sentencepiece_scan import encode_and_decode, encode_whole, pieces
 from siftlake.llm.tokens import encoder
 
@@ -101,6 +101,20 @@ def test_fingerprints_against_brute_force(spark, odd, empty):
     assert fingerprints(empty).count() == 0
 
 
+def test_composed_is_normal_form_c(spark):
+    nfd = lambda t: unicodedata.normalize("NFD", t)
+    changed = "".join(c for c in map(chr, range(0x30000)) if not "\ud800" <= c <= "\udfff" and unicodedata.normalize("NFC", c) != c)
+    letters = " ".join(c for c in map(chr, range(0x30000)) if not "\uac00" <= c <= "\udfff" and nfd(c) != c)
+    texts = ["", "plain", "\u212b \u2126 \uf900", changed, letters, nfd(letters), nfd("\ud55c\uad6d\uc5b4 \uac00\uac01"), "\uac00\u11a8\u11a8 \u1100\u1161\u0301\u11a8 \u1161", "a\u0327\u0301", "\u00e1\u0327",
+             "a\u0301\u0327", "\u0301\u0327x", "q\u0307\u0323\u0301", "a\u0315\u0300\u05ae\u0300\u0062", "\u09c7\u09be \u09c7\u0301\u09be", "".join(map(chr, range(0xAC00, 0xAC40))), "a\n" + "e\u0301" * 9]
+    rng = np.random.default_rng(3)
+    pool = list("aeoAqc \n\u00e1\u01d5\u0327\u0301\u0308\u0323\u0345\u09c7\u09be\u1100\u1161\u11a8\uac00\u212b\u0344\u0958\U0001d15e\U0001d165\U0001d16e")
+    texts += ["".join(rng.choice(pool, 30)) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string").withColumn("c", composed(F.col("text")))
+    for r in df.collect():
+        assert r.c == unicodedata.normalize("NFC", r.text), r.text
+
+
 def test_licenses_against_brute_force(spark, odd, empty):
     phrases = {"mit": ["mit", "license"], "apache": ["apache", "license"], "gpl": ["general", "public", "license"]}
     docs = table(spark, SF, "documents")
