@@ -13,8 +13,9 @@ from pyspark.sql import types as T
 from pyspark.sql.column import Column
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows of one Arrow batch handed to Python: texts can be long, so batches are small.
+#: Rows and bytes of one Arrow batch handed to Python: texts can be long, so both are bounded.
 BATCH_ROWS = 512
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,41 +26,64 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def tune(spark: SparkSession) -> None:
     """Session settings that keep a Python worker's memory bounded."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    A folder of this machine is set only where the setting is absent, as in tests.
+    A folder of this machine is set only where the setting is absent and all of Spark is in this process, as in tests.
     """
     folder = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="siftlake-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+#: Tables written so far, for drop_written.
+WRITTEN: list[str] = []
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage is cut, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """df, or a written copy of it, whose rows get the same numbers of monotonically_increasing_id in every scan.
+def drop_written(spark: SparkSession) -> None:
+    """Delete the tables written so far; to be called once results that read them have been saved."""
+    while WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def numbered(df: DataFrame, name: str = "row") -> DataFrame:
+    """df with a number of each row, written once, so that all that reads it sees the same numbers."""
+    return written(df.withColumn(name, F.monotonically_increasing_id()), "rows")
+
+
+def plain_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with names that clash with none of an operator's, and which old name each stands for."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
 
-    The splits of files follow from the cores at hand unless their least number is set; it is kept for the session here, so that
-    a scan after the loss of executors numbers rows like the one before. Plans that are more than a scan of files are written.
+
+def skew_join(left: DataFrame, right: DataFrame, on: str, n: str, rows: int, how: str = "inner", heavy: int = 1024) -> DataFrame:
+    """left joined to right (one row a key; n: how many rows of left have it) without a hot key meeting in one task.
+
+    Keys with over rows / heavy of left's rows are fewer than heavy, so they are broadcast; the others are shuffled. rows is the
+    number of rows of left. Both sides should be written tables, as they are read twice.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.sql.files.minPartitionNum", None):
-        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
-    plan = df._jdf.queryExecution().optimizedPlan()
-    while plan.nodeName() in ("Project", "Filter") and plan.deterministic():
-        plan = plan.child()
-    return df if plan.nodeName() == "LogicalRelation" else written(df, "rows")
+    hot = F.broadcast(right.filter(F.col(n) > rows / heavy))
+    cold = right.filter(F.col(n) <= rows / heavy)
+    by_hot = left.join(hot, on, "left_semi" if how == "left_semi" else "inner")
+    return by_hot.unionByName(left.join(hot.select(on), on, "left_anti").join(cold, on, how))
 
 
 def crc_mod(col: str | Column, n: int) -> Column:
@@ -72,6 +96,16 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of BATCH_BYTES at most, or of a single row."""
+    if batch.num_rows <= 1 or batch.nbytes <= BATCH_BYTES:
+        yield batch
+        return
+    half = batch.num_rows // 2
+    yield from sliced(batch.slice(0, half))
+    yield from sliced(batch.slice(half))
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str | T.StructType) -> DataFrame:
     """df through a Python function on batches of columns.
 
@@ -83,7 +117,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schem
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in sliced(whole)):
             if batch.num_rows:
                 got = step({n: c.to_pylist() for n, c in zip(batch.schema.names, batch.columns, strict=True)})
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in arrow], schema=arrow)

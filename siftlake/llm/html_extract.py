@@ -6,21 +6,26 @@ one page, equal in their text but for white space, count as one page), as are el
 in it are never taken for template, however often they are copied.
 
 Defined results: a null page is empty, and so is its text; pages without an address share a host; repeated rows get a row each;
-broken markup never fails: end tags without a start are ignored, open elements end with the page.
+broken markup never fails: end tags without a start are ignored, open elements end with the page, a quote that is never closed
+counts as none, a tag without an end drops what is left of the page; extra columns, of whatever name, are ignored; an empty table
+gives an empty result. Reading takes time in proportion to a page's length, however it is written.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Callable
+from bisect import bisect_right
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
+from xxhash import xxh3_64, xxh3_64_intdigest
 
-from .common import map_batches, stable, text_of, written
+from .common import map_batches, skew_join, text_of, written
 
 #: A subtree is template if it stands on at least so many pages of its host that differ in their text.
 MIN_PAGES = 5
@@ -30,11 +35,13 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 #: Elements that are no article text wherever they stand.
-DROPPED = frozenset("head nav footer aside form menu button select textarea dialog label fieldset audio video canvas map object datalist".split())
+DROPPED = frozenset("head nav footer aside form menu button select textarea dialog label fieldset audio video datalist".split())
 #: Elements that may stand around a whole page, too.
 FORMS = frozenset({"form", "fieldset"})
-RAW = "script|style|noscript|template|svg|iframe|textarea|select|title|object|noembed|noframes"
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S | re.I)
+#: Elements whose inside is no text of the page, up to their first end tag.
+RAW = frozenset("script style template svg iframe textarea select title noembed noframes".split())
+OPENING = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 SPACE = re.compile(r"\s+")
 #: Words of class names and ids of what surrounds an article; the second list counts only outside of one.
@@ -62,11 +69,15 @@ class Element:
     end: int = 0
     last: int = 0
     article: bool = False
-    #: Clutter by itself; whether that may be a wrapper's (a class name or a form); hidden by itself; the element around it.
+    #: Clutter by itself; whether that may be a wrapper's (a class name or a form); hidden by itself, or by one around it; the element around it.
     clutter: bool = False
     soft: bool = False
     hidden: bool = False
+    veiled: bool = False
     up: Element | None = None
+    #: Of the element's tag, its text and its children's digests, without differences of white space.
+    hasher: xxh3_64 | None = None
+    digest: int = 0
 
 
 @dataclass
@@ -94,68 +105,134 @@ def names_of(attributes: str) -> tuple[set[str], set[str], bool]:
     return words, roles, hidden
 
 
+def tag_end(source: str, at: int) -> tuple[int, int]:
+    """Where the attributes from at on end and where the tag does; (-1, -1) if it never does.
+
+    A quote that is never closed counts as none from there on: the tag ends at the next >.
+    """
+    while m := STOP.search(source, at):
+        if m[0] == ">":
+            return m.start(), m.end()
+        at = source.find(m[0], m.end()) + 1
+        if not at:
+            end = source.find(">", m.end())
+            return (end, end + 1) if end >= 0 else (-1, -1)
+    return -1, -1
+
+
+def tokens(source: str) -> Iterator[tuple[str, str, str, int, int]]:
+    """kind (text, start, end or raw), text or name, attributes, and where it starts and ends; comments and the like are left out.
+
+    Every character is passed a bounded number of times, however broken the markup.
+    """
+    at, size = 0, len(source)
+    raw_ends: dict[str, re.Pattern] = {}
+    while at < size:
+        lt = source.find("<", at)
+        if lt != at:
+            stop = size if lt < 0 else lt
+            yield "text", source[at:stop], "", at, stop
+            at = stop
+            continue
+        closer = next((c for o, c in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<!", ">"), ("<?", ">")) if source.startswith(o, at)), None)
+        if closer:
+            end = source.find(closer, at + (4 if closer == "-->" else 2))
+            stop = size if end < 0 else end + len(closer)
+            if closer == "]]>":
+                yield "text", source[at + 9 : size if end < 0 else end], "", at, stop
+            at = stop
+            continue
+        m = OPENING.match(source, at)
+        if not m:
+            yield "text", "<", "", at, at + 1
+            at += 1
+            continue
+        inner, stop = tag_end(source, m.end())
+        if stop < 0:
+            return
+        name = m[2].lower()
+        if not m[1] and name in RAW and not source[m.end() : inner].endswith("/"):
+            if name not in raw_ends:
+                raw_ends[name] = re.compile(rf"</{name}\s*>", re.I)
+            last = raw_ends[name].search(source, stop)
+            stop = last.end() if last else size
+            yield "raw", name, "", at, stop
+        else:
+            yield "end" if m[1] else "start", name, source[m.end() : inner], at, stop
+        at = stop
+
+
 def parse(source: str) -> Page:
     page = Page(source)
     stack: list[Element] = []
+    #: How many elements of a tag are open: the stack is searched only for those.
+    standing: Counter[str] = Counter()
     block = 0
 
     def close(upto: int, at: int) -> None:
         while len(stack) > upto:
             e = stack.pop()
-            e.end, e.last = at, len(page.pieces)
-
-    for m in TOKEN.finditer(source):
-        tag = m[3]
-        if tag is None:
-            token = m[0]
-            if m[1] is None and (token[0] != "<" or len(token) == 1):
-                page.pieces.append((block, token))
-            elif token.startswith("<![CDATA["):
-                page.pieces.append((block, token[9:].removesuffix("]]>")))
-            elif m[1] is not None and m[1].lower() == "title":
-                block += 1
+            standing[e.tag] -= 1
+            e.end, e.last, e.digest, e.hasher = at, len(page.pieces), e.hasher.intdigest() - (1 << 63), None
+            feed(f"\0{e.digest}")
+
+    def feed(text: str) -> None:
+        if stack:
+            stack[-1].hasher.update(SPACE.sub(" ", text).encode("utf-8", "surrogatepass"))
+
+    for kind, token, attributes, start, stop in tokens(source):
+        if kind == "text":
+            page.pieces.append((block, token))
+            feed(token)
+            continue
+        tag = token
+        if kind == "raw":
+            block += tag == "title"
             continue
-        tag = tag.lower()
         if tag == "br":
             page.pieces.append((block, " "))
+            feed("\0br")
             continue
         if tag in BLOCK:
             block += 1
-        if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
+        if kind == "end":
+            for k in () if not standing[tag] else range(len(stack) - 1, -1, -1):
                 if stack[k].tag == tag:
-                    close(k, m.end())
+                    close(k, stop)
                     break
                 if stack[k].article:
                     break
             continue
-        if tag in BLOCK and tag != "p" or tag == "p":
+        if tag in BLOCK and standing["p"]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k].tag == "p":
-                    close(k, m.start())
+                    close(k, start)
                     break
                 if stack[k].tag in BLOCK:
                     break
-        if tag in CLOSED_BY:
+        if tag in CLOSED_BY and any(standing[t] for t in CLOSED_BY[tag]):
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k].tag in CLOSED_BY[tag]:
-                    close(k, m.start())
+                    close(k, start)
                     if tag != "tr" or stack and stack[-1].tag != "tr":
                         break
                 elif stack[k].tag in SCOPES[tag]:
                     break
-        if tag in VOID or m[4].rstrip().endswith("/") and tag not in BLOCK:
+        if tag in VOID or attributes.rstrip().endswith("/") and tag not in BLOCK:
+            feed(f"\0{tag}{attributes}")
             continue
         up = stack[-1] if stack else None
         inside = up is not None and up.inside
-        words, roles, hidden = names_of(m[4]) if m[4].strip() else (set(), set(), False)
+        words, roles, hidden = names_of(attributes) if attributes.strip() else (set(), set(), False)
         article = tag in ("article", "main") or "main" in roles
         hard = tag in DROPPED - FORMS or hidden or bool(roles & ROLES - {"form"})
         soft = tag in FORMS or "form" in roles or tag not in ("html", "body") and bool(words & CLUTTER)
         if not inside and not article and tag not in ("html", "body"):
             hard, soft = hard or tag == "header", soft or bool(words & OUTER)
-        e = Element(tag, m.start(), len(page.pieces), False, inside or article, article=article, clutter=hard or soft, soft=soft and not hard, hidden=hidden, up=up)
+        e = Element(tag, start, len(page.pieces), False, inside or article, article=article, clutter=hard or soft, soft=soft and not hard, hidden=hidden, veiled=up is not None and (up.hidden or up.veiled), up=up, hasher=xxh3_64())
         stack.append(e)
+        standing[tag] += 1
+        feed(f"{tag}{attributes}\0")
         page.elements.append(e)
     close(0, len(source))
     drop(page)
@@ -187,7 +264,7 @@ def drop(page: Page) -> None:
     size = lambda e: sizes[e.last] - sizes[e.first]
     whole = roots(page)
     if not whole:
-        marked = [e for e in page.elements if e.article and not e.clutter and not any(u.hidden for u in above(e))]
+        marked = [e for e in page.elements if e.article and not e.clutter and not e.veiled]
         if marked:
             best = max(marked, key=lambda e: (size(e), -e.start))
             for u in above(best):
@@ -196,9 +273,12 @@ def drop(page: Page) -> None:
             whole = roots(page)
     # Of an article, or of a page without one.
     spans = [(e.first, e.last) for e in whole] or [(0, len(page.pieces))]
+    firsts = [a for a, _ in spans]
     for e in page.elements:
-        if e.clutter and e.soft and any(a <= e.first and e.last <= b and 2 * size(e) > sizes[b] - sizes[a] for a, b in spans) and not (whole and e.article):
-            e.clutter = False
+        if e.clutter and e.soft and not (whole and e.article):
+            a, b = spans[max(0, bisect_right(firsts, e.first) - 1)]
+            if a <= e.first and e.last <= b and 2 * size(e) > sizes[b] - sizes[a]:
+                e.clutter = False
     inherit(page)
 
 
@@ -215,15 +295,12 @@ def roots(page: Page) -> list[Element]:
 
 
 def subtrees(page: Page) -> dict[int, list[Element]]:
-    """Elements whose recurrence counts, by the hash of their source without differences of white space."""
-    from xxhash import xxh3_64_intdigest
-
+    """Elements whose recurrence counts, by their digest."""
     whole = {id(e) for e in roots(page)}
     out: dict[int, list[Element]] = {}
     for e in page.elements:
         if e.tag in (COUNTED_INSIDE if e.inside else COUNTED) and id(e) not in whole and e.end > e.start:
-            text = SPACE.sub(" ", page.source[e.start : e.end])
-            out.setdefault(xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63), []).append(e)
+            out.setdefault(e.digest, []).append(e)
     return out
 
 
@@ -232,7 +309,7 @@ def main_text(page: Page, template: set[int]) -> str:
     keep = bytearray(len(page.pieces)) if (whole := roots(page)) else bytearray(b"\1" * len(page.pieces))
     for e in whole:
         keep[e.first : e.last] = b"\1" * (e.last - e.first)
-    gone = [e for e in page.elements if e.dropped]
+    gone = [e for e in page.elements if e.dropped and not (e.up and e.up.dropped)]
     if template:
         gone += [e for h, es in subtrees(page).items() if h in template for e in es]
     for e in gone:
@@ -250,39 +327,50 @@ def host_of(url: str = "url") -> Column:
 
 
 def page_subtrees(pages: DataFrame) -> DataFrame:
-    """pages (row, host, html) -> row, host, hash, page: each counted subtree of a page once, with a hash of the page's whole text."""
-    from xxhash import xxh3_64_intdigest
-
+    """pages (k0, k1, host, html) -> k0, k1, host, hash, page: each counted subtree of a page once, with a hash of the page's whole text."""
     def make() -> Callable[[dict], dict]:
         def step(batch: dict) -> dict:
-            out: dict = {"row": [], "host": [], "hash": [], "page": []}
-            for row, host, source in zip(batch["row"], batch["host"], batch["html"], strict=True):
+            out: dict = {"k0": [], "k1": [], "host": [], "hash": [], "page": []}
+            for *keys, host, source in zip(batch["k0"], batch["k1"], batch["host"], batch["html"], strict=True):
                 page = parse(source)
                 got = list(subtrees(page))
                 text = SPACE.sub(" ", " ".join(t for _, t in page.pieces)).strip()
                 out["hash"] += got
-                out["row"] += [row] * len(got)
-                out["host"] += [host] * len(got)
+                for name, value in zip(out, (*keys, host), strict=False):
+                    out[name] += [value] * len(got)
                 out["page"] += [xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)] * len(got)
             return out
 
         return step
 
-    return map_batches(pages.select("row", "host", "html"), make, "row long, host string, hash long, page long")
+    return map_batches(pages.select("k0", "k1", "host", "html"), make, "k0 long, k1 long, host string, hash long, page long")
 
 
 def template_of(pages: DataFrame) -> DataFrame:
-    """row, template: the hashes of a page's subtrees that recur on its host; rows without any are left out."""
-    seen = written(page_subtrees(pages), "subtrees")
-    often = seen.select("host", "hash", "page").distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_PAGES)
-    # By equality of (host, hash), so that neither a host's pages nor its template meet in one row or task.
-    return seen.select("row", "host", "hash").join(often.select("host", "hash"), ["host", "hash"], "left_semi").groupBy("row").agg(F.collect_list("hash").alias("template"))
+    """k0, k1, template: the hashes of a page's subtrees that recur on its host; pages without any are left out.
+
+    Only (host, hash) pairs that recur are kept for the second step, and both steps count by equality of (host, hash), so that
+    neither a host's pages nor its template meet in one row; a subtree on a third of all pages is broadcast.
+    """
+    seen = written(page_subtrees(pages).distinct(), "subtrees")
+    counted = seen.select("host", "hash", "page").distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= MIN_PAGES)
+    both = F.struct("host", "hash").alias("subtree")
+    often = seen.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_PAGES).join(counted, ["host", "hash"])
+    often = written(often.select(both, "n"), "template")
+    hits = skew_join(seen.select("k0", "k1", "hash", both), often, "subtree", "n", seen.count())
+    return hits.groupBy("k0", "k1").agg(F.collect_set("hash").alias("template"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars: a row for each row of pages (page_id, url, html)."""
-    known = stable(pages.select("page_id", "url", "html")).select(F.monotonically_increasing_id().alias("row"), "page_id", "url", host_of().alias("host"), text_of("html").alias("html"))
-    joined = known.join(template_of(known), "row", "left").select("page_id", "url", "html", "template")
+    """page_id, url, text, n_chars: a row for each row of pages (page_id, url, html).
+
+    A page is known by a 128-bit hash of its address and source, which any scan of the table gives alike.
+    """
+    key = [F.xxhash64("url", "html").alias("k0"), F.xxhash64(F.lit("second"), "html", "url").alias("k1")]
+    known = pages.select(*key, "page_id", "url", host_of().alias("host"), text_of("html").alias("html"))
+    template = written(template_of(known), "templates")
+    # Only repeated rows share a key; where they are many, the adaptive plan splits their side of the join.
+    joined = known.join(template, ["k0", "k1"], "left").select("page_id", "url", "html", "template")
 
     def make() -> Callable[[dict], dict]:
         def step(batch: dict) -> dict:
