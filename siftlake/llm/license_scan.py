@@ -1,10 +1,14 @@
 """License scans by diagonal voting, with DataFrame functions only.
 
 Every rolling hash of GRAM words of a text is joined to the places of the same hash in the templates (a fixed parameter of a few
-hundred rows, broadcast). Hits are summed by offset diagonal (place in the text less place in the template), neighbouring
-diagonals are merged, and the words themselves are compared before a span counts.
+hundred rows, broadcast). Hits are summed by offset diagonal (place in the text less place in the template), and each diagonal is
+merged with its neighbours, those that a span of few enough edits can have. A merged span is verified by the edit distance of its
+words to the notice's, of which the share that is no edit is its cover; of neighbouring spans the best one stays.
 
-Defined results: a null text counts as empty; an empty text has no words; repeated rows get a row each; extra columns are ignored.
+The table is scanned once: a marker takes each row's number, id and count of words through the same join.
+
+Defined results: a null text counts as empty; an empty text has no words; repeated rows get a row each; ids may be null; an empty
+table gives an empty result; extra columns, of whatever name, are ignored; ties of neighbouring spans go to the first one.
 """
 
 from __future__ import annotations
@@ -16,20 +20,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from .common import stable, text_of, written
+from .common import text_of, written
 
-#: What stands between words, in text in which A-Z have been lowered; and the same in text as it is.
+#: What stands between words, in text in which A-Z have been lowered.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: The characters beyond ASCII whose lower case has ASCII letters: for texts without them, lower() does to words what lowering A-Z
 #: does, as far as ASCII words go, and is much faster.
 ODD = "[\u0130\u212a]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GRAM = 2
-#: Diagonals no further apart than this many words are merged: a word more or less in a notice.
+#: Twins' spans that start no further apart than this many words stand in the same place.
 DRIFT = 3
-#: Share of a notice's words that must stand in place.
+#: Share of a notice's words that its span must have without an edit.
 COVER = 0.7
+#: A gram's hash that marks rows, and the number that stands for its template.
+MARKER, ROW = 0, -1
 
 
 @dataclass(frozen=True)
@@ -84,12 +89,19 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(lowered, GAP), "")
 
 
-def template_grams(spark: SparkSession, templates: Sequence[Template]) -> DataFrame:
-    """A row for each gram of each template: t, label, base, twords, family, telling, tpos, gram."""
-    rows = [(i, t.label, t.base, t.text.split(), *w) for i, (t, w) in enumerate(zip(templates, twins(templates), strict=True))]
-    table = spark.createDataFrame(rows, "t int, label string, base boolean, twords array<string>, family int, telling array<int>")
-    grams = F.posexplode(gram_hashes(F.col("twords"))).alias("tpos", "gram")
-    return table.select("*", grams)
+def template_table(spark: SparkSession, templates: Sequence[Template]) -> DataFrame:
+    """A row for each template: t, label, base, twords, edits (how many a span may have), code, family, telling."""
+    codes = vocabulary(templates)
+    rows = []
+    for i, (t, w) in enumerate(zip(templates, twins(templates), strict=True)):
+        words = t.text.split()
+        rows.append((i, t.label, t.base, words, 0 if t.base else int((1 - COVER) * len(words) + 1e-9), "".join(map(codes.__getitem__, words)), *w))
+    return spark.createDataFrame(rows, "t int, label string, base boolean, twords array<string>, edits int, code string, family int, telling array<int>")
+
+
+def vocabulary(templates: Sequence[Template]) -> dict[str, str]:
+    """A character for each word of the templates, so that the edit distance of words is one of strings."""
+    return {w: chr(0x100 + k) for k, w in enumerate(dict.fromkeys(w for t in templates for w in t.text.split()))}
 
 
 def gram_hashes(words: Column) -> Column:
@@ -98,46 +110,71 @@ def gram_hashes(words: Column) -> Column:
     return F.zip_with(F.slice(words, F.lit(1), last), F.slice(words, F.lit(GRAM), last), lambda a, b: F.xxhash64(a, b))
 
 
-def license_spans(docs: DataFrame, templates: Sequence[Template] = TEMPLATES) -> DataFrame:
-    """docs (row_no, text) -> row_no, label, base, start, stop (words from 0), cover: every verified span."""
-    grams = template_grams(docs.sparkSession, templates)
-    words = docs.select("row_no", words_of(F.col("text")).alias("words"))
-    placed = words.select("row_no", "words", F.posexplode(gram_hashes(F.col("words"))).alias("pos", "gram"))
-    hits = placed.join(F.broadcast(grams), "gram")
-    diagonal = F.col("pos") - F.col("tpos")
-    # Only rows that hit take words along: those that the diagonal lays beside the template.
-    beside = F.slice(F.col("words"), F.greatest(diagonal, F.lit(0)) + 1, F.size("twords") + F.least(diagonal, F.lit(0)))
-    hits = hits.select("row_no", "t", "label", "base", "twords", "family", "telling", "tpos", "pos", diagonal.alias("diagonal"), beside.alias("beside"))
-    keys = ["row_no", "t", "label", "base", "twords", "family", "telling", "diagonal"]
-    lines = hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("votes"), F.first("beside").alias("beside"))
+def license_lines(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """docs (doc_id, text) -> row_no, t, diagonal, votes, w0, wide, written once.
+
+    wide: the words beside the template on that diagonal and as many more at either end as a span may have edits, from word w0 on.
+    For each row of docs there is also one line with the template ROW, and with doc_id and n_words.
+    """
+    marker = docs.sparkSession.createDataFrame([(ROW, 0, 0, 0, MARKER)], "t int, size int, edits int, tpos int, gram long")
+    own = table.select("t", F.size("twords").alias("size"), "edits", F.posexplode(gram_hashes(F.col("twords"))).alias("tpos", "gram"))
+    words = docs.select(F.monotonically_increasing_id().alias("row_no"), "doc_id", words_of(F.col("text")).alias("words"))
+    marked = F.concat(F.array(F.lit(MARKER).cast("long")), gram_hashes(F.col("words")))
+    hits = words.select("row_no", "doc_id", "words", F.posexplode(marked).alias("pos", "gram")).join(F.broadcast(own.unionByName(marker)), "gram")
+    row = F.col("t") == ROW
+    hits = hits.filter(row == (F.col("pos") == 0))
+    diagonal = F.when(row, 0).otherwise(F.col("pos") - 1 - F.col("tpos"))
+    hits = hits.select("row_no", "t", "size", "edits", "words", diagonal.alias("diagonal"), F.when(row, F.col("doc_id")).alias("doc_id"), F.when(row, F.size("words").cast("long")).alias("n_words"))
+    w0 = F.greatest(F.col("diagonal") - F.col("edits"), F.lit(0))
+    wide = F.slice("words", w0 + 1, F.col("diagonal") + F.col("size") + F.col("edits") - w0)
+    hits = hits.select("row_no", "t", "diagonal", "doc_id", "n_words", w0.alias("w0"), F.when(F.col("t") != ROW, wide).alias("wide"))
+    lines = hits.groupBy("row_no", "t", "diagonal", "doc_id", "n_words", "w0").agg(F.count(F.lit(1)).alias("votes"), F.first("wide").alias("wide"))
+    return written(lines, "diagonals")
+
+
+def license_spans(lines: DataFrame, table: DataFrame, templates: Sequence[Template] = TEMPLATES) -> DataFrame:
+    """row_no, label, base, start, stop (words from 0), cover: every verified span of license_lines."""
+    lines = lines.filter(F.col("t") != ROW).select("row_no", "t", "diagonal", "votes", "w0", "wide").join(F.broadcast(table), "t")
     # A phrase needs every vote of its diagonal; a notice is judged by the words of its merged span only.
     lines = lines.filter(~F.col("base") | (F.col("votes") >= F.size("twords") - GRAM + 1))
     # The words in place on this diagonal, by their place in the template.
-    own = F.slice(F.col("twords"), 1 - F.least("diagonal", F.lit(0)), F.size("twords"))
-    same = F.zip_with("beside", own, lambda a, b: a == b)
-    hit_at = F.filter(F.transform(same, lambda x, i: F.when(x, i - F.least(F.col("diagonal"), F.lit(0)))), lambda i: i.isNotNull())
-    lines = written(lines.select(*keys, hit_at.alias("at")), "diagonals")
-    exact = lines.filter("base").filter(F.size("at") == F.size("twords")).select("row_no", "label", "base", F.col("diagonal").alias("start"), (F.col("diagonal") + F.size("twords")).alias("stop"), F.lit(1.0).alias("cover"))
-    # A notice with a word more or less lies on neighbouring diagonals: those are merged and their words united.
-    by = Window.partitionBy("row_no", "t").orderBy("diagonal")
-    far = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by) > DRIFT, F.lit(True)).cast("int")
-    notices = lines.filter("NOT base").withColumn("span", F.sum(far).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    first, last = F.col("diagonal") + F.array_min("at"), F.col("diagonal") + F.array_max("at") + 1
-    places = F.array_distinct(F.flatten(F.collect_set("at"))).alias("places")
-    merged = notices.filter(F.size("at") > 0).groupBy("row_no", "label", "base", "t", "span", "twords", "family", "telling").agg(F.min(first).alias("start"), F.max(last).alias("stop"), places)
-    # Each place of a template counts once, so a cover is never over 1.
-    merged = merged.withColumn("cover", F.size("places") / F.size("twords")).filter(F.col("cover") >= COVER)
+    skipped = F.greatest(F.negative("diagonal"), F.lit(0))
+    n = F.size("twords")
+    same = F.zip_with(F.slice("wide", F.col("diagonal") + skipped - F.col("w0") + 1, n - skipped), F.slice("twords", skipped + 1, n), lambda a, b: a == b)
+    hit_at = F.filter(F.transform(same, lambda x, i: F.when(x, i + skipped)), lambda i: i.isNotNull())
+    lines = lines.withColumn("at", hit_at).filter(F.size("at") > 0)
+    exact = lines.filter("base").filter(F.size("at") == n).select("row_no", "label", "base", F.col("diagonal").alias("start"), (F.col("diagonal") + n).alias("stop"), F.lit(1.0).alias("cover"))
+    # A notice with a word more or less lies on neighbouring diagonals, no more than the edits allowed apart.
+    most = max((int((1 - COVER) * len(t.text.split())) for t in templates if not t.base), default=0)
+    near = Window.partitionBy("row_no", "t").orderBy("diagonal").rangeBetween(-most, most)
+    one = F.struct("diagonal", "at", (F.col("diagonal") + F.array_min("at")).alias("start"), (F.col("diagonal") + F.array_max("at") + 1).alias("stop"))
+    notices = lines.filter("NOT base").withColumn("near", F.collect_list(one).over(near))
+    notices = notices.withColumn("near", F.filter("near", lambda x: F.abs(x["diagonal"] - F.col("diagonal")) <= F.col("edits")))
+    notices = notices.withColumn("places", F.array_distinct(F.flatten(F.transform("near", lambda x: x["at"])))).filter(F.size("places") >= n - F.col("edits"))
+    # Of all spans from a neighbour's first word to a neighbour's last one, that of the fewest edits.
+    codes = F.create_map(*[F.lit(x) for pair in vocabulary(templates).items() for x in pair])
+    notices = notices.withColumn("seen", F.array_join(F.transform("wide", lambda w: F.coalesce(F.try_element_at(codes, w), F.lit("."))), ""))
+    span = lambda a, b: F.substring(F.col("seen"), a["start"] - F.col("w0") + 1, b["stop"] - a["start"])
+    tried = lambda a, b: F.struct(F.levenshtein(span(a, b), F.col("code")).alias("d"), a["start"].alias("start"), b["stop"].alias("stop"))
+    fits = lambda x: (x["start"] >= F.col("w0")) & (x["start"] < x["stop"]) & (x["stop"] <= F.col("w0") + F.size("wide"))
+    every = F.flatten(F.transform("near", lambda a: F.transform("near", lambda b: tried(a, b))))
+    notices = notices.withColumn("best", F.array_min(F.filter(every, fits))).filter(F.col("best.d") <= F.col("edits"))
+    first = Window.partitionBy("row_no", "t").orderBy("diagonal").rangeBetween(-most, most)
+    rank = F.struct("best.d", "diagonal")
+    notices = notices.withColumn("rank", rank).withColumn("least", F.min("rank").over(first)).filter(F.col("rank") == F.col("least"))
+    notices = notices.select("row_no", "label", "base", "family", "telling", "places", F.col("best.start").alias("start"), F.col("best.stop").alias("stop"), ((n - F.col("best.d")) / n).alias("cover"))
     # A span without a word that tells its notice from a twin gives way to one of the twin that has such a word, in the same place.
     beside = Window.partitionBy("row_no", "family").orderBy("start").rangeBetween(-DRIFT, DRIFT)
     told = F.arrays_overlap("places", "telling")
-    merged = merged.withColumn("told", told).withColumn("rival", F.max("told").over(beside)).filter((F.size("telling") == 0) | F.col("told") | ~F.col("rival"))
-    return exact.unionByName(merged.select("row_no", "label", "base", "start", "stop", "cover"))
+    notices = notices.withColumn("told", told).withColumn("rival", F.max("told").over(beside)).filter((F.size("telling") == 0) | F.col("told") | ~F.col("rival"))
+    return exact.unionByName(notices.select("row_no", "label", "base", "start", "stop", "cover"))
 
 
 def license_scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES) -> DataFrame:
     """One row for each row of docs (doc_id, text): counts and places of base phrases, labels, and a score."""
-    keyed = stable(docs.select("doc_id", text_of().alias("text"))).select(F.monotonically_increasing_id().alias("row_no"), "doc_id", "text")
-    spans = license_spans(keyed, templates)
+    table = template_table(docs.sparkSession, templates)
+    lines = license_lines(docs.select("doc_id", text_of().alias("text")), table)
+    spans = license_spans(lines, table, templates)
     at = F.when(F.col("base"), F.col("start"))
     found = spans.groupBy("row_no").agg(
         F.count(at).alias("n_base"),
@@ -147,7 +184,6 @@ def license_scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES) ->
         F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
         F.max("cover").alias("score"),
     )
-    counted = keyed.select("row_no", "doc_id", F.size(F.array_remove(F.split("text", ANY_GAP), "")).cast("long").alias("n_words"))
-    out = counted.join(found, "row_no", "left")
+    out = lines.filter(F.col("t") == ROW).select("row_no", "doc_id", "n_words").join(found, "row_no", "left")
     none = {"n_base": F.lit(0).cast("long"), "base_labels": F.lit(""), "labels": F.lit(""), "score": F.lit(0.0)}
     return out.withColumns({k: F.coalesce(F.col(k), v) for k, v in none.items()}).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
