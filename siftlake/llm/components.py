@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import skew_join, written
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -17,11 +17,15 @@ def connected_components(links: DataFrame) -> DataFrame:
     both = links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct()
     edges = written(both.select("a", "b"), "links")
     found = written(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct(), "labels")
-    while edges.head(1):
-        label = written(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
-        step = found.join(label.withColumnRenamed("a", "component"), "component", "left")
+    nodes = found.count()
+    while rows := edges.count():
+        # Links are there in both directions, so n counts the rows of a node on either side; a hub's rows never meet in one task.
+        label = written(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label"), F.count(F.lit(1)).alias("n")), "labels")
+        sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+        named = written(sizes.join(label.select(F.col("a").alias("component"), "label"), "component"), "named")
+        step = skew_join(found, named, "component", "size", nodes, "left")
         found = written(step.select("node", F.coalesce("label", "component").alias("component")), "labels")
-        one = edges.join(label, "a").select(F.col("label").alias("la"), F.col("b").alias("a"))
-        edges = one.join(label, "a").select(F.col("la").alias("a"), F.col("label").alias("b")).filter("a <> b").distinct()
+        one = written(skew_join(edges, label, "a", "n", rows).select(F.col("label").alias("la"), F.col("b").alias("a")), "links")
+        edges = skew_join(one, label, "a", "n", rows).select(F.col("la").alias("a"), F.col("label").alias("b")).filter("a <> b").distinct()
         edges = written(edges, "links")
     return found

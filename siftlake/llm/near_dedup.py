@@ -15,7 +15,9 @@ Texts with the same words are one node from the start. A miss needs a pair of si
 ROWS components: (1 - 0.8 ** 4) ** 24, under 4 in a million; above 0.85 under 1 in a billion.
 
 Defined results: texts without words are one class; a text of fewer than WORDS words is a single shingle; null texts count as empty;
-repeated rows are in one class; ids may be null or repeated.
+repeated rows are in one class; ids may be null or repeated, a null one being greater than others; ties of ids go to the row of the
+smallest number; an empty table gives an empty result; extra columns, of whatever name, are ignored. Hot keys (a bucket, a leader, a
+class or a text that a third of all rows share) are counted with partial sums and joined by skew_join, never met in one task.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, stable, text_of, written
+from .common import map_batches, numbered, skew_join, text_of, written
 from .components import connected_components
 
 WORDS = 5
@@ -37,6 +39,9 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
 SIZE = BANDS * ROWS
 BLOCK = 128
+BLOCK_CHARS = 16 << 20
+#: Pairs of one leader that meet in a task.
+PAIRS = 512
 M1, M2, GOLD = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15
 
 
@@ -120,8 +125,8 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, row, digest of the words, n shingles, keys of the bands."""
+def sketches(docs: DataFrame) -> DataFrame:
+    """docs (id, row, text) -> id, row, digest of the words, keys of the bands."""
 
     def make() -> Callable[[dict], dict]:
         from xxhash import xxh3_128_digest
@@ -142,9 +147,8 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         return step
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), text_of(text_col).alias("text"))
-    return map_batches(rows, make, f"id {kind}, row long, digest binary, keys array<long>")
+    kind = docs.schema["id"].dataType.simpleString()
+    return map_batches(docs.select("id", "row", "text"), make, f"id {kind}, row long, digest binary, keys array<long>")
 
 
 def overlap(a: Counter, b: Counter) -> float:
@@ -163,7 +167,10 @@ def bag(text: str) -> Counter:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those pairs (a, b) whose texts (node, text) have an overlap of SIMILARITY at least."""
+    """Those pairs (a, b, n) whose texts (node, text) have an overlap of SIMILARITY at least.
+
+    n: about how many pairs a has. They are dealt by the salt of b, PAIRS to a task's key at most; a's text goes to each of its salts.
+    """
 
     def make() -> Callable[[dict], dict]:
         last: list = [None, None]
@@ -180,8 +187,11 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
         return step
 
+    salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / PAIRS)).alias("salt")
+    pairs = written(pairs.select("a", "b", salt), "pairs")
     one = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    both = one.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    heads = pairs.select("a", "salt").distinct().join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    both = one.join(heads, ["a", "salt"])
     return map_batches(both.select("a", "b", "ta", "tb"), make, "a long, b long")
 
 
@@ -191,9 +201,10 @@ def verified_in_blocks(members: DataFrame, texts: DataFrame) -> DataFrame:
     Every bucket is dealt into blocks; each two blocks meet in a group, and within a group only enough links to join what belongs
     together are returned.
     """
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
-    placed = members.join(sizes, "key").select("key", "node", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
+    long = members.join(texts.select("node", F.length("text").alias("chars")), "node")
+    sizes = written(long.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars")), "sizes")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK), F.ceil(F.col("chars") / BLOCK_CHARS)).cast("int")
+    placed = skew_join(members, sizes, "key", "n", members.count()).select("key", "node", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
     each = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
     met = placed.select("key", "node", "component", "block", F.inline(each)).join(texts, "node")
     # By number: what a task does grows with the square of its rows, so partitions aren't merged by their bytes.
@@ -240,8 +251,8 @@ def compared_groups(unsettled: DataFrame) -> DataFrame:
     compared once instead of once a bucket. Where buckets only hang together by a few members each stays by itself.
     """
     cost = lambda n: n * F.ceil(n / BLOCK)
-    heads = unsettled.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n"))
-    star = unsettled.join(heads, "key").filter("a <> node").select("a", F.col("node").alias("b")).distinct()
+    heads = written(unsettled.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")), "heads")
+    star = skew_join(unsettled, heads, "key", "n", unsettled.count()).filter("a <> node").select("a", F.col("node").alias("b")).distinct()
     groups = written(connected_components(star), "groups")
     apart = heads.join(groups.withColumnRenamed("node", "a"), "a").groupBy("component").agg(F.sum(cost(F.col("n"))).alias("apart"))
     merged = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n")).join(apart, "component").filter(cost(F.col("n")) <= F.col("apart"))
@@ -250,38 +261,42 @@ def compared_groups(unsettled: DataFrame) -> DataFrame:
     return keyed.select(F.coalesce("group", "key").alias("key"), "node", "component").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """A row for each row of docs: id, row, class_id (the least id of the class), class_size, n_links, kept.
 
     n_links: verified links of the row's text to other texts that the classes were joined by. kept: one row of each class, that
-    of the least id. row: the row's monotonically_increasing_id in stable(docs).
+    of the least id. row: the number of the row, which row_col holds if docs is a written table that has one already.
     """
-    docs = stable(docs)
-    rows = written(sketches(docs, id_col, text_col), "sketches")
+    docs = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), *([F.col(row_col).alias("row")] if row_col else []))
+    docs = docs if row_col else numbered(docs)
+    rows = written(sketches(docs), "sketches")
     first = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))
     nodes = written(rows.groupBy("digest").agg(F.min("row").alias("node"), F.min_by("keys", "row").alias("keys"), F.min(first).alias("first"), F.count(F.lit(1)).alias("copies")), "nodes")
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = written(keyed.join(shared, "key"), "members")
+    keyed = written(nodes.select("node", F.explode("keys").alias("key")), "keyed")
+    shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared")
+    members = written(skew_join(keyed, shared, "key", "n", keyed.count()), "members")
+    met = members.count()
     rank = members.groupBy("node").agg(F.sum("n").alias("rank"))
-    leaders = members.join(rank, "node").groupBy("key").agg(F.max(F.struct("rank", F.negative("node").alias("node"))).alias("top")).select("key", F.negative("top.node").alias("a"))
-    pairs = members.join(leaders, "key").filter("a <> node").select("a", F.col("node").alias("b")).distinct()
-    own = docs.select(F.monotonically_increasing_id().alias("row"), text_of(text_col).alias("text"))
-    texts = own.join(members.select(F.col("node").alias("row")).distinct(), "row", "left_semi").select(F.col("row").alias("node"), "text")
+    best = F.max(F.struct("rank", F.negative("node").alias("node"))).alias("top")
+    leaders = written(members.join(rank, "node").groupBy("key", "n").agg(best).select("key", "n", F.negative("top.node").alias("a")), "leaders")
+    pairs = skew_join(members.select("key", "node"), leaders, "key", "n", met).filter("a <> node").groupBy("a", F.col("node").alias("b")).agg(F.max("n").alias("n"))
+    texts = docs.select("row", "text").join(members.select(F.col("node").alias("row")).distinct(), "row", "left_semi").select(F.col("row").alias("node"), "text")
     texts = written(texts, "texts")
     links = written(verified(pairs, texts), "verified")
     parts = connected_components(links)
-    label = F.coalesce("component", "node").alias("component")
-    placed = members.select("key", "node").join(parts, "node", "left").select("key", "node", label)
+    placed = members.select("key", "node").join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    placed = written(placed, "placed")
     # Buckets with the same members count once.
     stats = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("xor"))
-    open_keys = stats.filter("least <> most").groupBy("n", "sum", "xor").agg(F.min("key").alias("key")).select("key")
-    unsettled = written(placed.join(open_keys, "key", "left_semi"), "unsettled")
-    if unsettled.head(1):
+    open_keys = written(stats.filter("least <> most").groupBy("n", "sum", "xor").agg(F.min("key").alias("key")).select("key", "n"), "open")
+    if open_keys.head(1):
+        unsettled = written(skew_join(placed, open_keys, "key", "n", met, "left_semi"), "unsettled")
         links = links.unionByName(written(verified_in_blocks(written(compared_groups(unsettled), "groups"), texts), "verified"))
         parts = connected_components(links)
     degrees = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    named = nodes.select("node", "digest", "first", "copies").join(parts, "node", "left").join(degrees, "node", "left").withColumn("class", F.coalesce("component", "node"))
-    classes = named.groupBy("class").agg(F.min("first").alias("head"), F.sum("copies").alias("class_size"))
-    out = rows.select("id", "row", "digest").join(named.select("digest", "class", F.coalesce("n_links", F.lit(0)).alias("n_links")), "digest").join(classes, "class")
+    named = nodes.select("node", "digest", "first", "copies").join(parts, "node", "left").join(degrees, "node", "left")
+    named = written(named.select("digest", "first", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "node").alias("class")), "named")
+    classes = written(named.groupBy("class").agg(F.min("first").alias("head"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("texts")), "classes")
+    placed = written(skew_join(named.select("digest", "copies", "n_links", "class"), classes, "class", "texts", named.count()), "placed")
+    out = skew_join(rows.select("id", "row", "digest"), placed, "digest", "copies", rows.count())
     return out.select(F.col("id").alias(id_col), "row", F.col("head.id").alias("class_id"), "class_size", "n_links", (F.col("row") == F.col("head.row")).alias("kept"))
