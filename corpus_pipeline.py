@@ -13,13 +13,12 @@ from pyspark.sql.column import Column
 
 from siftlake.llm import exact_dedup as exact
 from siftlake.llm import langid, near_dedup, packing, quality
-from siftlake.llm.common import crc_mod, stable, table, tune, written
+from siftlake.llm.common import crc_mod, numbered, plain_names, table, tune, written
 
 
 def judged(docs: DataFrame, judge: Callable[[DataFrame, list[str], str], DataFrame], keep: Column) -> DataFrame:
     """Rows of docs that keep holds for, once judge has added its columns; names in docs never clash with those."""
-    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    plain = docs.toDF(*names.values())
+    plain, names = plain_names(docs)
     return judge(plain, list(names.values()), names["text"]).filter(keep).select(*[F.col(v).alias(k) for k, v in names.items()])
 
 
@@ -46,9 +45,10 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates, the document of the smallest id."""
     tune(spark)
-    docs = stable(docs)
-    kept = near_dedup.near_duplicates(docs).filter("kept").select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").drop("__row").select(*docs.columns)
+    plain, names = plain_names(docs)
+    rows = numbered(plain)
+    kept = near_dedup.near_duplicates(rows, names["doc_id"], names["text"], "row").filter("kept").select("row")
+    return rows.join(kept, "row", "left_semi").select(*[F.col(v).alias(k) for k, v in names.items()])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
