@@ -1,15 +1,21 @@
 """Canonical exact digests, with DataFrame functions only.
 
-A text is brought into canonical form (composed Unicode, lower case, white space folded), hashed to 128 bits by two xxhash64
+A text is brought into canonical form (composed Unicode, case folded, white space folded), hashed to 128 bits by two xxhash64
 of different seeds, and texts that share a hash are compared byte by byte: where two canonical texts differ, the fingerprint
 gets the SHA-256 of the canonical text as a suffix, so that equal texts always have equal fingerprints and others never do.
+Edited texts, which no table holds, are told apart by their SHA-256 in place of their bytes.
 
 Composition is normal form C as unicodedata has it: characters are decomposed, runs of marks sorted by combining class, and
-composed again, Hangul by arithmetic; texts without a character that this could change are left alone. Defined results: a null text counts as empty; repeated rows get a row each; a null id comes last.
+composed again, Hangul by arithmetic; texts without a character that this could change are left alone. Folding is full case
+folding, character by character (sharp s to ss, final sigma to sigma).
+
+Defined results: a null text counts as empty; repeated rows get a row each, next to each other in some order; a null id comes
+last; a single row is its own next document; an empty table gives an empty result; extra columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import sys
 import unicodedata
 from functools import cache
@@ -18,10 +24,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from .common import text_of, written
+from .common import skew_join, text_of, written
 
-#: Cells that document ids are counted in to cut them into buckets of similar size; the table of cells is broadcast.
-CELLS = 65_536
+#: Buckets of the order of ids for each shuffle partition, and rows sampled for each bucket's bounds.
+BUCKETS, SAMPLED = 8, 20
 #: Vowels and final consonants of Hangul that compose with what is before them.
 VOWELS, FINALS = (0x1161, 0x1175), (0x11A8, 0x11C2)
 
@@ -115,9 +121,27 @@ def composed(text: Column) -> Column:
     return F.when(text.rlike(f"[{changing}]"), out).otherwise(text)
 
 
+@cache
+def foldings() -> dict[str, str]:
+    """Characters whose case folding is not their lower case."""
+    every = (chr(code) for code in range(sys.maxunicode + 1) if not 0xD800 <= code < 0xE000)
+    return {c: c.casefold() for c in every if c.casefold() != c.lower()}
+
+
+def folded(text: Column) -> Column:
+    """The text in full case folding."""
+    special = foldings()
+    inside = ranges(set(special))
+    table = F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in special.items())), F.lit("\x02"), F.lit("\x01"))
+    tokens = F.regexp_extract_all(text, F.lit(f"(?s)[{inside}]|[^{inside}]+"), F.lit(0))
+    mapped = F.array_join(F.transform(tokens, lambda t: F.when(F.length(t) == 1, F.coalesce(F.try_element_at(table, t), t)).otherwise(t)), "")
+    # Lower case makes a capital sigma at the end of a word a final one.
+    return F.translate(F.lower(F.when(text.rlike(f"[{inside}]"), mapped).otherwise(text)), "\u03c2", "\u03c3")
+
+
 def canonical(text: Column) -> Column:
-    """Composed, lower case, every run of white space one space, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(composed(text)), r"[\s\x85\p{Z}]+", " "))
+    """Composed, case folded, every run of white space one space, trimmed."""
+    return F.trim(F.regexp_replace(folded(composed(text)), r"[\s\x85\p{Z}]+", " "))
 
 
 def hash128(text: Column) -> tuple[Column, Column]:
@@ -129,73 +153,97 @@ def hex128(high: str, low: str) -> Column:
     return F.lower(F.concat(F.lpad(F.hex(high), 16, "0"), F.lpad(F.hex(low), 16, "0")))
 
 
+def bounds(rows: DataFrame, buckets: int) -> list[list[tuple[int, int]]]:
+    """Lower bounds of at most so many buckets of rows (d, t) of similar size, in groups: quantiles of a bounded sample.
+
+    They only decide where the order is cut, so any sample gives the same results.
+    """
+    n = rows.count()
+    some = rows.sample(min(1.0, buckets * SAMPLED / max(1, n)), seed=1).select("d", "t").collect()
+    cuts = sorted({(r.d, r.t) for r in sorted(some)[SAMPLED::SAMPLED]})
+    size = max(1, int(len(cuts) ** 0.5))
+    return [cuts[k : k + size] for k in range(0, len(cuts), size)]
+
+
+def bucket_of(place: Column, cuts: list[list[tuple[int, int]]]) -> Column:
+    """The number of bounds that place (a struct of d and t) has reached, found by group and within the group."""
+    if not cuts:
+        return F.lit(0)
+    literal = lambda rows, kind: F.from_json(F.lit(json.dumps(rows)), kind)
+    named = [[{"d": d, "t": t} for d, t in group] for group in cuts]
+    heads = literal([g[0] for g in named], "array<struct<d:bigint,t:bigint>>")
+    groups = literal(named, "array<array<struct<d:bigint,t:bigint>>>")
+    group = F.size(F.filter(heads, lambda x: x <= place))
+    inner = F.size(F.filter(F.element_at(groups, group), lambda x: x <= place))
+    return F.when(group == 0, 0).otherwise((group - 1) * len(cuts[0]) + inner)
+
+
 def with_next_text(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with next_text: the text of the next row by descending doc_id, after the last the first.
+    """docs (doc_id, text) with edge and next_text: the text of the next row by descending doc_id.
 
-    Ids are counted in at most CELLS cells, cells are dealt into buckets of similar size, and each bucket also gets the first
-    row of the bucket after it, so that one exchange of the texts is enough and no bucket grows with the input.
+    Rows are cut into buckets at quantiles of (id, number of the row), so that neither an outlying id nor one of many rows makes
+    a large bucket, and each text is shuffled once. The last row of a bucket has no next text yet; edge tells the first and last.
+    Returned beside that: bucket, where a higher one comes first.
     """
-    spark = docs.sparkSession
-    low, high, rows = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    if low is None:
-        low = high = 0
-    docs = docs.withColumn("pos", F.coalesce(F.col("doc_id"), F.lit(low - 1)))
-    low -= 1
-    span = high - low + 1
-    cells = min(span, CELLS)
-    cell = ((F.col("pos") - F.lit(low)).cast("decimal(38,0)") * cells / F.lit(span)).cast("int")
-    per = max(1, rows // max(1, 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    counted = docs.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.max("pos").alias("top"))
-    # No more than CELLS rows from here on.
-    whole = Window.orderBy(F.desc("cell"))
-    dealt = counted.withColumn("bucket", F.floor((F.sum("n").over(whole) - F.col("n")) / per))
-    heads = dealt.groupBy("bucket").agg(F.max("top").alias("top")).withColumn("before", F.lag("bucket").over(Window.orderBy("bucket")))
-    last = F.max("bucket").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    heads = heads.withColumn("before", F.coalesce("before", last))
-    dealt = written(dealt.select("cell", "bucket").join(heads, "bucket"), "cells")
-    placed = docs.withColumn("cell", cell).join(F.broadcast(dealt), "cell")
-    own = F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("ghost"))
-    ghost = F.struct(F.col("before").alias("bucket"), F.lit(1).alias("ghost"))
-    placed = placed.select("doc_id", "text", "pos", F.explode(F.when(F.col("pos") == F.col("top"), F.array(own, ghost)).otherwise(F.array(own))).alias("at"))
-    placed = placed.select("doc_id", "text", "pos", "at.bucket", "at.ghost")
-    order = Window.partitionBy("bucket").orderBy("ghost", F.desc("pos"), F.xxhash64("text"))
-    return placed.withColumn("next_text", F.lead("text").over(order)).filter("ghost = 0").select("doc_id", "text", "next_text")
+    least = F.lit(-(1 << 63)).cast("long")
+    rows = docs.select("doc_id", "text", F.coalesce("doc_id", least).alias("d"), F.xxhash64(F.monotonically_increasing_id()).alias("t"))
+    cuts = bounds(rows, BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = rows.withColumn("bucket", bucket_of(F.struct("d", "t"), cuts))
+    order = Window.partitionBy("bucket").orderBy(F.desc("d"), F.desc("t"))
+    first, last = F.lag("d").over(order).isNull(), F.lead("d").over(order).isNull()
+    return placed.select("doc_id", "text", "bucket", F.lead("text").over(order).alias("next_text"), first.alias("first"), last.alias("last"))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, for every row of docs."""
-    base = docs.select("doc_id", text_of().alias("text"))
-    near = with_next_text(base)
+def prints(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, text, next_text and others, which stay) with the columns of which fingerprints are made."""
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.left("text", n - cut), F.left(F.coalesce("next_text", F.lit("")), cut))
-    rows = near.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), canonical(F.col("text")).alias("c"), canonical(edited).alias("e"), canonical(F.coalesce("next_text", F.lit(""))).alias("n"))
+    others = [c for c in rows.columns if c not in ("doc_id", "text", "next_text")]
+    forms = rows.select(*others, "doc_id", "text", n.cast("long").alias("n_chars"), edited.alias("edited"), canonical(F.col("text")).alias("c"), canonical(edited).alias("e"), canonical(F.coalesce("next_text", F.lit(""))).alias("n"))
     hashes = [h.alias(f"{k}{i}") for k in "ce" for i, h in enumerate(hash128(F.col(k)))]
     # Fingerprints are equal exactly where canonical texts are, so likeness compares those.
     same = [(F.col("c") == F.col(k)).cast("double").alias(name) for k, name in (("e", "near_edited"), ("n", "near_next"))]
-    slim = rows.select("doc_id", "n_chars", F.unhex(F.sha2("edited", 256)).alias("sha"), *hashes, *[F.unhex(F.sha2(k, 256)).alias(f"{k}s") for k in "ce"], *same)
-    slim = written(slim, "fingerprints")
-    clash = clashes(base, slim)
-    prints = {}
+    return forms.select(*others, "doc_id", "text", "n_chars", F.unhex(F.sha2("edited", 256)).alias("sha"), *hashes, *[F.unhex(F.sha2(k, 256)).alias(f"{k}s") for k in "ce"], *same)
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, for every row of docs."""
+    base = docs.select("doc_id", text_of().alias("text"))
+    near = with_next_text(base)
+    edge = F.when(F.col("first") | F.col("last"), F.col("text"))
+    slim = written(prints(near).withColumn("text", edge), "fingerprints")
+    # Two rows a bucket at most: its last one is followed by the first one of the bucket after it, after the last by the first.
+    edges = slim.filter("first OR last").select("bucket", "first", "last", "doc_id", "text")
+    heads = edges.filter("first").select("bucket", F.col("text").alias("next_text"))
+    after = edges.filter("first").select("bucket", F.lag("bucket").over(Window.orderBy("bucket")).alias("after"), F.max("bucket").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("top"))
+    after = after.select("bucket", F.coalesce("after", "top").alias("after"))
+    ends = edges.filter("last").join(after, "bucket").join(heads.withColumnRenamed("bucket", "after"), "after").select("doc_id", "text", "next_text")
+    rows = written(slim.filter("NOT last").drop("text", "bucket", "first", "last").unionByName(prints(ends).drop("text")), "fingerprints")
+    clash = clashes(base, rows)
+    out = {}
     for k, name in (("c", "fingerprint"), ("e", "edited_fingerprint")):
         short = hex128(f"{k}0", f"{k}1")
         found = F.lit(False) if clash is None else F.array_contains(F.lit(clash), short)
-        prints[name] = F.when(found, F.concat(short, F.lit("-"), F.lower(F.hex(f"{k}s")))).otherwise(short)
-    return slim.select("doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), *[v.alias(k) for k, v in prints.items()], "near_edited", "near_next")
+        out[name] = F.when(found, F.concat(short, F.lit("-"), F.lower(F.hex(f"{k}s")))).otherwise(short)
+    return rows.select("doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), *[v.alias(k) for k, v in out.items()], "near_edited", "near_next")
 
 
 def clashes(base: DataFrame, slim: DataFrame) -> list[str] | None:
     """Hashes that texts of different bytes share, as hex; None if there are none, which is all that ever happens by chance.
 
     Only rows whose hash another row has are read again; a bucket's different canonical texts are counted, equal ones being
-    merged before they are shuffled.
+    merged before they are shuffled. Edited texts count by their SHA-256.
     """
-    at = [F.col("c0") == F.col("h0"), F.col("c1") == F.col("h1")]
-    shared = slim.groupBy("c0", "c1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("c0").alias("h0"), F.col("c1").alias("h1"))
-    ids = slim.select("doc_id", "c0", "c1").join(shared, at, "left_semi").select("doc_id")
-    texts = base.join(ids, "doc_id", "left_semi").select(canonical(F.col("text")).alias("c"))
+    known = slim.select("doc_id", F.struct("c0", "c1").alias("key"))
+    shared = written(known.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared")
+    least = F.lit(-(1 << 63)).cast("long")
+    ids = skew_join(known, shared, "key", "n", slim.count(), "left_semi").select(F.coalesce("doc_id", least).alias("d")).distinct()
+    texts = base.withColumn("d", F.coalesce("doc_id", least)).join(ids, "d", "left_semi").select(canonical(F.col("text")).alias("c"))
     high, low = hash128(F.col("c"))
     different = texts.withColumns({"h0": high, "h1": low}).groupBy("h0", "h1", "c").agg(F.lit(1).alias("one"))
-    differ = different.groupBy("h0", "h1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    found = [r[0] for r in differ.select(hex128("h0", "h1")).collect()]
+    differ = different.groupBy("h0", "h1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h0", "h1")
+    both = slim.select(F.col("c0").alias("h0"), F.col("c1").alias("h1"), F.col("cs").alias("s")).unionByName(slim.select(F.col("e0").alias("h0"), F.col("e1").alias("h1"), F.col("es").alias("s")))
+    edited = both.groupBy("h0", "h1").agg(F.min(F.xxhash64("s")).alias("least"), F.max(F.xxhash64("s")).alias("most")).filter("least <> most").select("h0", "h1")
+    found = sorted({r[0] for r in differ.union(edited).select(hex128("h0", "h1")).collect()})
     return found or None

@@ -9,9 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftlake.llm import html_extract, langid, license_scan, near_dedup, packing, quality, token_output
-from siftlake.llm.common import stable, table
+from siftlake.llm.common import drop_written, plain_names, skew_join, table
+from siftlake.llm.components import connected_components
 from siftlake.llm.exact_dedup import exact_dedup, exact_groups
-from siftlake.llm.fingerprint import composed, fingerprints
+from siftlake.llm.fingerprint import composed, fingerprints, folded, with_next_text
 from siftlake.llm.sentencepiece_scan import encode_and_decode, encode_whole, pieces
 from siftlake.llm.tokens import encoder
 
@@ -40,18 +41,19 @@ def test_exact_against_brute_force(spark, odd, empty):
     assert exact_groups(empty).count() == 0 and exact_dedup(empty).count() == 0
 
 
-def test_row_numbers_outlive_executors(spark, odd):
-    docs = table(spark, "/root/testdata/sf0.1", "documents").select("doc_id")
-    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
-    try:
-        number = lambda: {r.doc_id: r.n for r in stable(docs).withColumn("n", F.monotonically_increasing_id()).collect()}
-        before = number()
-        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "40")  # what a scan is split by once the cores are others
-        assert number() == before
-    finally:
-        spark.conf.unset("spark.sql.files.openCostInBytes")
-        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
-    assert stable(docs) is docs and stable(docs.distinct()).count() == docs.count() and stable(odd) is not odd
+def test_skew_join_is_a_join(spark):
+    left = spark.range(1000).select((F.col("id") % 7 * (F.col("id") % 3)).alias("k"), "id")
+    right = left.groupBy("k").count().withColumnRenamed("count", "n").filter("k <> 4")
+    for how in ("inner", "left", "left_semi"):
+        for heavy in (2, 5, 1024):
+            got = skew_join(left, right, "k", "n", 1000, how, heavy)
+            assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, left.join(right, "k", how).collect()), key=str)
+
+
+def test_components_of_hubs_and_chains(spark):
+    links = [(0, i) for i in range(1, 300)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5001), (5001, 5000), (7, 7)]
+    got = dict(map(tuple, connected_components(spark.createDataFrame(links, "a long, b long")).collect()))
+    assert got == {**{i: 0 for i in range(300)}, **{1000 + i: 1000 for i in range(61)}, 5000: 5000, 5001: 5000}
 
 
 def test_near_against_brute_force(spark, odd, empty):
@@ -88,7 +90,7 @@ def test_signatures_estimate_weighted_similarity():
 def test_fingerprints_against_brute_force(spark, odd, empty):
     rows = [(r.doc_id, r.text or "") for r in table(spark, SF, "documents").collect()]
     rows.sort(reverse=True)
-    canon = lambda t: re.sub(r"\s+", " ", unicodedata.normalize("NFC", t).lower()).strip()
+    canon = lambda t: re.sub(r"\s+", " ", unicodedata.normalize("NFC", t).casefold()).strip()
     got = {r.doc_id: r for r in fingerprints(table(spark, SF, "documents")).collect()}
     for k, (i, t) in enumerate(rows):
         cut = len(t) // 3
@@ -99,6 +101,34 @@ def test_fingerprints_against_brute_force(spark, odd, empty):
     by_id = {r.doc_id: r.fingerprint for r in fingerprints(odd).collect()}
     assert by_id[5] == by_id[6] and by_id[1] == by_id[2] and by_id[3] == by_id[4] == by_id[8]
     assert fingerprints(empty).count() == 0
+    one = fingerprints(odd.filter("doc_id = 3")).first()
+    assert one.edited_sha256 == hashlib.sha256(b"A b\tA").hexdigest() and one.near_next == 1
+
+
+def test_next_texts_with_outliers_and_repeats(spark):
+    """Ids far apart and one id of a third of all rows: buckets stay small, and every row has the one after it in some order of ties."""
+    ids = [*range(2000), 1 << 50, -(1 << 62), None, *[77] * 1000]
+    df = spark.createDataFrame([(i, f"t{k}", "x") for k, i in enumerate(ids)], "doc_id long, text string, bucket string")
+    placed = with_next_text(df.select("doc_id", "text"))
+    rows = placed.collect()
+    sizes = Counter(r.bucket for r in rows)
+    assert len(rows) == len(ids) and max(sizes.values()) < len(ids) / 6 and len(sizes) > 16
+    assert Counter(r.doc_id for r in rows if r.next_text is not None)[77] > 950
+    got = {r.doc_id: r for r in fingerprints(df).collect() if r.doc_id != 77}
+    texts = {i: f"t{k}" for k, i in enumerate(ids)}
+    order = [1 << 50, *range(1999, 77, -1)]
+    for a, b in [*zip(order, order[1:])][:-1] + [(0, -(1 << 62)), (-(1 << 62), None), (None, 1 << 50)]:
+        cut = len(texts[a]) // 3
+        assert got[a].edited_sha256 == hashlib.sha256((texts[a][: len(texts[a]) - cut] + texts[b][:cut]).encode()).hexdigest()
+
+
+def test_folding_is_full_case_folding(spark):
+    chars = [chr(c) for c in range(0x20, 0x1F000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Cn"]
+    texts = ["".join(chars[k : k + 64]) for k in range(0, len(chars), 64)] + ["Straße STRASSE", "ΟΔΟΣ οδος ς", "İstanbul ı I", "ŉ ǰ ﬁ"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, text string").withColumn("c", folded(F.col("text"))).collect()
+    # Cherokee alone folds to capitals by the standard, to small letters here: the same letters are equal.
+    cherokee = {c: chr(c).lower() for c in range(0x13A0, 0x13F6)}
+    assert [r.text for r in rows if r.c != r.text.casefold().translate(cherokee)] == []
 
 
 def test_composed_is_normal_form_c(spark):
@@ -132,9 +162,51 @@ def test_licenses_against_brute_force(spark, odd, empty):
 def test_license_notices_with_a_word_more(spark):
     texts = ["Licensed under the CC BY-NC 4.0", "This work by Jane Doe is licensed under the GNU General Public License, version 3", "Licensed under CC BY-SA 4.0",
              "Licensed under CC BY-X 4.0", "the GNU Affero General Public License", "licensed under something 4 0", "This program is free software: you may redistribute it and/or change it under the terms of the GNU General Public License"]
+    assert len(texts) == 7
+    bsd = next(t.text for t in license_scan.TEMPLATES if t.label == "bsd").split()
+    texts += [" ".join(x for w in bsd for x in (w, "and" if len(w) > 5 else w)), " ".join(reversed(bsd)), " ".join(bsd), f"x {' '.join(bsd)} y {' '.join(bsd)}", " ".join(bsd[:3] + ["a", "b"] + bsd[5:])]
     got = {r.doc_id: (r.labels, r.score) for r in license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert got[0] == ("cc-by-nc", 1.0) and got[1] == ("gpl,gpl-notice", 1.0) and got[2] == ("cc-by-sa", 1.0) and got[3] == ("cc-by-nc,cc-by-sa", 6 / 7)
+    assert got[0] == ("cc-by-nc", 6 / 7) and got[1][0] == "gpl,gpl-notice" and got[2] == ("cc-by-sa", 1.0) and got[3] == ("cc-by-nc,cc-by-sa", 6 / 7)
     assert got[4] == ("agpl,gpl", 1.0) and got[5] == ("", 0.0) and "gpl-header" in got[6][0]
+    # Stretched by fillers and repeats, or out of order: no notice, however many words stand in some place.
+    assert got[7] == ("", 0.0) and got[8] == ("", 0.0) and got[9] == got[10] == ("bsd", 1.0) and got[11] == ("bsd", (len(bsd) - 2) / len(bsd))
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_license_notices_against_brute_force(spark):
+    """Every notice label of a text has a span of few enough edits; a text with at most one edit in the middle of a notice has its label."""
+    rng = np.random.default_rng(5)
+    notices = [t for t in license_scan.TEMPLATES if not t.base]
+    filler = ["lorem", "the", "of", "license", "ipsum", "under"]
+    texts, planted = [], []
+    for k in range(200):
+        t = notices[k % len(notices)]
+        words = t.text.split()
+        at = int(rng.integers(2, len(words) - 2))
+        kind = int(rng.integers(0, 4))
+        words = words if kind == 0 else words[:at] + ["zzz"] * (kind < 3) + words[at + (kind > 1) :]
+        pad = lambda: list(rng.choice(filler, int(rng.integers(0, 9))))
+        texts.append(" ".join([*pad(), *words, *pad()]))
+        planted.append(t.label)
+    got = {r.doc_id: r for r in license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    bases = {t.label for t in license_scan.TEMPLATES if t.base}
+    twins = {"cc-by-nc", "cc-by-sa"}, {"lgpl", "agpl"}
+    for i, text in enumerate(texts):
+        words, labels = text.split(), set(got[i].labels.split(",")) - {""} - bases
+        for label in labels:
+            t = next(t for t in notices if t.label == label).text.split()
+            most = int((1 - license_scan.COVER) * len(t) + 1e-9)
+            assert any(edits(words[a:b], t) <= most for a in range(len(words)) for b in range(a + len(t) - most, min(len(words), a + len(t) + most) + 1)), (text, label)
+        if len(next(t for t in notices if t.label == planted[i]).text.split()) >= 7:
+            assert planted[i] in labels or any(planted[i] in pair and labels & pair for pair in twins), (text, planted[i], labels)
 
 
 def test_packing(spark, odd, empty):
