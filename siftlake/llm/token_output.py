@@ -1,44 +1,47 @@
 """Training-order materialisation of token ids as fixed-stride binary shards.
 
-Documents become sequences of ``stride`` ids (the last of a document padded), each with a number that its document's id and
-its place in the document give. A keyed Feistel permutation with cycle-walking maps numbers to places, a bijection that needs
-neither a shuffle nor a count; the range of places tells the shard, a shard is written in order of place by one task, and
-the global slot is the number of records in earlier shards and before it in its own. The k-th record of a shard starts at byte
-k * stride * 2, so a reader seeks to any slot by arithmetic, reads on in training order, and resumes from a slot number.
-
-Defined results: a null text is an empty one (a single end token); repeated rows get sequences each, next to each other; rows
-without an id share the last number; an empty table gives no shards; extra columns are ignored. Ids that span over MOST_IDS
-are hashed, and documents of over 2 ** PIECE_BITS sequences overlap the numbers of the next id: places may then be equal, slots
-never are.
+Documents become sequences of ``stride`` ids (the last of a document padded), numbered 0..n-1 in the order of the table: a first
+scan counts the sequences of each partition (a text of fewer bytes than the stride is a single one and isn't encoded), and a
+partition's numbers start at the sum of the counts before it. A keyed Feistel permutation of 0..n-1 with cycle-walking gives each
+number its global slot, a bijection. Slot s is record s mod SHARD_ROWS of shard s div SHARD_ROWS and starts at byte (s mod
+SHARD_ROWS) * stride * 2 of its file, so a reader seeks to any slot by arithmetic, reads on in training order, and resumes from a
+slot number. Ranges of shards are the partitions that write them.
+
+Both scans must deal documents alike. The number of splits is held between them, and the second scan compares what each partition
+holds with what the first one saw; if that ever differs the table is written once and both scans read that, so numbers are never
+wrong.
+
+Defined results: a null text is an empty one (a single end token); repeated rows get sequences each; ids are only carried, and may
+be null; an empty table gives no shards; extra columns, of whatever name, are ignored; a document may have any number of sequences.
 """
 
 from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
+from xxhash import xxh3_64_intdigest
 
-from .common import map_batches, shared_dir, text_of, written
+from .common import shared_dir, text_of, written
 from .tokens import END, encoder
 
 STRIDE = 1024
 PAD = 0
-#: Sequences in a shard.
-SHARD_ROWS = 4096
+#: Sequences in a shard, and bytes that a task writes at least, if there are so many.
+SHARD_ROWS = 16_384
+TASK_BYTES = 256 << 20
 KEY = 0x5EED
 ROUNDS = 4
-#: Bits of a number that hold the place in the document, and ids that fit above them.
-PIECE_BITS = 24
-MOST_IDS = 1 << 38
+CHANGED = "the table was dealt otherwise between two scans"
 
 
 def mixed(x: np.ndarray, key: int) -> np.ndarray:
@@ -69,43 +72,80 @@ def permuted(numbers: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def sequences(docs: DataFrame, stride: int, shards: int, low: int, span: int, key: int) -> DataFrame:
-    """doc_id, piece, n_ids, shard, place, ids (a zstandard frame of little-endian 16-bit ids): a row for each sequence."""
-    numbers = span << PIECE_BITS
+def carried(old: int, doc: int | None, text: str) -> int:
+    """A running hash of what a partition holds."""
+    return xxh3_64_intdigest(f"{old} {doc} {len(text)} {text[:64]}".encode("utf-8", "surrogatepass"))
 
-    def make() -> Callable[[dict], dict]:
+
+def counts(docs: DataFrame, stride: int) -> dict[int, tuple[int, int, int]]:
+    """For each partition of docs (doc_id, text): its first number, how many sequences it has, and a hash of what it holds."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, n, seen = encoder(), 0, 0
+        for batch in batches:
+            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                seen = carried(seen, doc, text)
+                # A token is a byte at least, and the end token comes on top.
+                short = len(text) < stride and len(text.encode()) < stride
+                n += 1 if short else len(encode(text)) // stride + 1
+        if n:
+            part = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((part, pa.int32()), (n, pa.int64()), (seen - (1 << 63), pa.int64()))], names=["part", "n", "seen"])
+
+    out, base = {}, 0
+    # A row for each partition of the scan, however many documents there are.
+    for part, n, seen in sorted(map(tuple, docs.mapInArrow(scan, "part int, n long, seen long").collect())):
+        out[part] = (base, n, seen)
+        base += n
+    return out
+
+
+def sequences(docs: DataFrame, stride: int, parts: dict[int, tuple[int, int, int]], shard_rows: int, key: int) -> DataFrame:
+    """doc_id, piece, n_ids, slot, shard, ids (a zstandard frame of little-endian 16-bit ids): a row for each sequence."""
+    shared = docs.sparkSession.sparkContext.broadcast(parts)
+    total = sum(n for _, n, _ in parts.values())
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = T.StructType.fromDDL(f"doc_id {kind}, piece int, n_ids int, slot long, shard int, ids binary")
+    arrow = to_arrow_schema(schema)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         # Entropy coding, which the shuffle's own codec lacks; padding is added where shards are written.
         encode, squeeze = encoder(), zstandard.ZstdCompressor(level=3).compress
-
-        def step(batch: dict) -> dict:
-            out: dict = {k: [] for k in ("doc_id", "piece", "n_ids", "ids", "number")}
-            for doc, number, text in zip(batch["doc_id"], batch["number"], batch["text"], strict=True):
+        base, expected, hashed = shared.value.get(TaskContext.get().partitionId(), (0, 0, -(1 << 63)))
+        n, seen = 0, 0
+        for batch in batches:
+            out: dict = {k: [] for k in ("doc_id", "piece", "n_ids", "ids")}
+            first = n
+            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                seen = carried(seen, doc, text)
                 ids = np.asarray([*encode(text), END], dtype="<u2")
                 for k in range(0, len(ids), stride):
                     piece = ids[k : k + stride]
-                    for name, value in zip(out, (doc, k // stride, len(piece), squeeze(piece.tobytes()), (number << PIECE_BITS) + k // stride), strict=True):
+                    for name, value in zip(out, (doc, k // stride, len(piece), squeeze(piece.tobytes())), strict=True):
                         out[name].append(value)
-            place = permuted(np.asarray(out.pop("number"), dtype=np.uint64), numbers, key)
-            # The shard is the range of places: place * shards / numbers without overflow.
-            out |= {"place": place, "shard": np.minimum((place.astype(np.float64) / numbers * shards).astype(np.int32), shards - 1)}
-            return out
-
-        return step
+                    n += 1
+            if n > expected:
+                raise RuntimeError(CHANGED)
+            if n > first:
+                slot = permuted(np.arange(base + first, base + n, dtype=np.uint64), total, key)
+                out |= {"slot": slot, "shard": (slot // shard_rows).astype(np.int32)}
+                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        if n != expected or seen - (1 << 63) != hashed:
+            raise RuntimeError(CHANGED)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    number = F.coalesce(F.col("doc_id") - F.lit(low), F.lit(span - 1)) if span <= MOST_IDS else F.pmod(F.xxhash64("doc_id"), F.lit(MOST_IDS))
-    return map_batches(docs.select("doc_id", number.cast("long").alias("number"), text_of().alias("text")), make, f"doc_id {kind}, piece int, n_ids int, shard int, place long, ids binary")
+    return docs.mapInArrow(scan, schema)
 
 
-def write_shards(seqs: DataFrame, folder: str, stride: int) -> DataFrame:
-    """Write every shard that a partition holds, in order of place, sequences padded to stride; seqs is dealt by shard and sorted by place.
+def write_shards(seqs: DataFrame, folder: str, stride: int, shard_rows: int) -> DataFrame:
+    """Write every shard that a partition holds, in order of slot, sequences padded to stride; seqs is dealt by shard and sorted by slot.
 
     A shard is written under a name of the task attempt and then renamed, so that a task that runs again replaces it whole.
     """
     kind = seqs.schema["doc_id"].dataType.simpleString()
-    schema = to_arrow_schema(T.StructType.fromDDL(f"doc_id {kind}, piece int, n_ids int, shard int, record long, ids_crc32 long"))
+    result = T.StructType.fromDDL(f"doc_id {kind}, piece int, n_ids int, slot long, shard int, byte_offset long, ids_crc32 long")
+    schema = to_arrow_schema(result)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -113,30 +153,38 @@ def write_shards(seqs: DataFrame, folder: str, stride: int) -> DataFrame:
         expand = zstandard.ZstdDecompressor().decompress
         store, root = fs.FileSystem.from_uri(folder)
         attempt = TaskContext.get().taskAttemptId()
-        now, out, record = -1, None, 0
+        now, out = -1, None
 
         def close() -> None:
-            if out is not None:
-                out.close()
-                store.move(f"{root}/.{now:06d}-{attempt}", f"{root}/shard-{now:06d}.bin")
+            if out is None:
+                return
+            out.close()
+            target = f"{root}/{shard_name(now)}"
+            if store.get_file_info(target).type != fs.FileType.NotFound:
+                store.delete_file(target)  # of an earlier attempt: some stores don't rename over a file
+            store.move(f"{root}/.{now}-{attempt}", target)
 
         for batch in batches:
-            records, crcs = [], []
+            crcs = []
             for shard, frame in zip(batch["shard"].to_pylist(), batch["ids"].to_pylist(), strict=True):
                 if shard != now:
                     close()
-                    now, record = shard, 0
-                    out = store.open_output_stream(f"{root}/.{now:06d}-{attempt}")
+                    now = shard
+                    out = store.open_output_stream(f"{root}/.{now}-{attempt}")
                 ids = np.frombuffer(expand(frame), "<u2")
                 out.write(ids.tobytes())
                 out.write(np.full(stride - len(ids), PAD, "<u2").tobytes())
-                records.append(record)
                 crcs.append(zlib.crc32(ids.astype("<u4").tobytes()))
-                record += 1
-            yield pa.RecordBatch.from_arrays([batch[c] for c in ("doc_id", "piece", "n_ids", "shard")] + [pa.array(records, pa.int64()), pa.array(crcs, pa.int64())], schema=schema)
+            slots = batch["slot"].to_numpy()
+            at = pa.array(slots % shard_rows * stride * 2)
+            yield pa.RecordBatch.from_arrays([batch[c] for c in ("doc_id", "piece", "n_ids", "slot", "shard")] + [at, pa.array(crcs, pa.int64())], schema=schema)
         close()
 
-    return seqs.select("doc_id", "piece", "n_ids", "shard", "ids").mapInArrow(scan, T.StructType.fromDDL(f"doc_id {kind}, piece int, n_ids int, shard int, record long, ids_crc32 long"))
+    return seqs.select("doc_id", "piece", "n_ids", "slot", "shard", "ids").mapInArrow(scan, result)
+
+
+def shard_name(shard: int) -> str:
+    return f"shard-{shard:08d}.bin"
 
 
 def materialise(docs: DataFrame, folder: str | None = None, stride: int = STRIDE, shard_rows: int = SHARD_ROWS, key: int = KEY) -> DataFrame:
@@ -147,36 +195,54 @@ def materialise(docs: DataFrame, folder: str | None = None, stride: int = STRIDE
     """
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
-    low, high, rows, size = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    low, high = (0, 0) if low is None else (low, high)
-    span = high - low + 2
-    # Sequences at a usual four bytes a token; only the number of shards depends on it.
-    shards = int(max(1, (rows + size / 4 / stride) // shard_rows))
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root)
-    seqs = sequences(docs, stride, shards, low, min(span, MOST_IDS), key) if span <= MOST_IDS else sequences(docs, stride, shards, 0, MOST_IDS + 1, key)
-    dealt = seqs.repartitionById(shards, "shard") if hasattr(seqs, "repartitionById") else seqs.repartition(shards, "shard")
-    index = written(write_shards(dealt.sortWithinPartitions("shard", "place", "doc_id", "piece"), folder, stride), "shard-index")
-    # A row for each shard: where its first record stands in the whole order.
-    sizes = index.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
-    bases = sizes.withColumn("base", F.sum("n").over(Window.orderBy("shard")) - F.col("n")).select("shard", "base")
-    placed = index.join(bases, "shard")
-    name = F.concat(F.lit("shard-"), F.lpad(F.col("shard").cast("string"), 6, "0"), F.lit(".bin"))
-    return placed.select("doc_id", "piece", "n_ids", (F.col("base") + F.col("record")).alias("slot"), "shard", (F.col("record") * stride * 2).alias("byte_offset"), "ids_crc32", name.alias("shard_file"))
-
-
-def read_from(folder: str, counts: list[int], slot: int, n: int, stride: int = STRIDE) -> Iterator[np.ndarray]:
-    """n sequences from a slot on, in training order; counts: records of each shard. Seeks once in a shard, then reads on."""
+    rows = docs.select("doc_id", text_of().alias("text"))
+    # What a scan is split into follows from the cores at hand, unless it is told.
+    splits = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(splits, None)
+    spark.conf.set(splits, before or str(spark.sparkContext.defaultParallelism))
+    try:
+        try:
+            index = placed(rows, folder, stride, shard_rows, key)
+        except Exception as e:
+            if CHANGED not in str(e):
+                raise
+            index = placed(written(rows, "rows"), folder, stride, shard_rows, key)
+    finally:
+        if before is None:
+            spark.conf.unset(splits)
+    for left in store.get_file_info(fs.FileSelector(root)):
+        if left.base_name.startswith("."):
+            store.delete_file(left.path)  # of attempts that never ended
+    name = F.concat(F.lit("shard-"), F.lpad(F.col("shard").cast("string"), 8, "0"), F.lit(".bin"))
+    return index.select("doc_id", "piece", "n_ids", "slot", "shard", "byte_offset", "ids_crc32", name.alias("shard_file"))
+
+
+def placed(rows: DataFrame, folder: str, stride: int, shard_rows: int, key: int) -> DataFrame:
+    """The index of rows' sequences, whose shards have been written."""
+    parts = counts(rows, stride)
+    total = sum(n for _, n, _ in parts.values())
+    shards = -(-total // shard_rows)
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, min(shards, max(least, total * stride * 2 // TASK_BYTES)))
+    seqs = sequences(rows, stride, parts, shard_rows, key).withColumn("task", F.floor(F.col("shard") * tasks / F.lit(max(1, shards))).cast("int"))
+    dealt = seqs.repartitionById(tasks, "task") if hasattr(seqs, "repartitionById") else seqs.repartition(tasks, "task")
+    return written(write_shards(dealt.sortWithinPartitions("slot"), folder, stride, shard_rows), "shard-index")
+
+
+def read_from(folder: str, slot: int, n: int, stride: int = STRIDE, shard_rows: int = SHARD_ROWS) -> Iterator[np.ndarray]:
+    """Up to n sequences from a slot on, in training order. Seeks once in a shard, then reads on."""
     store, root = fs.FileSystem.from_uri(folder)
-    for shard, have in enumerate(counts):
-        if slot >= have:
-            slot -= have
-            continue
-        if n <= 0:
+    while n > 0:
+        shard, record = divmod(slot, shard_rows)
+        if store.get_file_info(f"{root}/{shard_name(shard)}").type == fs.FileType.NotFound:
             return
-        with store.open_input_file(f"{root}/shard-{shard:06d}.bin") as f:
-            f.seek(slot * stride * 2)
-            for _ in range(min(n, have - slot)):
-                yield np.frombuffer(f.read(stride * 2), "<u2")
-                n -= 1
-        slot = 0
+        with store.open_input_file(f"{root}/{shard_name(shard)}") as f:
+            f.seek(record * stride * 2)
+            for _ in range(min(n, shard_rows - record)):
+                got = f.read(stride * 2)
+                if not got:
+                    return
+                yield np.frombuffer(got, "<u2")
+                slot, n = slot + 1, n - 1
