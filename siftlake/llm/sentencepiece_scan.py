@@ -4,19 +4,20 @@ The public vocabulary is a BPE one. Its encoding of a text is the one path throu
 neighbours are compatible, i.e. encode to themselves when joined; with a weight of 0 for compatible neighbours and minus
 infinity for others that is a max-plus shortest path, and a boundary's state is the piece that ends at it or spans it. A giant
 document is split into chunks; each gives its transfer matrix from the states of its left boundary to those of its right one
-(the finite entries: weights are 0 throughout), the matrices are combined associatively in both directions, which leaves one
-state at each boundary, and each chunk is then traced back by itself. No piece has a word mark but at its start, so between two
-words every state is the same: all but the ends of a chunk is encoded by the library.
+(the finite entries). Max-plus products combine FAN neighbouring matrices into one, level by level up a tree, until one matrix
+is left for a document; on the way down each node knows the states at its two ends and traces those between its children, so no
+task ever holds more than FAN matrices of a document. Each chunk is then traced back by itself. No piece has a word mark but at
+its start, so between two words every state is the same: all but the ends of a chunk is encoded by the library.
 
-Defined results: a null text counts as empty and has no ids; repeated rows get a row each; extra columns are ignored. A document
-is at most 2 ** 31 bytes, so a scan has at most 2 ** 31 / CHUNK small matrices.
+Defined results: a null text counts as empty and has no ids; repeated rows get a row each; ids may be null; an empty table gives
+an empty result; extra columns, of whatever name, are ignored; texts end in the same ids wherever chunks are cut.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Callable
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,9 +28,13 @@ from .common import map_batches, text_of, written
 CHUNK = 16_384
 #: Characters of a chunk's neighbours that it sees: the longest piece.
 REACH = 16
+#: Matrices that a product combines at once.
+FAN = 16
 MARK = "▁"
 Token = tuple[int, int]
 START: Token = (0, 0)
+#: The finite entries of a transfer matrix: weights by state at the left and state at the right boundary.
+Matrix = dict[tuple[Token, Token], int]
 
 
 class Pieces:
@@ -186,27 +191,70 @@ def chunk_ids(p: Pieces, t: str, left: int, right: int, x: Token, y: Token) -> l
     return head + (p.words(t[inner:outer]) if outer > inner else []) + traced((outer, outer), right, y)
 
 
-def resolve(chunks: list[list[tuple[Token, Token]]]) -> list[Token]:
-    """The state at each inner boundary: the one that the start reaches and that reaches the end."""
-    ahead = [{START}]
-    for entries in chunks:
-        ahead.append({y for x, y in entries if x in ahead[-1]})
-    alive, out = ahead[-1], []
-    for k in range(len(chunks) - 1, 0, -1):
-        alive = {x for x, y in chunks[k] if y in alive} & ahead[k]
-        out.append(next(iter(alive)))
-    end = next(y for x, y in chunks[-1] if y in ahead[-1] and x == (out[0] if out else START))
-    return [START, *reversed(out), end]
+def product(a: Matrix, b: Matrix) -> Matrix:
+    """The max-plus product: the best weight of a path over any state at the boundary between."""
+    onward: dict[Token, list[tuple[Token, int]]] = {}
+    for (m, y), w in b.items():
+        onward.setdefault(m, []).append((y, w))
+    out: Matrix = {}
+    for (x, m), w in a.items():
+        for y, v in onward.get(m, ()):
+            if w + v > out.get((x, y), -(1 << 62)):
+                out[x, y] = w + v
+    return out
 
 
-def encode_whole(p: Pieces, text: str, chunk: int = CHUNK) -> list[int]:
+def traced_states(parts: list[Matrix], left: Token, right: Token) -> list[Token]:
+    """The states at the boundaries of parts on the best path from left to right, both of these included."""
+    ahead = [{left: 0}]
+    for matrix in parts:
+        best: dict[Token, int] = {}
+        for (x, y), w in matrix.items():
+            if x in ahead[-1] and ahead[-1][x] + w > best.get(y, -(1 << 62)):
+                best[y] = ahead[-1][x] + w
+        ahead.append(best)
+    out = [right]
+    for matrix, before in zip(reversed(parts), reversed(ahead[:-1]), strict=True):
+        out.append(max((before[x] + w, x) for (x, y), w in matrix.items() if y == out[-1] and x in before)[1])
+    return out[::-1]
+
+
+def end_of(whole: Matrix) -> Token:
+    """The state at the end of a document of that matrix."""
+    return max((w, y) for (x, y), w in whole.items() if x == START)[1]
+
+
+def combined(parts: list[Matrix]) -> Matrix:
+    return reduce(product, parts)
+
+
+def resolve(parts: list[Matrix], fan: int = FAN) -> list[Token]:
+    """The states at all boundaries of a document, by the tree of products, in one place."""
+    levels = [parts]
+    while len(levels[-1]) > 1:
+        levels.append([combined(levels[-1][k : k + fan]) for k in range(0, len(levels[-1]), fan)])
+    states = [START, end_of(levels[-1][0])]
+    for below in reversed(levels[:-1]):
+        states = [states[0], *(s for k in range(len(states) - 1) for s in traced_states(below[k * fan : (k + 1) * fan], states[k], states[k + 1])[1:])]
+    return states
+
+
+def flat(matrix: Matrix) -> list[int]:
+    return [v for (x, y), w in matrix.items() for v in (*x, *y, w)]
+
+
+def unflat(values: list[int]) -> Matrix:
+    return {((a, b), (c, d)): w for a, b, c, d, w in zip(*(values[i::5] for i in range(5)), strict=True)}
+
+
+def encode_whole(p: Pieces, text: str, chunk: int = CHUNK, fan: int = FAN) -> list[int]:
     """Encoding by chunks in one place, as the scan does it over Spark."""
     t = marked(text)
     if not t:
         return []
     cuts = [*range(0, len(t), chunk), len(t)]
-    entries = [chunk_entries(p, t, a, b, a == 0, b == len(t)) for a, b in zip(cuts, cuts[1:], strict=False)]
-    states = resolve(entries)
+    entries = [dict.fromkeys(chunk_entries(p, t, a, b, a == 0, b == len(t)), 0) for a, b in zip(cuts, cuts[1:], strict=False)]
+    states = resolve(entries, fan)
     return [i for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) for i in chunk_ids(p, t, a, b, states[k], states[k + 1])]
 
 
@@ -234,7 +282,7 @@ def encoded(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return map_batches(small, direct, schema).unionByName(scanned(giant, chunk))
 
 
-def scanned(giant: DataFrame, chunk: int) -> DataFrame:
+def scanned(giant: DataFrame, chunk: int, fan: int = FAN) -> DataFrame:
     """Giant documents (row, doc_id, text, sha) by the parallel scan: row, doc_id, chunks, ids, sha."""
     kind = giant.schema["doc_id"].dataType.simpleString()
     size = F.length("text") + 1
@@ -257,29 +305,13 @@ def scanned(giant: DataFrame, chunk: int) -> DataFrame:
             out = []
             for text, left, k, chunks in zip(batch["cut"], batch["left"], batch["k"], batch["chunks"], strict=True):
                 a, b = bounds(text, left, k, chunks)
-                out.append([v for x, y in chunk_entries(p, text, a, b, k == 0, k == chunks - 1) for v in (*x, *y)])
+                out.append(flat(dict.fromkeys(chunk_entries(p, text, a, b, k == 0, k == chunks - 1), 0)))
             return {"row": batch["row"], "k": batch["k"], "entries": out}
 
         return step
 
-    def scan() -> Callable[[dict], dict]:
-        def step(batch: dict) -> dict:
-            out: dict = {"row": [], "k": [], "state": []}
-            for row, parts in zip(batch["row"], batch["parts"], strict=True):
-                order = sorted(parts, key=lambda q: q["k"])
-                chunks = [[((e[i], e[i + 1]), (e[i + 2], e[i + 3])) for i in range(0, len(e), 4)] for e in (q["entries"] for q in order)]
-                states = resolve(chunks)
-                for i in range(len(chunks)):
-                    out["row"].append(row)
-                    out["k"].append(i)
-                    out["state"].append([*states[i], *states[i + 1]])
-            return out
-
-        return step
-
     entries = map_batches(cuts.select("row", "k", "chunks", "left", "cut"), matrices, "row long, k int, entries array<int>")
-    by_doc = entries.groupBy("row").agg(F.collect_list(F.struct("k", "entries")).alias("parts"))
-    states = map_batches(by_doc, scan, "row long, k int, state array<int>")
+    states = boundary_states(written(entries, "matrices"), fan)
 
     def trace() -> Callable[[dict], dict]:
         p = pieces()
@@ -298,7 +330,48 @@ def scanned(giant: DataFrame, chunk: int) -> DataFrame:
     return traced.groupBy("row", "doc_id", "chunks", "sha").agg(F.flatten(parts).alias("ids")).select("row", "doc_id", "chunks", "ids", "sha")
 
 
-def encode_and_decode(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def boundary_states(entries: DataFrame, fan: int = FAN) -> DataFrame:
+    """entries (row, k, entries: matrix of chunk k) -> row, k, state: the states at the left and right boundary of each chunk."""
+    most = entries.agg(F.max("k")).first()[0] or 0
+    parts = F.array_sort(F.collect_list(F.struct("k", "entries"))).alias("parts")
+    levels, now = [], entries
+
+    def up() -> Callable[[dict], dict]:
+        def step(batch: dict) -> dict:
+            return {"row": batch["row"], "k": batch["k"], "entries": [flat(combined([unflat(q["entries"]) for q in qs])) for qs in batch["parts"]]}
+
+        return step
+
+    def top() -> Callable[[dict], dict]:
+        def step(batch: dict) -> dict:
+            return {"row": batch["row"], "k": batch["k"], "state": [[*START, *end_of(unflat(e))] for e in batch["entries"]]}
+
+        return step
+
+    def down() -> Callable[[dict], dict]:
+        def step(batch: dict) -> dict:
+            out: dict = {"row": [], "k": [], "state": []}
+            for row, qs, s in zip(batch["row"], batch["parts"], batch["state"], strict=True):
+                states = traced_states([unflat(q["entries"]) for q in qs], (s[0], s[1]), (s[2], s[3]))
+                for q, a, b in zip(qs, states, states[1:], strict=False):
+                    out["row"].append(row)
+                    out["k"].append(q["k"])
+                    out["state"].append([*a, *b])
+            return out
+
+        return step
+
+    while most:
+        most //= fan
+        levels.append(written(now.groupBy("row", F.floor(F.col("k") / fan).cast("int").alias("k")).agg(parts), "level"))
+        now = written(map_batches(levels[-1], up, "row long, k int, entries array<int>"), "matrices")
+    states = map_batches(now, top, "row long, k int, state array<int>")
+    for level in reversed(levels):
+        states = map_batches(level.join(states, ["row", "k"]), down, "row long, k int, state array<int>")
+    return written(states, "states")
+
+
+def encode_and_decode(docs: DataFrame, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """doc_id, n_chunks, n_ids, ids_crc32, round_trip: whether decoding gives the text again.
 
     Ids of single chunks don't leave the task that encodes them.
@@ -322,5 +395,5 @@ def encode_and_decode(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_chunks int, n_ids long, ids_crc32 long, round_trip boolean"
-    by_scan = map_batches(scanned(giant, chunk).select("doc_id", "chunks", "ids", "sha"), make, schema)
+    by_scan = map_batches(scanned(giant, chunk, fan).select("doc_id", "chunks", "ids", "sha"), make, schema)
     return map_batches(small.select("doc_id", "text"), make, schema).unionByName(by_scan)
