@@ -4,8 +4,13 @@ Each partition packs its pieces best-fit, largest first, and emits the bins that
 to fewer partitions, which pack them again, until one round's worth is left. A bin carries its pieces (at most ``capacity`` of
 them, as a piece has a token at least), so what a level hands on is bounded by the waste of the level before, never by the input.
 
-Defined results: a null text is an empty one, a single end token; repeated rows are packed each; an empty table gives an empty
-result; a document of over ``capacity`` tokens is cut into pieces of which only the first may be shorter.
+Two bins can only become one if one of them is at most half full, and best fit leaves no more than one such bin a task. So once a
+round saves fewer bins than it has tasks, only those go on, and all others are final: no later round could save more than one
+sequence for each GROUP_ITEMS items of this one.
+
+Defined results: a null text is an empty one, a single end token; repeated rows are packed each, and ids may be null; an empty
+table gives an empty result; a document of over ``capacity`` tokens is cut into pieces of which only the first may be shorter;
+extra columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -17,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import map_batches, text_of, written
 from .tokens import END, encoder
@@ -126,21 +133,41 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         bins = written(packed_bins(dealt, capacity, last=groups == 1), "bins")
         finished.append(bins.filter("done").select("size", "parts"))
         left = bins.filter("NOT done").select("size", "parts")
-        m = left.count() if groups > 1 else 0
-        if not m:
-            break
-        if m > 0.9 * n:  # bins over half full no longer pair up: nothing is gained by another round
-            finished.append(left)
+        if groups == 1 or not (m := left.count()):
             break
+        if n - m < groups:
+            finished.append(left.filter(2 * F.col("size") > capacity))
+            left = left.filter(2 * F.col("size") <= capacity)
+            m = left.count()
         items, n = left, m
+        if not m:
+            break
     out = finished[0]
     for f in finished[1:]:
         out = out.unionByName(f)
-    out = out.withColumn("sequence_id", F.monotonically_increasing_id())
-    sizes = F.transform("parts", lambda p: p["length"])
-    offset = lambda i: F.aggregate(F.slice(sizes, 1, i), F.lit(0).cast("long"), lambda a, b: a + b)
-    placed = out.select("sequence_id", F.inline(F.transform("parts", lambda p, i: F.struct(p.alias("p"), offset(i).alias("offset")))))
-    return placed.select("p.*", "sequence_id", "offset")
+    return flattened(out.withColumn("sequence_id", F.monotonically_increasing_id()))
+
+
+def flattened(bins: DataFrame) -> DataFrame:
+    """bins (sequence_id, parts) -> a row for each piece, with its offset: the sum of the lengths before it in its bin."""
+    piece = bins.schema["parts"].dataType.elementType
+    schema = T.StructType([*piece.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            parts = batch["parts"]
+            counts = np.asarray(parts.value_lengths(), dtype=np.int64)
+            flat = parts.flatten()
+            columns = dict(zip([f.name for f in piece], flat.flatten(), strict=True))
+            before = np.cumsum(columns["length"].to_numpy()) - columns["length"].to_numpy()
+            starts = np.repeat(before[np.minimum(np.cumsum(counts) - counts, len(before) - 1)], counts)
+            columns |= {"sequence_id": pa.array(np.repeat(batch["sequence_id"].to_numpy(), counts)), "offset": pa.array(before - starts)}
+            yield pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in arrow], schema=arrow)
+
+    return bins.select("sequence_id", "parts").mapInArrow(scan, schema)
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
