@@ -4,9 +4,13 @@ Each language has a raw-content zstandard dictionary of sampled training texts.
 block is compressed with every dictionary, and the language whose sum is smallest wins; a narrow margin marks the text as rejected.
 Compressing in blocks keeps a long text from becoming its own dictionary.
 
-Defined results: ``und`` (score 0, rejected) for a null text or one without a letter; ties go to the language with more training
-rows; languages are those of the training rows, however few; without any training row every text is ``und``; repeated rows get a
-row each; extra columns are ignored.
+The training sample is bounded: of each of the LANGUAGES most frequent languages about SAMPLE_ROWS rows, of each row one block of
+SAMPLE_CHARS characters (the whole text if it is shorter) from a place that its hash gives, so a dictionary has DICT_CHARS at most.
+
+Defined results: ``und`` (score 0, rejected) for a null text or one without a letter (numbers such as a half or a Roman one are
+none); ties go to the language with more training rows; languages are those of the training rows, however few and however long;
+without any training row every text is ``und``; repeated rows get a row each; ids may be null; an empty table gives an empty
+result; extra columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -22,10 +26,11 @@ from pyspark.sql import functions as F
 from .common import crc_mod, map_batches
 
 UNKNOWN = "und"
-#: Bound of the training sample: rows a language, the length of a row that may be in it, and characters of a dictionary.
+#: Bounds of the training sample: languages, rows of each, and characters of a row; a dictionary has room for all of it.
+LANGUAGES = 256
 SAMPLE_ROWS = 800
-SAMPLE_CHARS = 6000
-DICT_CHARS = 400_000
+SAMPLE_CHARS = 500
+DICT_CHARS = SAMPLE_ROWS * SAMPLE_CHARS
 LEVEL = 3
 BLOCK = 2000
 #: Bytes a thousand characters (and at least) by which the best language must win for a text not to be rejected.
@@ -47,19 +52,26 @@ def letters(text: str) -> str:
     return NOT_LETTERS.sub(" ", text.lower()).strip()
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", key_col: str = "doc_id") -> LanguageModel:
-    """Dictionaries of a bounded sample: rows by hash of their key, about SAMPLE_ROWS of each language."""
-    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).collect()}
+    """Dictionaries of a bounded sample: rows by hash of their key and text, about SAMPLE_ROWS of each language."""
+    rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(key_col, text_col).alias("hash"))
+    rows = rows.filter(F.col("lang").isNotNull() & (F.length("text") > 0))
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return LanguageModel((), ())
-    rank = F.pmod(F.xxhash64(F.col(key_col)), F.lit(1_000_000)) / 1e6
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, SAMPLE_ROWS / n))])
-    fits = F.length(text_col).between(1, SAMPLE_CHARS)
-    sample = rows.filter(fits & (rank < F.element_at(share, F.col(lang_col)))).select(lang_col, text_col, rank.alias("rank")).collect()
+    rank = F.pmod("hash", F.lit(1_000_000)) / 1e6
+    # A bounded table: a share for each of LANGUAGES languages.
+    shares = docs.sparkSession.createDataFrame([(k, min(1.0, SAMPLE_ROWS / n)) for k, n in counts.items()], "lang string, share double")
+    kept = rows.withColumn("lang", F.col("lang").cast("string")).join(F.broadcast(shares), "lang").filter(rank < F.col("share"))
+    start = F.pmod(F.xxhash64("hash"), F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1
+    sample = kept.select("lang", F.substring("text", start, F.lit(SAMPLE_CHARS)).alias("block"), "hash").collect()
     parts: dict[str, list[str]] = {k: [] for k in counts}
-    for r in sorted(sample, key=lambda r: (r[2], r[1])):
-        parts[r[0]].append(letters(r[1]))
+    for lang, block, _ in sorted(map(tuple, sample), key=lambda r: (r[2], r[1])):
+        parts[lang].append(letters(block))
     texts = tuple(" ".join(dict.fromkeys(parts[k]))[-DICT_CHARS:].encode() for k in counts)
     return LanguageModel(tuple(counts), texts)
 
@@ -88,7 +100,7 @@ def classifier(model: LanguageModel) -> Callable[[str | None], tuple[str, float,
 
     def classify(text: str | None) -> tuple[str, float, bool]:
         words = letters(text or "")
-        if not words or not squeezers:
+        if not has_letter(words) or not squeezers:
             return UNKNOWN, 0.0, True
         cut = blocks(f" {words} ")
         sizes = [sum(len(f(b)) for b in cut) for f in squeezers]
