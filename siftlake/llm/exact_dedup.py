@@ -4,8 +4,9 @@ A Misra-Gries summary of every partition's digests finds the few that can be fre
 (at most ``capacity + 1`` rows, whatever the input) so that rows of hot groups never shuffle. All other digests take the
 ordinary path, a grouped aggregate joined back on the digest, where no group is large any more.
 
-Defined results: a null text counts as empty; equal rows (same id and text) are separate members of a group of which one
-stays; a null id is never smaller than another id; an empty table gives an empty result; extra columns are ignored.
+Defined results: a null text counts as empty; equal rows (same id and text) are separate members of a group of which the first
+in the table stays; a null id is never smaller than another id; an empty table gives an empty result; extra columns, of whatever
+name, are ignored by exact_groups and kept by exact_dedup.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from .common import text_of, written
+from .common import numbered, plain_names, text_of, written
 
 #: White space that is folded before texts are compared.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -57,12 +58,12 @@ def heavy_candidates(digests: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return summed.filter(F.col("digest").isNotNull() & (F.col("n") > rows / (capacity + 1))).select("digest")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """One row per row of docs: id, keep_id, group_size, kept, text_sha256."""
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, row_col: str | None = None) -> DataFrame:
+    """One row per row of docs: id, keep_id, group_size, kept, text_sha256, row_no (row_col of docs, if given)."""
     digests = docs.select(
         F.col(id_col).alias("id"),
         F.unhex(F.sha2(normalised(text_of(text_col)), 256)).alias("digest"),
-        F.monotonically_increasing_id().alias("row_no"),
+        (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row_no"),
     )
     digests = written(digests, "digests")
     # A null id sorts after all others; row_no decides between rows of the same id.
@@ -85,21 +86,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """The rows of docs that stay, with all their columns.
-
-    Rows that share an id (of which only repeated rows are expected) are told apart by their digest; of full repeats one stays.
-    """
-    groups = written(exact_groups(docs, id_col, text_col, capacity), "groups")
-    keys = groups.filter("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__kept"))
-    again = groups.groupBy(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__kept")).count().filter("count > 1").drop("count")
-    out = docs.withColumn("__sha", F.sha2(normalised(text_of(text_col)), 256))
-
-    def same(other: DataFrame) -> Column:
-        return out[id_col].eqNullSafe(other["__id"]) & (out["__sha"] == other["__kept"])
-
-    kept = out.join(keys, same(keys), "left_semi")
-    if not (again := written(again, "repeats")).head(1):
-        return kept.drop("__sha")
-    once = kept.join(again, same(again), "left_anti")
-    repeats = kept.join(again, same(again), "left_semi").dropDuplicates([id_col, "__sha"])
-    return once.unionByName(repeats).drop("__sha")
+    """The rows of docs that stay, with all their columns."""
+    plain, names = plain_names(docs)
+    rows = numbered(plain)
+    groups = exact_groups(rows, names[id_col], names[text_col], capacity, "row")
+    kept = rows.join(groups.filter("kept").select(F.col("row_no").alias("row")), "row", "left_semi")
+    return kept.select(*[F.col(v).alias(k) for k, v in names.items()])
