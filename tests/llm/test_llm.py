@@ -13,7 +13,7 @@ from siftlake.llm.common import drop_written, plain_names, skew_join, table
 from siftlake.llm.components import connected_components
 from siftlake.llm.exact_dedup import exact_dedup, exact_groups
 from siftlake.llm.fingerprint import composed, fingerprints, folded, with_next_text
-from siftlake.llm.sentencepiece_scan import encode_and_decode, encode_whole, pieces
+from siftlake.llm.sentencepiece_scan import CHUNK, encode_and_decode, encode_whole, pieces, product, traced_states
 from siftlake.llm.tokens import encoder
 
 SF = "/root/testdata/sf0.001"
@@ -233,30 +233,85 @@ def test_token_ids_are_those_of_tokenizers():
         assert encode(t) == whole.encode(t, add_special_tokens=False).ids
 
 
+def plain_slot(number, n, key=token_output.KEY):
+    """The keyed permutation, one number at a time and with plain integers."""
+    half, full = max(1, -(-max(1, (n - 1).bit_length()) // 2)), (1 << 64) - 1
+    while True:
+        left, right = number >> half, number & ((1 << half) - 1)
+        for r in range(token_output.ROUNDS):
+            z = (right + ((key * 0x9E3779B97F4A7C15 + r * 0xD1B54A32D192ED03) & full)) & full
+            z = ((z ^ (z >> 30)) * 0xBF58476D1CE4E5B9) & full
+            z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & full
+            left, right = right, left ^ ((z ^ (z >> 31)) & ((1 << half) - 1))
+        number = (left << half) | right
+        if number < n:
+            return number
+
+
 def test_token_output(spark, odd, empty, tmp_path):
-    folder = f"file://{tmp_path}/out"
-    got = token_output.materialise(table(spark, SF, "documents"), folder, shard_rows=16).toPandas().sort_values("slot")
-    assert list(got.slot) == list(range(len(got))) and got.shard.is_monotonic_increasing
-    counts = got.groupby("shard").size().reindex(range(got.shard.max() + 1), fill_value=0).tolist()
-    read = list(token_output.read_from(folder, counts, 5, 40))
-    assert [zlib.crc32(r[:n].astype("<u4").tobytes()) for r, n in zip(read, got.n_ids[5:45])] == got.ids_crc32[5:45].tolist()
-    assert token_output.materialise(odd).count() > len(ODD) and token_output.materialise(empty).count() == 0
+    encode = encoder()
+    docs = table(spark, SF, "documents")
+    for k, df in enumerate((docs.withColumn("shard", F.lit("x")), odd)):
+        folder = f"file://{tmp_path}/out{k}"
+        got = sorted(token_output.materialise(df, folder, shard_rows=16).collect(), key=lambda r: r.slot)
+        # Sequences in the order of the table, as one reads it, and their slots by the plain permutation.
+        plain = [(r.doc_id, i // 1024, ids[i : i + 1024]) for r in df.select("doc_id", "text").collect() for ids in [[*encode(r.text or ""), 2]] for i in range(0, len(ids), 1024)]
+        n = len(plain)
+        slots = [plain_slot(i, n) for i in range(n)]
+        assert sorted(slots) == list(range(n)) and [r.slot for r in got] == list(range(n))
+        by_slot = {s: p for s, p in zip(slots, plain)}
+        assert [(r.doc_id, r.piece, r.n_ids) for r in got] == [(by_slot[s][0], by_slot[s][1], len(by_slot[s][2])) for s in range(n)]
+        assert all(r.shard == r.slot // 16 and r.byte_offset == r.slot % 16 * 2048 for r in got)
+        read = list(token_output.read_from(folder, 0, n + 5, shard_rows=16))
+        assert [list(a) for a in read] == [by_slot[s][2] + [0] * (1024 - len(by_slot[s][2])) for s in range(n)]
+        assert [list(a) for a in token_output.read_from(folder, 21, 30, shard_rows=16)] == [list(a) for a in read[21:51]]
+        assert [r.ids_crc32 for r in got] == [zlib.crc32(np.array(by_slot[s][2], "<u4").tobytes()) for s in range(n)]
+    assert token_output.materialise(empty).count() == 0
     for n in (1, 2, 37, 1000):
-        assert sorted(token_output.permuted(np.arange(n), n)) == list(range(n))
+        assert sorted(token_output.permuted(np.arange(n), n)) == list(range(n)) == sorted(plain_slot(i, n) for i in range(n))
+
+
+def test_token_output_of_a_table_that_is_dealt_otherwise(spark, tmp_path, monkeypatch):
+    """If the second scan sees other partitions than the first, the table is written and scanned again."""
+    docs, honest = table(spark, SF, "documents"), token_output.counts
+    calls = []
+
+    def lying(rows, stride):
+        calls.append(1)
+        return honest(rows.limit(50) if len(calls) == 1 else rows, stride)
+
+    monkeypatch.setattr(token_output, "counts", lying)
+    got = token_output.materialise(docs, f"file://{tmp_path}/out").collect()
+    assert len(calls) == 2 and sorted(r.slot for r in got) == list(range(len(got))) and len({r.doc_id for r in got}) == docs.count()
 
 
 def test_sentencepiece_scan(spark, odd, empty):
     p = pieces()
     for t in ["thequickbrownfox" * 300, "a  b\n 漢字🙂 xyz" * 60, "word " * 500]:
-        for chunk in (7, 64, 1000):
-            assert encode_whole(p, t, chunk) == p.model.encode(t)
-    got = encode_and_decode(odd, chunk=64).collect()
+        for chunk, fan in ((7, 2), (7, 16), (64, 3), (1000, 16)):
+            assert encode_whole(p, t, chunk, fan) == p.model.encode(t)
+    t = "ab" * (CHUNK // 2) + "thequick brownfox " * 3000  # borders of the shipped size within a word and between words
+    assert encode_whole(p, t) == p.model.encode(t)
+    got = encode_and_decode(odd, chunk=64, fan=4).collect()
     assert all(r.round_trip for r in got) and len(got) == len(ODD)
     ids = {i: p.model.encode(t or "") for i, t in ODD}
     assert all(r.n_ids == len(ids[r.doc_id]) and r.ids_crc32 == zlib.crc32(np.array(ids[r.doc_id], "<u4").tobytes()) for r in got)
     assert encode_and_decode(empty).count() == 0
 
 
+def test_max_plus_products_are_associative_and_traced():
+    rng = np.random.default_rng(4)
+    states = [(i, i) for i in range(5)]
+    parts = [{(x, y): int(rng.integers(-9, 9)) for x in states for y in states if rng.random() < 0.8} for _ in range(4)]
+    a, b, c, d = parts
+    whole = product(product(product(a, b), c), d)
+    assert whole == product(product(a, b), product(c, d)) == product(a, product(product(b, c), d))
+    for (x, y), w in whole.items():
+        path = traced_states(parts, x, y)
+        assert path[0] == x and path[-1] == y and sum(m[s, t] for m, s, t in zip(parts, path, path[1:])) == w
+        assert w == max(sum(v) for q in np.ndindex(5, 5, 5) for s in [[x, *(states[i] for i in q), y]] if all((u, t) in m for m, u, t in zip(parts, s, s[1:])) for v in [[m[u, t] for m, u, t in zip(parts, s, s[1:])]])
+
+
 def test_quality(spark, odd, empty):
     docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
     got = quality.quality_of_documents(docs, labels).join(labels, "doc_id").filter("held_out").toPandas()
