@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import DataFrame, Window
@@ -68,6 +69,15 @@ def ranges(characters: set[str]) -> str:
     return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in out)
 
 
+def one_of(characters: set[str], gap: int = 128) -> str:
+    """A regex of one of the characters: few wide ranges are looked at before many narrow ones."""
+    wide: set[str] = set()
+    codes = sorted(map(ord, characters))
+    for a, b in zip(codes, codes[1:] + [codes[-1]], strict=True):
+        wide.update(map(chr, range(a, b if b - a <= gap else a + 1)), chr(b))
+    return f"(?=[{ranges(wide)}])[{ranges(characters)}]"
+
+
 def composed(text: Column) -> Column:
     """The text in normal form C; texts without a character that it could change are left alone."""
     # One literal a table: thousands of them take long to plan.
@@ -76,7 +86,7 @@ def composed(text: Column) -> Column:
     hangul = {chr(code) for a, b in (VOWELS, FINALS) for code in range(a, b + 1)}
     joining = set(classes) | {k[1] for k in pairs} | hangul
     joins, splits = ranges(joining), ranges(set(whole))
-    changing = ranges(joining | {c for c in whole if unicodedata.normalize("NFC", c) != c})
+    changing = one_of(joining | {c for c in whole if unicodedata.normalize("NFC", c) != c})
     # A class is looked up as the code of a character that stands for it, 0 for characters of none.
     froms, tos = "".join(classes), "".join(chr(0xE000 + n) for n in classes.values())
     code = lambda c: F.ascii(c)
@@ -118,7 +128,7 @@ def composed(text: Column) -> Column:
     apart = F.array_join(F.transform(tokens, lambda t: F.when(F.length(t) == 1, F.coalesce(F.try_element_at(table(whole), t), t)).otherwise(t)), "")
     tokens = F.regexp_extract_all(apart, F.lit(f"(?s)[^{joins}]?[{joins}]+|[^{joins}]+(?=[^{joins}][{joins}])|[^{joins}]+"), F.lit(0))
     out = F.array_join(F.transform(tokens, lambda t: F.when(t.rlike(f"[{joins}]"), cluster(t)).otherwise(t)), "")
-    return F.when(text.rlike(f"[{changing}]"), out).otherwise(text)
+    return F.when(text.rlike(changing), out).otherwise(text)
 
 
 @cache
@@ -128,20 +138,42 @@ def foldings() -> dict[str, str]:
     return {c: c.casefold() for c in every if c.casefold() != c.lower()}
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+#: From here on characters can be marks, compose, or have no simple folding but for the few that low() has.
+HIGH = "[\\x{300}-\\x{10FFFF}]"
+
+
+def low(text: Column) -> Column:
+    """The case folding of a text without a character of HIGH."""
+    for c, f in foldings().items():
+        if ord(c) < 0x300:
+            text = F.replace(text, F.lit(c), F.lit(f))
+    return F.lower(text)
+
+
 def folded(text: Column) -> Column:
     """The text in full case folding."""
     special = foldings()
     inside = ranges(set(special))
     table = F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in special.items())), F.lit("\x02"), F.lit("\x01"))
-    tokens = F.regexp_extract_all(text, F.lit(f"(?s)[{inside}]|[^{inside}]+"), F.lit(0))
-    mapped = F.array_join(F.transform(tokens, lambda t: F.when(F.length(t) == 1, F.coalesce(F.try_element_at(table, t), t)).otherwise(t)), "")
-    # Lower case makes a capital sigma at the end of a word a final one.
-    return F.translate(F.lower(F.when(text.rlike(f"[{inside}]"), mapped).otherwise(text)), "\u03c2", "\u03c3")
+
+    def high(t: Column) -> Column:
+        tokens = F.regexp_extract_all(t, F.lit(f"(?s)[{inside}]|[^{inside}]+"), F.lit(0))
+        mapped = F.array_join(F.transform(tokens, lambda x: F.when(F.length(x) == 1, F.coalesce(F.try_element_at(table, x), x)).otherwise(x)), "")
+        # Lower case makes a capital sigma at the end of a word a final one.
+        return F.replace(F.lower(F.when(t.rlike(one_of(set(special))), mapped).otherwise(t)), F.lit("\u03c2"), F.lit("\u03c3"))
+
+    return let(text, lambda t: F.when(t.rlike(HIGH), high(t)).otherwise(low(t)))
 
 
 def canonical(text: Column) -> Column:
     """Composed, case folded, every run of white space one space, trimmed."""
-    return F.trim(F.regexp_replace(folded(composed(text)), r"[\s\x85\p{Z}]+", " "))
+    form = let(text, lambda t: F.when(t.rlike(HIGH), folded(composed(t))).otherwise(low(t)))
+    return F.trim(F.regexp_replace(form, r"[\s\x85\p{Z}]+", " "))
 
 
 def hash128(text: Column) -> tuple[Column, Column]:
