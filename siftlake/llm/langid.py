@@ -4,8 +4,8 @@ Each language has a raw-content zstandard dictionary of sampled training texts.
 block is compressed with every dictionary, and the language whose sum is smallest wins; a narrow margin marks the text as rejected.
 Compressing in blocks keeps a long text from becoming its own dictionary.
 
-The training sample is bounded: of each of the LANGUAGES most frequent languages about SAMPLE_ROWS rows, of each row one block of
-SAMPLE_CHARS characters (the whole text if it is shorter) from a place that its hash gives, so a dictionary has DICT_CHARS at most.
+The training sample is bounded: of each of the LANGUAGES most frequent languages about SAMPLE_ROWS rows, of each row one block (the
+whole text if it is shorter) from a place that its hash gives, of as many characters as make up DICT_CHARS with those of all rows.
 
 Defined results: ``und`` (score 0, rejected) for a null text or one without a letter (numbers such as a half or a Roman one are
 none); ties go to the language with more training rows; languages are those of the training rows, however few and however long;
@@ -26,11 +26,10 @@ from pyspark.sql import functions as F
 from .common import crc_mod, map_batches
 
 UNKNOWN = "und"
-#: Bounds of the training sample: languages, rows of each, and characters of a row; a dictionary has room for all of it.
+#: Bounds of the training sample: languages, rows of each, and characters of a dictionary, to which each row gives its part.
 LANGUAGES = 256
 SAMPLE_ROWS = 800
-SAMPLE_CHARS = 500
-DICT_CHARS = SAMPLE_ROWS * SAMPLE_CHARS
+DICT_CHARS = 400_000
 LEVEL = 3
 BLOCK = 2000
 #: Bytes a thousand characters (and at least) by which the best language must win for a text not to be rejected.
@@ -65,10 +64,10 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", key_col
         return LanguageModel((), ())
     rank = F.pmod("hash", F.lit(1_000_000)) / 1e6
     # A bounded table: a share for each of LANGUAGES languages.
-    shares = docs.sparkSession.createDataFrame([(k, min(1.0, SAMPLE_ROWS / n)) for k, n in counts.items()], "lang string, share double")
+    shares = docs.sparkSession.createDataFrame([(k, min(1.0, SAMPLE_ROWS / n), DICT_CHARS // min(n, SAMPLE_ROWS)) for k, n in counts.items()], "lang string, share double, chars int")
     kept = rows.withColumn("lang", F.col("lang").cast("string")).join(F.broadcast(shares), "lang").filter(rank < F.col("share"))
-    start = F.pmod(F.xxhash64("hash"), F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1
-    sample = kept.select("lang", F.substring("text", start, F.lit(SAMPLE_CHARS)).alias("block"), "hash").collect()
+    start = F.pmod(F.xxhash64("hash"), F.greatest(F.length("text") - F.col("chars") + 1, F.lit(1))).cast("int") + 1
+    sample = kept.select("lang", F.substring("text", start, F.col("chars")).alias("block"), "hash").collect()
     parts: dict[str, list[str]] = {k: [] for k in counts}
     for lang, block, _ in sorted(map(tuple, sample), key=lambda r: (r[2], r[1])):
         parts[lang].append(letters(block))
