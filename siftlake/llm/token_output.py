@@ -35,7 +35,7 @@ from .common import shared_dir, text_of, written
 from .tokens import END, encoder
 
 STRIDE = 1024
-PAD = 0
+PAD = b"\0"
 #: Sequences in a shard, and bytes that a task writes at least, if there are so many.
 SHARD_ROWS = 16_384
 TASK_BYTES = 256 << 20
@@ -112,7 +112,7 @@ def sequences(docs: DataFrame, stride: int, parts: dict[int, tuple[int, int, int
         import zstandard
 
         # Entropy coding, which the shuffle's own codec lacks; padding is added where shards are written.
-        encode, squeeze = encoder(), zstandard.ZstdCompressor(level=3).compress
+        encode, squeeze = encoder(), zstandard.ZstdCompressor(level=2).compress
         base, expected, hashed = shared.value.get(TaskContext.get().partitionId(), (0, 0, -(1 << 63)))
         n, seen = 0, 0
         for batch in batches:
@@ -120,7 +120,9 @@ def sequences(docs: DataFrame, stride: int, parts: dict[int, tuple[int, int, int
             first = n
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 seen = carried(seen, doc, text)
-                ids = np.asarray([*encode(text), END], dtype="<u2")
+                tokens = encode(text)
+                tokens.append(END)
+                ids = np.fromiter(tokens, "<u2", len(tokens))
                 for k in range(0, len(ids), stride):
                     piece = ids[k : k + stride]
                     for name, value in zip(out, (doc, k // stride, len(piece), squeeze(piece.tobytes())), strict=True):
@@ -171,10 +173,9 @@ def write_shards(seqs: DataFrame, folder: str, stride: int, shard_rows: int) ->
                     close()
                     now = shard
                     out = store.open_output_stream(f"{root}/.{now}-{attempt}")
-                ids = np.frombuffer(expand(frame), "<u2")
-                out.write(ids.tobytes())
-                out.write(np.full(stride - len(ids), PAD, "<u2").tobytes())
-                crcs.append(zlib.crc32(ids.astype("<u4").tobytes()))
+                raw = expand(frame)
+                out.write(raw.ljust(stride * 2, PAD))
+                crcs.append(zlib.crc32(np.frombuffer(raw, "<u2").astype("<u4")))
             slots = batch["slot"].to_numpy()
             at = pa.array(slots % shard_rows * stride * 2)
             yield pa.RecordBatch.from_arrays([batch[c] for c in ("doc_id", "piece", "n_ids", "slot", "shard")] + [at, pa.array(crcs, pa.int64())], schema=schema)
