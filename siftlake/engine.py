@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import content, enrich, names
+from .operators import content, eligible, enrich, names
 from .plans import trigrams
 from .plans.globs import GlobError, request_regex
 from .plans.ir import Query
@@ -32,10 +32,18 @@ class Engine:
     now: int = 0
     near: str | None = None
     postings: DataFrame | None = None
-
-    def search(self, text: str, offset: int = 0) -> DataFrame:
+    #: Own commits (commit, ts, merge, path), which count as usage; paths that ignore files leave out; repositories' folders (path).
+    commits: DataFrame | None = None
+    ignored: DataFrame | None = None
+    repos: DataFrame | None = None
+    #: Whether words may have a typo, and deeper ones where that finds nothing good.
+    typos: bool = False
+
+    def search(self, text: str, offset: int = 0, hide_ignored: bool = False) -> DataFrame:
         """Ranked entries with every filter of the query applied, those on status and content too."""
         queries = [self.parsed(t) for t in forms(text)]
+        if hide_ignored and self.ignored is not None:
+            return replace(self, entries=self.entries.join(self.ignored, "path", "left_anti"), ignored=None).search(text, offset)
         if len(queries) == 1:
             return self.ranked(queries[0], offset)
         # Each form gives all that a page of the merged order may need; the page is cut after.
@@ -54,15 +62,30 @@ class Engine:
             found = self.with_status(found, q.git)
         if q.grep:
             found = found.join(self.holding_text(q.grep, q.grep_mode), "path", "left_semi")
+        find = names.search_deep if self.typos else names.search
         if self.opens is None and self.near is None:
-            return names.search(found, q, self.now, offset)
+            return find(found, q, self.now, offset)
         wide = replace(q, limit=max(RERANKED, q.limit + offset))
-        return self.reranked(names.search(found, wide, self.now), q.limit, offset)
+        return self.reranked(find(found, wide, self.now), q.limit, offset)
+
+    def named(self, hits: DataFrame) -> DataFrame:
+        """Hits as they are shown: kinds by name, and the word of their status."""
+        kind = F.when(F.col("kind") == 0, "file").when(F.col("kind") == 1, "dir").otherwise("link").alias("kind")
+        if self.status is None:
+            return hits.select("path", kind, "size", "mtime", "score", F.lit(None).cast("string").alias("git"))
+        bits = enrich.status_of(hits.select("path"), self.status)
+        if self.repos is not None:
+            bits = enrich.status_in_repositories(hits.select("path"), eligible.repository_of(hits.select("path"), self.entries, self.home), self.status)
+        return hits.join(bits, "path").select("path", kind, "size", "mtime", "score", enrich.word(F.col("bits")).alias("git"))
+
+    def listed(self, selector: str) -> DataFrame:
+        """Entries of a listed state, from the status listing on."""
+        return enrich.listed_with(self.status, selector, self.entries)
 
     def reranked(self, hits: DataFrame, limit: int, offset: int) -> DataFrame:
         lift = F.lit(0)
         if self.opens is not None:
-            hits = hits.join(enrich.frecency(self.opens, self.now).withColumnRenamed("score", "used"), "path", "left")
+            hits = hits.join(enrich.worked_on(self.opens, self.commits, self.now).withColumnRenamed("score", "used"), "path", "left")
             lift = lift + F.coalesce(enrich.boost(F.col("used")), F.lit(0))
         if self.near is not None:
             lift = lift + enrich.nearness(F.col("path"), self.near)
@@ -79,10 +102,10 @@ class Engine:
         return entries.join(bits.filter(reduce(lambda a, b: a & b, hits)).select("path"), "path", "left_semi")
 
     def holding_text(self, pattern: str, mode: str) -> DataFrame:
-        """path of the docs with a line that matches; bodies that the index rules out are hashed, but never searched."""
+        """path of the docs with a line that matches; only bodies that match as a whole are cut into lines."""
         regex = content.java_regex(pattern, mode)
-        docs = self.likely(regex)
-        return docs.filter(F.col("body").rlike("(?m)" + regex)).join(content.lines_of(docs).filter(F.col("text").rlike(regex)), "path", "left_semi").select("path")
+        docs = self.likely(regex).filter(F.col("body").rlike("(?m)" + regex))
+        return content.lines_of(docs).filter(F.col("text").rlike(regex)).select("path").distinct()
 
     def likely(self, regex: str) -> DataFrame:
         plan = trigrams.of_regex(regex) if self.postings is not None else None
@@ -91,11 +114,8 @@ class Engine:
         gids = content.planned(self.postings, plan)
         return self.docs.withColumn("gid", F.sha2("body", 256)).join(gids, "gid", "left_semi").drop("gid")
 
-    def grep(self, pattern: str, mode: str = "literal", where: str = "", per_file: int = content.PER_FILE, limit: int | None = None, offset: int = 0) -> DataFrame:
-        """Lines of matching files that the name query `where` lets through; files in order of rank, then newest, then path."""
-        q = self.parsed(where)
-        limit = q.limit if limit is None else limit
-        regex = content.java_regex(pattern, mode)
+    def matches(self, regex: str, q: Query, per_file: int = content.PER_FILE) -> tuple[DataFrame, DataFrame]:
+        """(lines, files) of the files that a name query lets through: matching lines, and path, mtime, rank of those that have one."""
         parts = F.split("path", "/")
         docs = self.likely(regex).withColumns({"name": F.element_at(parts, -1), "kind": F.lit(0)}).filter(names.predicate(q))
         for t in q.tokens:
@@ -105,8 +125,14 @@ class Engine:
             docs = self.with_status(docs, q.git)
         lines = content.grep(docs, regex, per_file)
         files = docs.select("path", "mtime").join(lines.select("path").distinct(), "path", "left_semi")
-        page = files.withColumn("rank", content.doc_rank(F.col("path"))).orderBy(F.desc("rank"), F.desc("mtime"), "path").offset(offset).limit(limit)
-        return lines.join(page.select("path", "rank", "mtime"), "path").orderBy(F.desc("rank"), F.desc("mtime"), "path", "line").select("path", "line", "text", "col")
+        return lines, files.withColumn("rank", content.doc_rank(F.col("path")))
+
+    def grep(self, pattern: str, mode: str = "literal", where: str = "", per_file: int = content.PER_FILE, limit: int | None = None, offset: int = 0) -> DataFrame:
+        """Lines of matching files that the name query `where` lets through; files in order of rank, then newest, then path."""
+        q = self.parsed(where)
+        lines, files = self.matches(content.java_regex(pattern, mode), q, per_file)
+        page = files.orderBy(F.desc("rank"), F.desc("mtime"), "path").offset(offset).limit(q.limit if limit is None else limit)
+        return lines.join(page, "path").orderBy(F.desc("rank"), F.desc("mtime"), "path", "line").select("path", "line", "text", "col")
 
     def glob(self, pattern: str, base: str = "/", ignored: DataFrame | None = None) -> DataFrame:
         """Entries whose path a glob matches, those of a table of ignored paths left out."""
@@ -117,10 +143,15 @@ class Engine:
         """path, score: what was opened lately and passes a query, score times 100."""
         q = self.parsed(where)
         kept = self.entries.filter(names.predicate(q))
-        used = enrich.frecency(self.opens, self.now)
+        used = enrich.worked_on(self.opens, self.commits, self.now)
         hits = kept.join(used, "path").select("path", F.floor(F.col("score") * 100).cast("long").alias("score"))
         return hits.orderBy(F.desc("score"), "path").limit(q.limit)
 
+    def opened(self, path: str) -> Engine:
+        """This engine once a path has been opened now."""
+        one = self.entries.sparkSession.createDataFrame([(path, self.now)], "path string, ts long")
+        return replace(self, opens=one if self.opens is None else self.opens.select("path", F.col("ts").cast("long").alias("ts")).unionByName(one))
+
     def list_folder(self, folder: str) -> DataFrame:
         return self.entries.filter(F.col("parent") == folder.rstrip("/"))
 
@@ -139,15 +170,33 @@ class Engine:
         by_kind = {r.kind: r.n for r in self.entries.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
         return {"files": by_kind.get(0, 0), "folders": by_kind.get(1, 0), "docs": self.docs.count() if self.docs is not None else 0}
 
-    def answer(self, op: str, **args: object) -> dict:
-        """A request as a reply: rows or an error, never an exception of a query that can't be read."""
-        ops: dict[str, Callable[..., DataFrame]] = {"search": self.search, "grep": self.grep, "glob": self.glob, "recent": self.recent, "list": self.list_folder}
-        if op not in ops:
-            return {"ok": False, "error": f"unknown op {op}"}
+    def grep_file(self, path: str, pattern: str, mode: str = "literal") -> DataFrame:
+        """The lines of one file that match, whatever kind of file it is."""
+        return content.in_file(self.docs, path, content.java_regex(pattern, mode))
+
+    def answer(self, op: str, id: int | None = None, **args: object) -> dict:  # noqa: A002
+        """A request as a reply: rows or an error, never an exception of a query that can't be read; ids come back as they were sent.
+
+        Pages tell where the next one starts, if there is one.
+        """
+        ops: dict[str, Callable[..., DataFrame]] = {"search": self.search, "grep": self.grep, "glob": self.glob, "recent": self.recent, "list": self.list_folder, "git": self.listed}
+        tag = {} if id is None else {"id": id}
         try:
-            return {"ok": True, "hits": [r.asDict() for r in ops[op](**args).collect()]}
-        except (QueryError, GlobError, ValueError) as e:
-            return {"ok": False, "error": str(e)}
+            if op == "ping":
+                return {"ok": True, **tag}
+            if op == "status":
+                return {"ok": True, **self.counts(), **tag}
+            if op not in ops:
+                raise QueryError(f"unknown op: {op}")
+            reply = {"ok": True, "hits": [r.asDict() for r in ops[op](**args).collect()], **tag}
+            limit = self.parsed(str(args.get("text", ""))).limit if op == "search" else args.get("limit") if op == "grep" else None
+            offset = int(args.get("offset", 0) or 0)
+            shown = len({h["path"] for h in reply["hits"]})
+            if limit and shown == limit and ops[op](**{**args, "offset": offset + shown}).head(1):
+                reply["next"] = offset + shown
+            return reply
+        except (QueryError, GlobError, ValueError, TypeError) as e:
+            return {"ok": False, "error": str(e), **tag}
 
 
 def forms(text: str) -> list[str]:

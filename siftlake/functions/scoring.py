@@ -83,6 +83,16 @@ def fuzzy(names: DataFrame, text: str) -> DataFrame:
     return found.select(*columns, "score")
 
 
+def fuzzy_column(names: DataFrame, text: str, alias: str) -> DataFrame:
+    """names with the score under an alias, null where a name doesn't match: several words are scored in one pass."""
+    columns = names.columns
+    out = names
+    for step, expression in fuzzy_steps(text):
+        out = out.withColumn(step, F.expr(expression))
+    hit = F.translate("name", UPPER, LOWER).like(like(text))
+    return out.select(*columns, F.when(hit, F.col("score")).alias(alias))
+
+
 def fuzzy_sql(source: str, text: str) -> str:
     """The same for the oracle: CTEs ending in `scored` over a relation with a column name."""
     out = [f"z0 AS (SELECT * FROM {source} WHERE translate(name, '{UPPER}', '{LOWER}') LIKE {quoted(like(text))} ESCAPE '\\')"]

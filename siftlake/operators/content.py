@@ -18,6 +18,8 @@ LOCKFILES = "package-lock.json npm-shrinkwrap.json yarn.lock pnpm-lock.yaml bun.
 LATE_SUFFIXES = (".jsonl", ".ndjson", ".log", ".lock", ".sum")
 SHOWN, PER_FILE = 400, 5
 MOST_ALTERNATIVES = 16
+#: What stands after a body's last two letters in the key of its end.
+END = "\0"
 
 
 def is_text(body: Column) -> Column:
@@ -62,26 +64,59 @@ def any_of(patterns: list[str]) -> str:
     return ("" if exact else "(?iu)") + "|".join(java_regex(p, "literal", True) for p in patterns)
 
 
+def shown(text: Column) -> Column:
+    """A line as it is shown: its first SHOWN bytes, white space at the end left out; a character that is cut becomes U+FFFD."""
+    cut = F.make_valid_utf8(F.substring(text.cast("binary"), 1, SHOWN).cast("string"))
+    return F.regexp_replace(F.when(F.octet_length(text) <= SHOWN, text).otherwise(cut), r"\s+$", "")
+
+
+def match_ranges(text: Column, regex: str) -> Column:
+    """Where in a line its matches that aren't empty stand, as (first, end) bytes."""
+    sizes = lambda parts: F.transform(parts, lambda x: F.octet_length(x))
+    pairs = F.arrays_zip(sizes(F.split(text, regex, -1)).alias("gap"), sizes(F.regexp_extract_all(text, F.lit(regex), F.lit(0))).alias("match"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<first:int,end:int>>").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        first = a["at"] + x["gap"]
+        end = first + F.coalesce(x["match"], F.lit(0))
+        return F.struct(end.alias("at"), F.when(x["match"] > 0, F.concat(a["out"], F.array(F.struct(first.alias("first"), end.alias("end"))))).otherwise(a["out"]).alias("out"))
+
+    return F.aggregate(pairs, start, step)["out"]
+
+
+def defines(text: Column, regex: str) -> Column:
+    """Whether a match stands where its line declares it: a declaring keyword before it, the end of a word after it."""
+    flags = "(?iu)" if regex.startswith("(?iu)") else ""
+    return text.rlike(rf"(?<![A-Za-z0-9_])(?:{DEFINES})(?:<[^>\n]*>)?[ \t*&]+(?:mut[ \t]+)?{flags}(?:{regex.removeprefix(flags)})(?![A-Za-z0-9_])")
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """path, line (from 1), text: lines without their end; nothing after the last line break."""
     lines = docs.select("path", F.posexplode(F.split("body", "\n", -1)).alias("at", "text"), F.size(F.split("body", "\n", -1)).alias("n"))
     return lines.filter(~((F.col("at") == F.col("n") - 1) & (F.col("text") == "") & (F.col("n") > 0))).select("path", (F.col("at") + 1).alias("line"), F.regexp_replace("text", "\r$", "").alias("text"))
 
 
+def in_file(docs: DataFrame, path: str, regex: str, most: int = 200) -> DataFrame:
+    """path, line, text, col: the lines of one file that match, whatever it looks like; only a NUL in its first 8 KB rules it out."""
+    own = docs.filter(F.col("path") == path).filter(F.instr(F.substring("body", 1, 8192), "\0") == 0)
+    return grep(own, regex, most)
+
+
 def grep(docs: DataFrame, regex: str, per_file: int = PER_FILE) -> DataFrame:
     """path, line, text, col: matching lines of each file, the first per_file of them. A body that can't match is never cut."""
     likely = docs.filter(F.col("body").rlike("(?m)" + regex))
     hits = lines_of(likely).filter(F.col("text").rlike(regex))
     hits = hits.withColumn("rn", F.row_number().over(Window.partitionBy("path").orderBy("line"))).filter(F.col("rn") <= per_file)
     at = F.octet_length(F.regexp_extract("text", "(?s)^(.*?)(?:" + regex + ")", 1)) if "(?iu)" not in regex else F.octet_length(F.regexp_extract("text", "(?ius)^(.*?)(?:" + regex.replace("(?iu)", "") + ")", 1))
-    return hits.select("path", "line", F.rtrim(F.substring("text", 1, SHOWN)).alias("text"), at.alias("col"))
+    return hits.select("path", "line", shown(F.col("text")).alias("text"), at.alias("col"))
 
 
 def with_context(docs: DataFrame, regex: str, n: int) -> DataFrame:
     """path, line, before, after: the n lines around each match."""
     own = Window.partitionBy("path").orderBy("line")
     lines = lines_of(docs.filter(F.col("body").rlike("(?m)" + regex)))
-    around = lines.withColumns({"before": F.collect_list("text").over(own.rowsBetween(-n, -1)), "after": F.collect_list("text").over(own.rowsBetween(1, n))})
+    brief = shown(F.col("text"))
+    around = lines.withColumns({"before": F.collect_list(brief).over(own.rowsBetween(-n, -1)), "after": F.collect_list(brief).over(own.rowsBetween(1, n))})
     return around.filter(F.col("text").rlike(regex)).select("path", "line", F.array_join("before", "\n").alias("before"), F.array_join("after", "\n").alias("after"))
 
 
@@ -96,7 +131,9 @@ def trigrams(bodies: DataFrame) -> DataFrame:
     low = F.translate("body", UPPER + "\u017f\u212a", LOWER + "sk")
     # Characters are cut once, and neighbours put together: a substring by place would count from the start each time.
     keys = F.transform(F.array(F.regexp_extract_all(low, F.lit("(?s)."), F.lit(0))), joined)[0]
-    return bodies.select("gid", F.explode(keys).alias("key"))
+    # The end of a body is a key too, so that a search for two letters finds them there.
+    last = F.when(F.length(low) >= 2, F.array(F.concat(F.right(low, F.lit(2)), F.lit(END)))).otherwise(F.array().cast("array<string>"))
+    return bodies.select("gid", F.explode(F.array_union(keys, last)).alias("key"))
 
 
 def joined(letters: Column) -> Column:
@@ -112,6 +149,20 @@ def literal_plan(pattern: str) -> list[str]:
     return sorted({low[i : i + 3] for i in range(len(low) - 2) if low[i : i + 3].isascii()})
 
 
+def holding_pair(postings: DataFrame, pair: str) -> DataFrame:
+    """gid of bodies that hold two letters: those with a key that starts with them, the key of their end among them."""
+    low = pair.translate({c: c + 32 for c in range(65, 91)})
+    return postings.filter(F.col("key").startswith(low)).select("gid").distinct()
+
+
+def literal_candidates(postings: DataFrame, pattern: str) -> DataFrame | None:
+    """gid of bodies that may hold a literal; None if it is too short or has no key to tell."""
+    if len(pattern) == 2 and pattern.isascii():
+        return holding_pair(postings, pattern)
+    plan = literal_plan(pattern)
+    return candidates(postings, plan) if plan else None
+
+
 def candidates(postings: DataFrame, plan: list[str]) -> DataFrame:
     """gid of bodies that hold every key of a plan."""
     return postings.filter(F.col("key").isin(plan)).groupBy("gid").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(plan)).select("gid")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 HALF_LIFE = 14 * 86_400
 QUIET = 30
 LEAST_SCORE = 0.06
+MOST_USED, KEPT = 4096, 3072
+HISTORY, MOST_COMMITS, MOST_FILES = 60 * 86_400, 1000, 50
 # Status bits.
 MODIFIED, STAGED, ADDED, DELETED, RENAMED, UNTRACKED, IGNORED, CONFLICT = (1 << i for i in range(8))
 
@@ -20,9 +22,43 @@ def debounced_score(times: str, now: int) -> Column:
 
 
 def frecency(opens: DataFrame, now: int) -> DataFrame:
-    """path, score of opens (path, ts)."""
-    times = opens.groupBy("path").agg(F.array_sort(F.collect_list("ts")).alias("times"))
-    return times.select("path", debounced_score("times", now).alias("score")).filter(F.col("score") >= LEAST_SCORE)
+    """path, score of opens (path, ts).
+
+    An open QUIET seconds or more after the one before it always counts, so times are cut there into runs, which are folded by
+    themselves: an array is as long as one run, never as a path's whole history.
+    """
+    own = Window.partitionBy("path").orderBy("ts")
+    fresh = F.coalesce(F.col("ts") - F.lag("ts").over(own) >= QUIET, F.lit(True)).cast("int")
+    runs = opens.select("path", "ts").distinct().withColumn("run", fresh).withColumn("run", F.sum("run").over(own))
+    times = runs.groupBy("path", "run").agg(F.array_sort(F.collect_list("ts")).alias("times"))
+    scores = times.select("path", debounced_score("times", now).alias("score")).groupBy("path").agg(F.sum("score").alias("score"))
+    return scores.filter(F.col("score") >= LEAST_SCORE)
+
+
+def trimmed_usage(scores: DataFrame) -> DataFrame:
+    """Usage (path, score): once it has more than MOST_USED paths, the KEPT of the highest score, ties by path."""
+    if scores.limit(MOST_USED + 1).count() <= MOST_USED:
+        return scores
+    return scores.orderBy(F.desc("score"), "path").limit(KEPT)
+
+
+def history(commits: DataFrame, now: int) -> DataFrame:
+    """path, score of own commits (commit, ts, merge, path: a row a file): each fades like an open.
+
+    Of the last 60 days the latest MOST_COMMITS that are no merges count, and those of over MOST_FILES files are then left out.
+    """
+    known = commits.filter(~F.col("merge") & (F.col("ts") >= now - HISTORY)).groupBy("commit", "ts").agg(F.count("path").alias("files"))
+    latest = known.orderBy(F.desc("ts"), "commit").limit(MOST_COMMITS).filter(F.col("files") <= MOST_FILES)
+    weight = F.pow(F.lit(2.0), -F.greatest(F.lit(now) - F.col("ts"), F.lit(0)) / F.lit(float(HALF_LIFE)))
+    # MOST_COMMITS rows at most.
+    return commits.select("commit", "path").filter(F.col("path").isNotNull()).join(F.broadcast(latest.select("commit", "ts")), "commit").groupBy("path").agg(F.sum(weight).alias("score"))
+
+
+def worked_on(opens: DataFrame, commits: DataFrame | None, now: int) -> DataFrame:
+    """path, score: opens and own commits together."""
+    used = frecency(opens, now)
+    both = used if commits is None else used.unionByName(history(commits, now))
+    return both.groupBy("path").agg(F.sum("score").alias("score"))
 
 
 def boost(score: Column) -> Column:
@@ -53,6 +89,31 @@ def status_of(paths: DataFrame, listed: DataFrame) -> DataFrame:
     return paths.join(best, "path", "left").select("path", F.coalesce("bits", F.lit(0)).alias("bits"))
 
 
+def status_in_repositories(paths: DataFrame, repos: DataFrame, listed: DataFrame) -> DataFrame:
+    """path, bits: null outside of repositories (path, repo), IGNORED in their .git, else status_of."""
+    bits = status_of(paths, listed).join(repos, "path", "left")
+    inside = F.expr("substring(path, length(repo) + 2)")
+    own = F.when((inside == ".git") | inside.startswith(".git/"), IGNORED).otherwise(F.col("bits"))
+    return bits.select("path", F.when(F.col("repo").isNotNull(), own).alias("bits"))
+
+
+def listed_with(listed: DataFrame, selector: str, entries: DataFrame) -> DataFrame:
+    """Entries that a selector of listed states takes, from the listing on: listed files, and all in folders that are listed whole.
+
+    Only for selectors that take nothing of what isn't listed; the listing is small beside the entries, and joined by equality.
+    """
+    if selector in ("clean", "tracked") or selector.startswith("!"):
+        raise ValueError(f"not a listed state: {selector}")
+    hits = listed.filter(selected(F.col("bits"), selector))
+    files = entries.join(hits.filter("NOT is_dir").select(F.col("listed").alias("path")), "path", "left_semi")
+    parts = F.split("path", "/")
+    above = entries.withColumn("above", F.explode(F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))))
+    below = above.join(hits.filter("is_dir").select(F.col("listed").alias("above")), "above", "left_semi").select(*entries.columns)
+    # A file that is listed itself has its own state, whatever its folder's.
+    own = listed.filter("NOT is_dir").select(F.col("listed").alias("path"))
+    return files.unionByName(below.join(own, "path", "left_anti")).dropDuplicates(["path"])
+
+
 def word(bits: Column) -> Column:
     """The status as a word; none if clean."""
     out = None

@@ -15,6 +15,41 @@ def live_view(base: DataFrame, dead: DataFrame, delta: DataFrame) -> DataFrame:
     return base.join(gone, "path", "left_anti").unionByName(delta)
 
 
+def with_subtrees(gone: DataFrame, entries: DataFrame) -> DataFrame:
+    """path of the gone paths and of all entries below them; folders above are exploded and joined by equality."""
+    parts = F.split("path", "/")
+    above = entries.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("above"))
+    below = above.join(gone.select(F.col("path").alias("above")), "above", "left_semi").select("path")
+    return below.union(gone.select("path")).distinct()
+
+
+def changed_since(entries: DataFrame, since: int, synced: int | None = None) -> DataFrame:
+    """path of the folders to list again after events were lost: those whose own time is since or later, and, where a sync is known
+    to have been at a time, those that hold a file changed from then on."""
+    folders = entries.filter((F.col("kind") == 1) & (F.col("mtime") >= since)).select("path")
+    if synced is None:
+        return folders
+    return folders.union(entries.filter((F.col("kind") == 0) & (F.col("mtime") >= synced)).select(F.col("parent").alias("path"))).distinct()
+
+
+def changed_documents(held: DataFrame, entries: DataFrame, since: int) -> DataFrame:
+    """path of the folders with a held document (path, size, mtime) whose file has another size, or a time since or later, or is gone."""
+    now = entries.filter("kind = 0").select("path", F.col("size").alias("n_size"), F.col("mtime").alias("n_mtime"))
+    both = held.select("path", "size", "mtime").join(now, "path", "left")
+    other = F.col("n_size").isNull() | (F.col("size") != F.col("n_size")) | (F.col("n_mtime") >= since)
+    return both.filter(other).select(F.regexp_replace("path", "/[^/]*$", "").alias("path")).distinct()
+
+
+def relist_in(last: float | None, now: float, cooldown: int = 300) -> float:
+    """Seconds until folders may be listed by time again."""
+    return 0.0 if last is None else max(0.0, last + cooldown - now)
+
+
+def lost(failures: int, dropped_by_system: bool) -> str:
+    """What lost events call for: replay from the last good one, or a listing by time after three failures or a drop by the system."""
+    return "relist" if dropped_by_system or failures >= 3 else "replay"
+
+
 def folder_diff(current: DataFrame, listing: DataFrame) -> DataFrame:
     """path, op: what makes current (path, kind, size, mtime) the listing; applied twice it is as if once."""
     old = current.select("path", *[F.col(c).alias(f"o_{c}") for c in ("kind", "size", "mtime")])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import replace
 from functools import reduce
 
 import pandas as pd
@@ -9,11 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from ..functions.scoring import LOWER, UPPER, fuzzy, mode_score, prior, tweaks
+from ..functions.scoring import LOWER, UPPER, fuzzy, fuzzy_column, mode_score, prior, tweaks
 from ..plans.ir import Query, Token
 
-#: What a token that only a folder on the path matches adds: this share of the folder's best, or FLAT beyond the first four.
-INHERITED, FLAT, SCORED_TOKENS = 0.75, 6, 4
+#: What a token that only a folder on the path matches adds: three quarters of the folder's best, or FLAT beyond the first four.
+FLAT, SCORED_TOKENS = 6, 4
+PATH_MISS, PATH_HIT = 40, 30
+#: Hits that are looked at to tell whether words are well found.
+WELL_TOP = 8
 
 
 def folded(column: Column) -> Column:
@@ -101,45 +106,149 @@ def search(entries: DataFrame, q: Query, now: int, offset: int = 0, typos: str =
 
     Names are scored once each and joined back, which Catalyst doesn't do by itself; folders are scored per distinct name too.
     """
-    tokens = [t for t in q.tokens if not t.negate]
-    found = entries.filter(predicate(q))
-    names = found.select("name").distinct()
-    if not tokens:
-        scored = found.withColumn("own", F.lit(0))
-    elif len(tokens) == 1:
-        scored = found.join(token_scores(names, tokens[0], typos).withColumnRenamed("score", "own"), "name")
-    else:
-        scored = several(found, names, tokens, typos)
     score = F.col("own") + prior("parent") + F.expr(tweaks(now))
-    out = scored.select("path", "parent", "name", "kind", "size", "mtime", score.cast("int").alias("score"))
+    out = matched(entries, q, typos).select("path", "parent", "name", "kind", "size", "mtime", score.cast("int").alias("score"))
     ordered = out.orderBy(*total_order())
     top = ordered.limit(q.limit) if not offset else ordered.offset(offset).limit(q.limit)
     return top.select("path", "kind", "size", "mtime", "score")
 
 
+def matched(entries: DataFrame, q: Query, typos: str = "none", overlay: bool = False) -> DataFrame:
+    """The entries that a query lets through, with own: what their names and folders score."""
+    tokens = [t for t in q.tokens if not t.negate]
+    found = entries.filter(predicate(q))
+    names = found.select("name").distinct()
+    if not tokens:
+        return found.withColumn("own", F.lit(0))
+    if len(tokens) == 1:
+        return found.join(token_scores(names, tokens[0], typos).withColumnRenamed("score", "own"), "name")
+    return several(found, names, tokens, typos, overlay)
+
+
 def total_order() -> list[Column]:
     return [F.desc("score"), (F.col("kind") != 0).asc(), F.split("parent", "/").asc(), F.col("name").asc()]
 
 
-def several(found: DataFrame, names: DataFrame, tokens: list[Token], typos: str = "none") -> DataFrame:
-    """found with own: each token in the own name, or inherited from a folder; one in the own name at least."""
-    table = names
+def live_search(base: DataFrame, dead: DataFrame, delta: DataFrame, q: Query, now: int, typos: str = "none") -> DataFrame:
+    """path, kind, size, mtime, score over a base without what is dead or replaced, and a delta.
+
+    Of equal scores files come first, then the base before the delta, whose own ties go by path. An entry of the delta ranks with the
+    prior of the nearest folder that the base knows (a folder only in the delta has none of its own), and takes three quarters of what
+    its folders match for each word, whatever that is.
+    """
+    kept = base.join(dead.select("path").union(delta.select("path")).distinct(), "path", "left_anti")
+    of_base = matched(kept, q, typos).withColumn("prior", prior("parent")).withColumn("newer", F.lit(False))
+    over = matched(delta, q, typos, overlay=True)
+    over = over.join(known_folders(over.select("parent").distinct(), base), "parent", "left").withColumn("prior", F.coalesce(prior("known"), F.lit(0))).drop("known").withColumn("newer", F.lit(True))
+    score = (F.col("own") + F.col("prior") + F.expr(tweaks(now))).cast("int").alias("score")
+    columns = ["path", "parent", "name", "kind", "size", "mtime", "newer"]
+    both = of_base.select(*columns, score).unionByName(over.select(*columns, score))
+    place = F.when(F.col("newer"), F.array("path")).otherwise(F.split("parent", "/"))
+    order = [F.desc("score"), (F.col("kind") != 0).asc(), F.col("newer").asc(), place.asc(), F.col("name").asc()]
+    return both.orderBy(*order).limit(q.limit).select("path", "kind", "size", "mtime", "score")
+
+
+def known_folders(folders: DataFrame, base: DataFrame) -> DataFrame:
+    """parent, known: the nearest folder at or above each that is a folder of the base; folders above are joined by equality."""
+    parts = F.split("parent", "/")
+    above = folders.select("parent", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("above"))
+    hits = above.join(base.filter("kind = 1").select(F.col("path").alias("above")), "above", "left_semi")
+    return hits.groupBy("parent").agg(F.max_by("above", F.length("above")).alias("known"))
+
+
+def scored_names(names: DataFrame, tokens: list[Token], alias: str, typos: str = "none") -> DataFrame:
+    """names (name) with a column of scores for each token, null where it doesn't match: one pass, joined only where typos count."""
+    out = names
     for k, t in enumerate(tokens):
-        table = table.join(token_scores(names, t, typos).withColumnRenamed("score", f"t{k}"), "name", "left")
+        column = f"{alias}{k}"
+        if t.mode != "fuzzy":
+            where, score = mode_score(t.text, t.mode)
+            out = out.withColumn(column, F.when(F.expr(where), F.expr(score)))
+        elif typos == "none" or not edits_of(t):
+            out = fuzzy_column(out, t.text, column)
+        else:
+            out = out.join(token_scores(names, t, typos).withColumnRenamed("score", column), "name", "left")
+    # Names are distinct, so nothing is merged or shuffled here; but no filter on a score is pushed below, which would write its steps out.
+    return out.groupBy("name").agg(*[F.first(f"{alias}{k}").alias(f"{alias}{k}") for k in range(len(tokens))])
+
+
+def several(found: DataFrame, names: DataFrame, tokens: list[Token], typos: str = "none", overlay: bool = False) -> DataFrame:
+    """found with own: each token in the own name, or inherited from a folder; one in the own name at least."""
+    table = scored_names(names, tokens, "t", typos)
     folders = found.select("parent").distinct()
-    each = folders.select("parent", F.explode(F.array_distinct(F.filter(F.split("parent", "/"), lambda c: c != ""))).alias("name"))
-    parts = each.select("name").distinct()
-    for k, t in enumerate(tokens):
-        parts = parts.join(token_scores(each.select("name").distinct(), t).withColumnRenamed("score", f"d{k}"), "name", "left")
-    best = each.join(parts, "name").groupBy("parent").agg(*[F.max(f"d{k}").alias(f"d{k}") for k in range(len(tokens))])
+    each = folders.select("parent", F.posexplode(F.filter(F.split("parent", "/"), lambda c: c != "")).alias("at", "name"))
+    parts = scored_names(each.select("name").distinct(), tokens, "d", typos)
+    ks = range(len(tokens))
+    best = each.join(parts, "name").groupBy("parent").agg(*[F.max(f"d{k}").alias(f"d{k}") for k in ks], *[F.max_by(F.col(f"d{k}").isNotNull(), "at").alias(f"p{k}") for k in ks])
     scored = found.join(table, "name").join(best, "parent", "left")
     own, some, every = F.lit(0), F.lit(False), F.lit(True)
-    for k in range(len(tokens)):
+    for k in ks:
         there, above = F.col(f"t{k}"), F.col(f"d{k}")
-        share = F.greatest(above, F.lit(0)) * 3 / 4 if k < SCORED_TOKENS else F.lit(FLAT)
+        # An overlay's entries inherit from each word, less than nothing too.
+        share = above * 3 / 4 if overlay else F.greatest(above, F.lit(0)) * 3 / 4 if k < SCORED_TOKENS else F.lit(FLAT)
         own = own + F.coalesce(there, share.cast("int"))
         some, every = some | there.isNotNull(), every & (there.isNotNull() | above.isNotNull())
-    return scored.filter(some & every).withColumn("own", own + spelled(tokens))
+    whole = reduce(lambda a, b: a & b, [F.col(f"t{k}").isNotNull() for k in ks])
+    bonus = F.when(whole, spelled(tokens)).otherwise(0) + path_fit(tokens)
+    return scored.filter(some & every).withColumn("own", own + bonus)
+
+
+def path_fit(tokens: list[Token]) -> Column:
+    """For words with slashes: less if the last piece isn't in the own name, more if a piece is and the one before names the folder."""
+    under = [k for k, t in enumerate(tokens) if t.under]
+    if not under:
+        return F.lit(0)
+    there = lambda k: F.col(f"t{k}").isNotNull()
+    fits = reduce(lambda a, b: a | b, [there(k) & F.coalesce(F.col(f"p{k - 1}"), F.lit(False)) for k in under if k], F.lit(False))
+    return F.when(there(under[-1]), 0).otherwise(-PATH_MISS) + F.when(fits, PATH_HIT).otherwise(0)
+
+
+def search_deep(entries: DataFrame, q: Query, now: int, offset: int = 0) -> DataFrame:
+    """A search in which words may have a typo; where one isn't well found among the first WELL_TOP hits, deeper typos count too.
+
+    Only those few hits come to the driver.
+    """
+    tokens = [t for t in q.tokens if edits_of(t)]
+    if tokens:
+        top = [r.path for r in search(entries, replace(q, limit=WELL_TOP), now, 0, "one").select("path").collect()]
+        if not all(any(well_found(c, t.text) for p in top for c in p.split("/") if c) for t in tokens):
+            return search(entries, q, now, offset, "deep")
+    return search(entries, q, now, offset, "one" if tokens else "none")
+
+
+def well_found(name: str, text: str) -> bool:
+    """Whether a name holds a word as typed from a word's start on, with a typo after its first letter, or as an abbreviation."""
+    score = fuzzy_score(name, text)
+    if score is not None and score + min(len(name), 80) // 3 >= 23 * len(text) + 7:
+        return True
+    low = name.translate({c: c + 32 for c in range(65, 91)})
+    starts = [i for i in range(len(low)) if i == 0 or name[i - 1] in "_-. "]
+    return any(low.startswith(text, i) for i in starts) or typo_score(name, text, 30, 60) is not None or abbreviates(name, text)
+
+
+def letter_kind(c: str) -> str:
+    return "l" if "a" <= c <= "z" else "u" if "A" <= c <= "Z" else "d" if "0" <= c <= "9" else "_" if c in " _-./()[],+@" else "o"
+
+
+def abbreviates(name: str, text: str) -> bool:
+    """Whether text spells a name by the beginnings of two or more of its words, two letters of each at least."""
+    if any(c in "_-. " for c in text):
+        return False
+    low = name.translate({c: c + 32 for c in range(65, 91)})
+    kinds = [letter_kind(c) for c in name]
+    begins = [i == 0 or kinds[i - 1] == "_" != kinds[i] or kinds[i - 1] + kinds[i] in ("lu", "ld", "ud") for i in range(len(name))]
+    lengths: list[int] = []
+    at = 0
+    for c in text:
+        if lengths and at < len(low) and low[at] == c:
+            lengths[-1] += 1
+        else:
+            at = next((i for i in range(at, len(low)) if begins[i] and low[i] == c), -1)
+            if at < 0:
+                return False
+            lengths.append(1)
+        at += 1
+    return len(lengths) > 1 and min(lengths) > 1
 
 
 def edits_of(token: Token) -> int:
@@ -218,7 +327,10 @@ def typo_scores(names: DataFrame, text: str) -> DataFrame:
     def score(column: pd.Series) -> pd.Series:
         return column.map(lambda n: typo_score(n, text, cap, cost)).astype("Int32")
 
-    return names.select("name", score("name").alias("score")).filter("score IS NOT NULL")
+    # What can't hold the word is out before the function: too short, or no word starts with its first letter.
+    start = "(?:^[.]?| )" + re.sub(r"([^\w\s])", r"\\\1", text[0], flags=re.A)
+    likely = names.select("name").filter((F.length("name") >= len(text) - 1) & folded(F.col("name")).rlike(start))
+    return likely.select("name", score("name").alias("score")).filter("score IS NOT NULL")
 
 
 def edited_prefix(word: str, text: str) -> int | None:
@@ -248,8 +360,7 @@ def fuzzy_score(name: str, text: str, cap: int = 116) -> int | None:
         start = low.rfind(c, 0, start)
 
     def kind(i: int) -> str:
-        c = name[i] if i >= 0 else " "
-        return "l" if "a" <= c <= "z" else "u" if "A" <= c <= "Z" else "d" if "0" <= c <= "9" else "_" if c in " _-./()[],+@" else "o"
+        return letter_kind(name[i] if i >= 0 else " ")
 
     total, at, first = 0, start, 0
     for k, c in enumerate(text):
