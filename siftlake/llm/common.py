@@ -74,16 +74,24 @@ def plain_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return df.toDF(*names.values()), names
 
 
-def skew_join(left: DataFrame, right: DataFrame, on: str, n: str, rows: int, how: str = "inner", heavy: int = 1024) -> DataFrame:
-    """left joined to right (one row a key; n: how many rows of left have it) without a hot key meeting in one task.
+#: A key is hot if it has more than this share of all rows.
+HOT = 1 / 1024
 
-    Keys with over rows / heavy of left's rows are fewer than heavy, so they are broadcast; the others are shuffled. rows is the
-    number of rows of left. Both sides should be written tables, as they are read twice.
+
+def hot_keys(counted: DataFrame, key: str, n: str, rows: int) -> list[int]:
+    """Hashes of the hot keys of a table of counts (n rows have a key, of so many): fewer than 1 / HOT, whatever the input."""
+    return [r[0] for r in counted.filter(F.col(n) > rows * HOT).select(F.xxhash64(key)).collect()]
+
+
+def skew_join(left: DataFrame, right: DataFrame, on: str, hot: list[int], how: str = "inner") -> DataFrame:
+    """left joined to right (one row a key) without the rows of a hot key meeting in one task.
+
+    The right side of hot keys is a row for each and is broadcast; all others are shuffled.
     """
-    hot = F.broadcast(right.filter(F.col(n) > rows / heavy))
-    cold = right.filter(F.col(n) <= rows / heavy)
-    by_hot = left.join(hot, on, "left_semi" if how == "left_semi" else "inner")
-    return by_hot.unionByName(left.join(hot.select(on), on, "left_anti").join(cold, on, how))
+    if not hot:
+        return left.join(right, on, how)
+    is_hot = F.xxhash64(on).isin(hot)
+    return left.filter(is_hot).join(F.broadcast(right.filter(is_hot)), on, how).unionByName(left.filter(~is_hot).join(right.filter(~is_hot), on, how))
 
 
 def crc_mod(col: str | Column, n: int) -> Column:

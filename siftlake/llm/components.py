@@ -5,27 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import skew_join, written
+from .common import hot_keys, skew_join, written
 
 
 def connected_components(links: DataFrame) -> DataFrame:
     """links (a, b) -> node, component: the smallest node that each can reach.
 
     Every round gives each node the least of itself and its neighbours and contracts the links to these labels, so that few are
-    left after a round or two, however large a component is; each round is a written table. Only nodes with links are in the result.
+    left after a round or two, however large a component is; each round's links and labels are written tables, and the labels are put
+together at the end. Only nodes with links are in the result.
     """
     both = links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct()
     edges = written(both.select("a", "b"), "links")
-    found = written(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct(), "labels")
-    nodes = found.count()
+    found = edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     while rows := edges.count():
         # Links are there in both directions, so n counts the rows of a node on either side; a hub's rows never meet in one task.
         label = written(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label"), F.count(F.lit(1)).alias("n")), "labels")
-        sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-        named = written(sizes.join(label.select(F.col("a").alias("component"), "label"), "component"), "named")
-        step = skew_join(found, named, "component", "size", nodes, "left")
-        found = written(step.select("node", F.coalesce("label", "component").alias("component")), "labels")
-        one = written(skew_join(edges, label, "a", "n", rows).select(F.col("label").alias("la"), F.col("b").alias("a")), "links")
-        edges = skew_join(one, label, "a", "n", rows).select(F.col("la").alias("a"), F.col("label").alias("b")).filter("a <> b").distinct()
+        hot = hot_keys(label, "a", "n", rows)
+        label = label.select("a", "label")
+        found = found.join(label.withColumnRenamed("a", "component"), "component", "left").select("node", F.coalesce("label", "component").alias("component"))
+        one = skew_join(edges, label, "a", hot).select(F.col("label").alias("la"), F.col("b").alias("a"))
+        edges = skew_join(one, label, "a", hot).select(F.col("la").alias("a"), F.col("label").alias("b")).filter("a <> b").distinct()
         edges = written(edges, "links")
-    return found
+    return written(found, "components")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from .common import skew_join, text_of, written
+from .common import hot_keys, skew_join, text_of, written
 
 #: Buckets of the order of ids for each shuffle partition, and rows sampled for each bucket's bounds.
 BUCKETS, SAMPLED = 8, 20
@@ -270,7 +270,7 @@ def clashes(base: DataFrame, slim: DataFrame) -> list[str] | None:
     known = slim.select("doc_id", F.struct("c0", "c1").alias("key"))
     shared = written(known.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared")
     least = F.lit(-(1 << 63)).cast("long")
-    ids = skew_join(known, shared, "key", "n", slim.count(), "left_semi").select(F.coalesce("doc_id", least).alias("d")).distinct()
+    ids = skew_join(known, shared.select("key"), "key", hot_keys(shared, "key", "n", slim.count()), "left_semi").select(F.coalesce("doc_id", least).alias("d")).distinct()
     texts = base.withColumn("d", F.coalesce("doc_id", least)).join(ids, "d", "left_semi").select(canonical(F.col("text")).alias("c"))
     high, low = hash128(F.col("c"))
     different = texts.withColumns({"h0": high, "h1": low}).groupBy("h0", "h1", "c").agg(F.lit(1).alias("one"))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 from xxhash import xxh3_64, xxh3_64_intdigest
 
-from .common import map_batches, skew_join, text_of, written
+from .common import hot_keys, map_batches, skew_join, text_of, written
 
 #: A subtree is template if it stands on at least so many pages of its host that differ in their text.
 MIN_PAGES = 5
@@ -357,7 +357,7 @@ def template_of(pages: DataFrame) -> DataFrame:
     both = F.struct("host", "hash").alias("subtree")
     often = seen.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_PAGES).join(counted, ["host", "hash"])
     often = written(often.select(both, "n"), "template")
-    hits = skew_join(seen.select("k0", "k1", "hash", both), often, "subtree", "n", seen.count())
+    hits = skew_join(seen.select("k0", "k1", "hash", both), often.select("subtree"), "subtree", hot_keys(often, "subtree", "n", seen.count()), "left_semi")
     return hits.groupBy("k0", "k1").agg(F.collect_set("hash").alias("template"))
 
 

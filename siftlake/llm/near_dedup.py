@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, numbered, skew_join, text_of, written
+from .common import hot_keys, map_batches, numbered, skew_join, text_of, written
 from .components import connected_components
 
 WORDS = 5
@@ -204,7 +204,7 @@ def verified_in_blocks(members: DataFrame, texts: DataFrame) -> DataFrame:
     long = members.join(texts.select("node", F.length("text").alias("chars")), "node")
     sizes = written(long.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars")), "sizes")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK), F.ceil(F.col("chars") / BLOCK_CHARS)).cast("int")
-    placed = skew_join(members, sizes, "key", "n", members.count()).select("key", "node", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
+    placed = skew_join(members, sizes, "key", hot_keys(sizes, "key", "n", members.count())).select("key", "node", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
     each = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
     met = placed.select("key", "node", "component", "block", F.inline(each)).join(texts, "node")
     # By number: what a task does grows with the square of its rows, so partitions aren't merged by their bytes.
@@ -244,15 +244,15 @@ def verified_in_blocks(members: DataFrame, texts: DataFrame) -> DataFrame:
     return dealt.select("key", "i", "j", "node", "component", "block", "text").mapInArrow(scan, schema)
 
 
-def compared_groups(unsettled: DataFrame) -> DataFrame:
+def compared_groups(unsettled: DataFrame, hot: list[int]) -> DataFrame:
     """unsettled (key, node, component) with buckets that overlap merged where that makes fewer comparisons.
 
     Near copies of one text share buckets in most bands, and each bucket holds most of them: one group of all of them is then
-    compared once instead of once a bucket. Where buckets only hang together by a few members each stays by itself.
+    compared once instead of once a bucket. Where buckets only hang together by a few members each stays by itself. hot: see hot_keys.
     """
     cost = lambda n: n * F.ceil(n / BLOCK)
-    heads = written(unsettled.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")), "heads")
-    star = skew_join(unsettled, heads, "key", "n", unsettled.count()).filter("a <> node").select("a", F.col("node").alias("b")).distinct()
+    heads = unsettled.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n"))
+    star = skew_join(unsettled, heads, "key", hot).filter("a <> node").select("a", F.col("node").alias("b")).distinct()
     groups = written(connected_components(star), "groups")
     apart = heads.join(groups.withColumnRenamed("node", "a"), "a").groupBy("component").agg(F.sum(cost(F.col("n"))).alias("apart"))
     merged = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n")).join(apart, "component").filter(cost(F.col("n")) <= F.col("apart"))
@@ -272,31 +272,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = written(sketches(docs), "sketches")
     first = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))
     nodes = written(rows.groupBy("digest").agg(F.min("row").alias("node"), F.min_by("keys", "row").alias("keys"), F.min(first).alias("first"), F.count(F.lit(1)).alias("copies")), "nodes")
-    keyed = written(nodes.select("node", F.explode("keys").alias("key")), "keyed")
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
     shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared")
-    members = written(skew_join(keyed, shared, "key", "n", keyed.count()), "members")
-    met = members.count()
+    hot = hot_keys(shared, "key", "n", nodes.agg(F.sum(F.size("keys"))).first()[0] or 0)
+    members = written(skew_join(keyed, shared, "key", hot), "members")
     rank = members.groupBy("node").agg(F.sum("n").alias("rank"))
     best = F.max(F.struct("rank", F.negative("node").alias("node"))).alias("top")
     leaders = written(members.join(rank, "node").groupBy("key", "n").agg(best).select("key", "n", F.negative("top.node").alias("a")), "leaders")
-    pairs = skew_join(members.select("key", "node"), leaders, "key", "n", met).filter("a <> node").groupBy("a", F.col("node").alias("b")).agg(F.max("n").alias("n"))
+    pairs = skew_join(members.select("key", "node"), leaders, "key", hot).filter("a <> node").groupBy("a", F.col("node").alias("b")).agg(F.max("n").alias("n"))
     texts = docs.select("row", "text").join(members.select(F.col("node").alias("row")).distinct(), "row", "left_semi").select(F.col("row").alias("node"), "text")
     texts = written(texts, "texts")
     links = written(verified(pairs, texts), "verified")
     parts = connected_components(links)
     placed = members.select("key", "node").join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    placed = written(placed, "placed")
     # Buckets with the same members count once.
     stats = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("xor"))
-    open_keys = written(stats.filter("least <> most").groupBy("n", "sum", "xor").agg(F.min("key").alias("key")).select("key", "n"), "open")
+    open_keys = written(stats.filter("least <> most").groupBy("n", "sum", "xor").agg(F.min("key").alias("key")).select("key"), "open")
     if open_keys.head(1):
-        unsettled = written(skew_join(placed, open_keys, "key", "n", met, "left_semi"), "unsettled")
-        links = links.unionByName(written(verified_in_blocks(written(compared_groups(unsettled), "groups"), texts), "verified"))
+        unsettled = written(skew_join(placed, open_keys, "key", hot, "left_semi"), "unsettled")
+        links = links.unionByName(written(verified_in_blocks(written(compared_groups(unsettled, hot), "groups"), texts), "verified"))
         parts = connected_components(links)
     degrees = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     named = nodes.select("node", "digest", "first", "copies").join(parts, "node", "left").join(degrees, "node", "left")
-    named = written(named.select("digest", "first", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "node").alias("class")), "named")
+    named = named.select("digest", "first", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "node").alias("class"))
+    # Written, so that a large class is no partition of the join's: its rows are then split by the adaptive plan.
     classes = written(named.groupBy("class").agg(F.min("first").alias("head"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("texts")), "classes")
-    placed = written(skew_join(named.select("digest", "copies", "n_links", "class"), classes, "class", "texts", named.count()), "placed")
-    out = skew_join(rows.select("id", "row", "digest"), placed, "digest", "copies", rows.count())
+    whole = skew_join(named.select("digest", "n_links", "class"), classes.drop("texts"), "class", hot_keys(classes, "class", "texts", nodes.count()))
+    out = skew_join(rows.select("id", "row", "digest"), whole, "digest", hot_keys(nodes, "digest", "copies", rows.count()))
     return out.select(F.col("id").alias(id_col), "row", F.col("head.id").alias("class_id"), "class_size", "n_links", (F.col("row") == F.col("head.row")).alias("kept"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftlake.llm import html_extract, langid, license_scan, near_dedup, packing, quality, token_output
-from siftlake.llm.common import drop_written, plain_names, skew_join, table
+from siftlake.llm.common import drop_written, hot_keys, skew_join, table
 from siftlake.llm.components import connected_components
 from siftlake.llm.exact_dedup import exact_dedup, exact_groups
 from siftlake.llm.fingerprint import composed, fingerprints, folded, with_next_text
@@ -45,8 +45,8 @@ def test_skew_join_is_a_join(spark):
     left = spark.range(1000).select((F.col("id") % 7 * (F.col("id") % 3)).alias("k"), "id")
     right = left.groupBy("k").count().withColumnRenamed("count", "n").filter("k <> 4")
     for how in ("inner", "left", "left_semi"):
-        for heavy in (2, 5, 1024):
-            got = skew_join(left, right, "k", "n", 1000, how, heavy)
+        for hot in ([], hot_keys(right, "k", "n", 200_000), hot_keys(right, "k", "n", 1000)):
+            got = skew_join(left, right, "k", hot, how)
             assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, left.join(right, "k", how).collect()), key=str)
 
 
