@@ -1,4 +1,4 @@
-"""Scores of names, as columns: a list of (alias, expression) steps in the SQL that both engines read.
+"""Scores of names, as columns: a list of (alias, expression) steps in SQL.
 
 A step may use the columns before it. Letters of the query are known when the plan is made, so the walk over a name is one column a
 letter and stays in generated code.
@@ -23,11 +23,9 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def find(letter: str, text: str, start: str, spark: bool) -> str:
+def find(letter: str, text: str, start: str) -> str:
     """The first place (from 1) of a letter that is known to come."""
-    if spark:
-        return f"locate({quoted(letter)}, {text}, {start})"
-    return f"(instr(substr({text}, {start}), {quoted(letter)}) + {start} - 1)"
+    return f"locate({quoted(letter)}, {text}, {start})"
 
 
 def like(text: str) -> str:
@@ -35,25 +33,25 @@ def like(text: str) -> str:
     return "%" + "%".join("\\" + c if c in "%_\\" else c for c in text) + "%"
 
 
-def fuzzy_steps(text: str, spark: bool = True) -> Steps:
+def fuzzy_steps(text: str) -> Steps:
     """Steps to the column score for names that hold the letters of text in order (see like)."""
     last = len(text) - 1
     steps: Steps = [
         ("folded", f"translate(name, '{UPPER}', '{LOWER}')"),
         ("classes", f"translate(name, '{CLASS_FROM}', '{CLASS_TO}')"),
         ("n", "length(name)"),
-        ("flipped", "reverse(folded)" if spark else "reverse(folded)"),
-        ("p0", find(text[0], "folded", "1", spark)),
+        ("flipped", "reverse(folded)"),
+        ("p0", find(text[0], "folded", "1")),
     ]
     for k in range(1, len(text)):
-        steps.append((f"p{k}", find(text[k], "folded", f"(p{k - 1} + 1)", spark)))
+        steps.append((f"p{k}", find(text[k], "folded", f"(p{k - 1} + 1)")))
     # The latest start that still ends there, then the greedy walk from it.
-    steps.append((f"r{last}", find(text[last], "flipped", f"(n - p{last} + 1)", spark)))
+    steps.append((f"r{last}", find(text[last], "flipped", f"(n - p{last} + 1)")))
     for k in range(last - 1, -1, -1):
-        steps.append((f"r{k}", find(text[k], "flipped", f"(r{k + 1} + 1)", spark)))
+        steps.append((f"r{k}", find(text[k], "flipped", f"(r{k + 1} + 1)")))
     steps.append(("a0", "n - r0 + 1"))
     for k in range(1, len(text)):
-        steps.append((f"a{k}", find(text[k], "folded", f"(a{k - 1} + 1)", spark)))
+        steps.append((f"a{k}", find(text[k], "folded", f"(a{k - 1} + 1)")))
     for k in range(len(text)):
         before = f"CASE WHEN a{k} = 1 THEN '_' ELSE substr(classes, a{k} - 1, 1) END"
         own = f"substr(classes, a{k}, 1)"
@@ -93,15 +91,6 @@ def fuzzy_column(names: DataFrame, text: str, alias: str) -> DataFrame:
     return out.select(*columns, F.when(hit, F.col("score")).alias(alias))
 
 
-def fuzzy_sql(source: str, text: str) -> str:
-    """The same for the oracle: CTEs ending in `scored` over a relation with a column name."""
-    out = [f"z0 AS (SELECT * FROM {source} WHERE translate(name, '{UPPER}', '{LOWER}') LIKE {quoted(like(text))} ESCAPE '\\')"]
-    steps = fuzzy_steps(text, spark=False)
-    for i, (alias, expression) in enumerate(steps):
-        out.append(f"{'scored' if i == len(steps) - 1 else f'z{i + 1}'} AS (SELECT *, {expression} AS {alias} FROM z{i})")
-    return ",\n".join(out)
-
-
 def mode_score(text: str, mode: str) -> tuple[str, str]:
     """(filter, score) of exact, prefix and suffix words, in SQL over name."""
     folded = f"translate(name, '{UPPER}', '{LOWER}')"

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.scoring import fuzzy_sql, mode_score, prior, prior_adjust, quoted, tweaks
+from . import oracles as o
+from .functions.scoring import prior, quoted, tweaks
 from .engine import Engine
 from .operators import content, enrich, live
 from .operators.ignore import ignored, rules_of
@@ -55,12 +56,8 @@ filter_query("f_glob_doublestar", "in:~/notes en/**/*.{md,rs}", r"regexp_matches
 filter_query("f_folder_word", "build/", "contains(path, '/build/')")
 filter_query("f_neg_token_ancestor", "in:~/notes !build", "starts_with(path, '/Users/u/notes/') AND NOT contains(lower(path), 'build')")
 
-PRIOR_SQL = f"""{E},
-p AS (SELECT path, 1 AS depth, greatest(-100, least(60, {prior_adjust("name", "1")})) AS prior FROM e WHERE kind = 1 AND parent = ''
-      UNION ALL
-      SELECT e.path, p.depth + 1, greatest(-100, least(60, p.prior + {prior_adjust("e.name", "(p.depth + 1)")} + CASE WHEN e.path = '{HOME}' THEN 15 ELSE 0 END))
-      FROM e JOIN p ON e.parent = p.path WHERE e.kind = 1)"""
-SCORE_TAIL = f"""j AS (SELECT e.path, e.parent, e.name, e.kind, e.size, e.mtime, CAST(scored.score + p.prior + {tweaks(NOW).replace("name", "e.name").replace("mtime", "e.mtime").replace("kind IN", "e.kind IN")} AS INT) AS score
+PRIOR_SQL = f"{E},\n{o.priors(HOME)}"
+SCORE_TAIL = f"""j AS (SELECT e.path, e.parent, e.name, e.kind, e.size, e.mtime, CAST(scored.score + p.prior + {o.nudges(NOW)} AS INT) AS score
       FROM e JOIN scored ON e.name = scored.name JOIN p ON e.parent = p.path {{where}})
 SELECT path, kind, size, mtime, score FROM j ORDER BY score DESC, kind <> 0, string_split(parent, '/'), name LIMIT {{limit}}"""
 
@@ -71,21 +68,16 @@ def ranked(name: str, text: str, scored: str, where: str = "", limit: int = 50)
         lambda spark, sf: search(entries(spark, sf), parse(text, HOME, NOW), NOW))
 
 
-def mode_sql(text: str, mode: str) -> str:
-    where, score = mode_score(text, mode)
-    return f"scored AS (SELECT name, {score} AS score FROM u WHERE {where})"
+ranked("t_exact", "'doc_0001 limit:40", o.mode("doc_0001", "exact"), limit=40)
+ranked("t_prefix", "^customer limit:60", o.mode("customer", "prefix"), limit=60)
+ranked("t_suffix", ".rs$ limit:45", o.mode(".rs", "suffix"), limit=45)
+ranked("s_fuzzy_word", "doc12md limit:70", o.fuzzy("u", "doc12md"), limit=70)
+ranked("s_fuzzy_single_char", "p limit:30", o.fuzzy("u", "p"), limit=30)
+ranked("s_topk_total_order", "kind:file in:~/notes doc limit:200", o.fuzzy("u", "doc"), "WHERE e.kind = 0 AND starts_with(e.path, '/Users/u/notes/')", 200)
+ranked("s_whole_name", "build limit:25", o.fuzzy("u", "build"), limit=25)
 
 
-ranked("t_exact", "'doc_0001 limit:40", mode_sql("doc_0001", "exact"), limit=40)
-ranked("t_prefix", "^customer limit:60", mode_sql("customer", "prefix"), limit=60)
-ranked("t_suffix", ".rs$ limit:45", mode_sql(".rs", "suffix"), limit=45)
-ranked("s_fuzzy_word", "doc12md limit:70", fuzzy_sql("u", "doc12md"), limit=70)
-ranked("s_fuzzy_single_char", "p limit:30", fuzzy_sql("u", "p"), limit=30)
-ranked("s_topk_total_order", "kind:file in:~/notes doc limit:200", fuzzy_sql("u", "doc"), "WHERE e.kind = 0 AND starts_with(e.path, '/Users/u/notes/')", 200)
-ranked("s_whole_name", "build limit:25", fuzzy_sql("u", "build"), limit=25)
-
-
-@query("s_fuzzy_names", f"{E}, u AS (SELECT DISTINCT name FROM e), {fuzzy_sql('u', 'src1')} SELECT name, score FROM scored")
+@query("s_fuzzy_names", f"{E}, u AS (SELECT DISTINCT name FROM e), {o.fuzzy('u', 'src1')} SELECT name, score FROM scored")
 def s_fuzzy_names(spark: SparkSession, sf: str) -> DataFrame:
     return fuzzy(entries(spark, sf).select("name").distinct(), "src1")
 
@@ -95,17 +87,18 @@ def s_prior_fold(spark: SparkSession, sf: str) -> DataFrame:
     return entries(spark, sf).filter("kind = 1").select("path", prior("path").cast("int").alias("prior"))
 
 
-@query("s_rank_tweaks", f"{E} SELECT path, CAST({tweaks(NOW)} AS INT) AS tweak FROM e")
+@query("s_rank_tweaks", f"{E} SELECT path, CAST({o.nudges(NOW)} AS INT) AS tweak FROM e")
 def s_rank_tweaks(spark: SparkSession, sf: str) -> DataFrame:
     return entries(spark, sf).select("path", F.expr(tweaks(NOW)).cast("int").alias("tweak"))
 
 
-@query("s_several_words")
+@query("s_several_words", f"""{PRIOR_SQL}, {o.several(['notes', 'fr', 'doc'])} SELECT own.path, own.kind, own.size, own.mtime, CAST(own + prior + {o.nudges(NOW, 'own')} AS INT) AS score
+ FROM own JOIN p ON p.path = own.parent ORDER BY score DESC, own.kind <> 0, string_split(own.parent, '/'), own.name LIMIT 100""")
 def s_several_words(spark: SparkSession, sf: str) -> DataFrame:
     return search(entries(spark, sf), parse("notes fr doc limit:100", HOME, NOW), NOW)
 
 
-@query("s_typo1")
+@query("s_typo1", f"{E}, u AS (SELECT DISTINCT name FROM e) {o.typo_rows('u', 'custmoer')}")
 def s_typo1(spark: SparkSession, sf: str) -> DataFrame:
     return typo_scores(entries(spark, sf).select("name").distinct(), "custmoer")
 
@@ -118,7 +111,7 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def grep_query(name: str, regex: str, sql: str) -> None:
-    query(name, f"{DOCS_SQL} SELECT path, CAST(line AS INT) AS line, rtrim(substr(text, 1, 400)) AS text, CAST(octet_length(encode(regexp_extract(text, '(?s)^(.*?)(?:{sql})', 1{', ' + quoted('i') if '(?iu)' in regex else ''}))) AS INT) AS col FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line) AS rn FROM m WHERE regexp_matches(text, '{sql}'{', ' + quoted('i') if '(?iu)' in regex else ''})) WHERE rn <= 5")(
+    query(name, f"{DOCS_SQL} SELECT path, CAST(line AS INT) AS line, {o.shown('text')} AS text, CAST(octet_length(encode(regexp_extract(text, '(?s)^(.*?)(?:{sql})', 1{', ' + quoted('i') if '(?iu)' in regex else ''}))) AS INT) AS col FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line) AS rn FROM m WHERE regexp_matches(text, '{sql}'{', ' + quoted('i') if '(?iu)' in regex else ''})) WHERE rn <= 5")(
         lambda spark, sf: content.grep(docs(spark, sf), regex))
 
 
@@ -133,7 +126,7 @@ def g_count_per_file(spark: SparkSession, sf: str) -> DataFrame:
     return content.lines_of(docs(spark, sf).filter(F.contains("body", F.lit("est")))).filter(F.contains("text", F.lit("est"))).groupBy("path").agg(F.count(F.lit(1)).alias("lines"))
 
 
-@query("g_context", f"{DOCS_SQL}, c AS (SELECT path, line, text, coalesce(array_to_string(list(text) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), chr(10)), '') AS before, coalesce(array_to_string(list(text) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), chr(10)), '') AS after FROM m) SELECT path, CAST(line AS INT) AS line, before, after FROM c WHERE contains(text, 'License')")
+@query("g_context", f"{DOCS_SQL}, c AS (SELECT path, line, text, coalesce(array_to_string(list({o.shown('text')}) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), chr(10)), '') AS before, coalesce(array_to_string(list({o.shown('text')}) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), chr(10)), '') AS after FROM m) SELECT path, CAST(line AS INT) AS line, before, after FROM c WHERE contains(text, 'License')")
 def g_context(spark: SparkSession, sf: str) -> DataFrame:
     return content.with_context(docs(spark, sf), content.java_regex("License"), 2)
 
@@ -153,7 +146,12 @@ def g_rank_order(spark: SparkSession, sf: str) -> DataFrame:
     return with_names(files(spark, sf)).withColumn("rank", content.doc_rank(F.col("path")).cast("int")).orderBy(F.desc("rank"), F.desc("mtime"), "path").limit(200).select("path", "rank")
 
 
-@query("g_symbol")
+SYMBOL_SQL = "^(|.*?[^A-Za-z0-9_])(fn|func|function|def|class|struct|enum|trait|interface|type|typealias|impl|let|const|var|val|static|module|mod|protocol|extension|macro_rules!|define|typedef|union|object|record|namespace|actor)(<[^>]*>)?[ \\t*&]+(mut[ \\t]+)?t([^A-Za-z0-9_]|$)"
+
+
+@query("g_symbol", f"""WITH b AS ({files_sql(True, ('pages',))}), l AS (SELECT path, unnest(range(1, len(string_split(body, chr(10))) + 1)) AS line, unnest(string_split(body, chr(10))) AS text FROM b),
+h AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line) AS rn FROM l WHERE regexp_matches(text, '{SYMBOL_SQL}'))
+SELECT path, CAST(line AS INT) AS line, {o.shown('text')} AS text, CAST(octet_length(encode(regexp_extract(text, '{SYMBOL_SQL}', 1))) AS INT) AS col FROM h WHERE rn <= 5""")
 def g_symbol(spark: SparkSession, sf: str) -> DataFrame:
     return content.grep(files(spark, sf, body=True, tables=("pages",)), content.java_regex("t", "symbol"))
 
@@ -199,12 +197,14 @@ def opens(spark: SparkSession, sf: str) -> DataFrame:
     return events.select(F.get_json_object("props", "$.k").cast("long").alias("path"), F.unix_timestamp("ts").alias("ts"))
 
 
-@query("e_frecency_plain", f"WITH {OPENS_SQL} SELECT k AS path, round(sum(power(2.0, -({NOW} - ts) / 1209600.0)), 6) AS score FROM o GROUP BY k")
+@query("e_frecency_plain", f"WITH {OPENS_SQL}, d AS (SELECT DISTINCT k, ts // 60 AS minute FROM o) SELECT k AS path, round(sum(power(2.0, -({NOW} - minute * 60) / 1209600.0)), 6) AS score FROM d GROUP BY k HAVING sum(power(2.0, -({NOW} - minute * 60) / 1209600.0)) >= 0.06")
 def e_frecency_plain(spark: SparkSession, sf: str) -> DataFrame:
-    return opens(spark, sf).groupBy("path").agg(F.round(F.sum(F.pow(F.lit(2.0), -(NOW - F.col("ts")) / 1209600.0)), 6).alias("score"))
+    """Opens of whole minutes, none of which another one debounces."""
+    whole = opens(spark, sf).select("path", (F.floor(F.col("ts") / 60) * 60).cast("long").alias("ts"))
+    return enrich.frecency(whole, NOW).select("path", F.round("score", 6).alias("score"))
 
 
-@query("e_debounced_opens")
+@query("e_debounced_opens", f"WITH RECURSIVE {OPENS_SQL}, {o.debounced('o', 'k', 30, NOW)} SELECT k AS path, round(score, 6) AS score, CAST(floor(least(40, 12 * ln(1 + score))) AS INT) AS boost FROM used")
 def e_debounced_opens(spark: SparkSession, sf: str) -> DataFrame:
     return enrich.frecency(opens(spark, sf), NOW).select("path", F.round("score", 6).alias("score"), enrich.boost(F.col("score")).alias("boost"))
 
@@ -251,7 +251,10 @@ def l_coalesce_batch(spark: SparkSession, sf: str) -> DataFrame:
     return live.coalesced(changes(spark, sf))
 
 
-@query("l_debounce_units")
+@query("l_debounce_units", """WITH RECURSIVE seq AS MATERIALIZED (SELECT user_id AS unit, CAST(floor(epoch(ts)) AS BIGINT) AS ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events),
+acc AS (SELECT unit, i, ts, ts AS first FROM seq WHERE i = 1
+  UNION ALL SELECT seq.unit, seq.i, seq.ts, CASE WHEN seq.ts - acc.ts > 3600 OR seq.ts - first > 21600 THEN seq.ts ELSE first END FROM acc JOIN seq ON seq.unit = acc.unit AND seq.i = acc.i + 1)
+SELECT unit, first, max(ts) AS last, CAST(count(*) AS INT) AS n FROM acc GROUP BY unit, first""")
 def l_debounce_units(spark: SparkSession, sf: str) -> DataFrame:
     return flushes(changes(spark, sf), "unit", quiet=3600, oldest=6 * 3600)
 
@@ -329,12 +332,12 @@ def f_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return engine(spark, sf).lookup("/users/u/NOTES/en").select("path", "kind")
 
 
-@query("t_paged", f"{PRIOR_SQL},\nu AS (SELECT DISTINCT name FROM e),\n{mode_sql('doc_0001', 'exact')},\n{SCORE_TAIL.format(where='', limit=20)} OFFSET 15")
+@query("t_paged", f"{PRIOR_SQL},\nu AS (SELECT DISTINCT name FROM e),\n{o.mode('doc_0001', 'exact')},\n{SCORE_TAIL.format(where='', limit=20)} OFFSET 15")
 def t_paged(spark: SparkSession, sf: str) -> DataFrame:
     return engine(spark, sf).search("'doc_0001 limit:20", offset=15)
 
 
-@query("t_grep_and_status", f"{PRIOR_SQL},\nu AS (SELECT DISTINCT name FROM e),\n{mode_sql('doc_', 'prefix')}, {GIT_SQL}, w AS (SELECT b.path FROM ({files_sql(True, ('documents',))}) b JOIN x ON x.path = b.path WHERE bits & 191 > 0 AND contains(lower(body), 'license'))\n, {SCORE_TAIL.format(where='WHERE e.path IN (SELECT path FROM w)', limit=80)}")
+@query("t_grep_and_status", f"{PRIOR_SQL},\nu AS (SELECT DISTINCT name FROM e),\n{o.mode('doc_', 'prefix')}, {GIT_SQL}, w AS (SELECT b.path FROM ({files_sql(True, ('documents',))}) b JOIN x ON x.path = b.path WHERE bits & 191 > 0 AND contains(lower(body), 'license'))\n, {SCORE_TAIL.format(where='WHERE e.path IN (SELECT path FROM w)', limit=80)}")
 def t_grep_and_status(spark: SparkSession, sf: str) -> DataFrame:
     return engine(spark, sf, status=git_listed(spark, sf)).search("^doc_ git:modified grep:license limit:80")
 
@@ -345,24 +348,31 @@ def doc_opens(spark: SparkSession, sf: str) -> DataFrame:
     return opens(spark, sf).withColumnRenamed("path", "k").join(paths, "k").select("path", "ts")
 
 
-@query("t_usage_and_near")
+DOC_OPENS_SQL = f"{OPENS_SQL}, w AS (SELECT b.path, o.ts FROM o JOIN (SELECT path, CAST(regexp_extract(path, 'doc_(\\d+)', 1) AS BIGINT) AS k FROM ({files_sql(False, ('documents',))})) b ON b.k = o.k), {o.debounced('w', 'path', 30, NOW)}"
+NEAR_SQL = "CASE WHEN own.path = '/Users/u/notes/en/src1/doc_000041.md' THEN -20 ELSE greatest(0, 12 - 3 * (len(folder) + 5 - 2 * len(list_filter(range(1, 6), lambda i: i <= len(folder) AND folder[1:i] = ['Users', 'u', 'notes', 'en', 'src1'][1:i])))) END"
+
+
+@query("t_usage_and_near", f"""{PRIOR_SQL}, {DOC_OPENS_SQL}, {o.several(['doc', 'md'])},
+hits AS (SELECT own.*, string_split(own.parent, '/')[2:] AS folder, CAST(own + prior + {o.nudges(NOW, 'own')} AS INT) AS score FROM own JOIN p ON p.path = own.parent ORDER BY score DESC, own.kind <> 0, string_split(own.parent, '/'), own.name LIMIT 256),
+lifted AS (SELECT own.*, own.score + CAST(floor(least(40, 12 * ln(1 + coalesce(used.score, 0)))) AS INT) + {NEAR_SQL} AS lifted FROM hits own LEFT JOIN used ON used.k = own.path)
+SELECT path, kind, size, mtime, CAST(lifted AS INT) AS score FROM lifted ORDER BY lifted.lifted DESC, lifted.score DESC, kind <> 0, string_split(path, '/') LIMIT 60""")
 def t_usage_and_near(spark: SparkSession, sf: str) -> DataFrame:
     return engine(spark, sf, opens=doc_opens(spark, sf), near=NEAR).search("doc md limit:60")
 
 
-@query("s_deep_typo")
+@query("s_deep_typo", f"{E}, u AS (SELECT DISTINCT name FROM e) {o.deep_rows('u', 'ucstomer', 2)}")
 def s_deep_typo(spark: SparkSession, sf: str) -> DataFrame:
     return deep_scores(entries(spark, sf).select("name").distinct(), "ucstomer")
 
 
 @query("g_paged_files", f"""{DOCS_SQL}, h AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line) AS rn FROM m WHERE regexp_matches(text, 'the', 'i') AND (path LIKE '%.md' OR path LIKE '%.txt')),
 p AS (SELECT path FROM b WHERE path IN (SELECT path FROM h) ORDER BY CASE WHEN contains(path, '/.') THEN -2 ELSE 0 END DESC, mtime DESC, path LIMIT 20 OFFSET 5)
-SELECT path, CAST(line AS INT) AS line, rtrim(substr(text, 1, 400)) AS text, CAST(octet_length(encode(regexp_extract(text, '(?s)^(.*?)(?:the)', 1, 'i'))) AS INT) AS col FROM h WHERE rn <= 5 AND path IN (SELECT path FROM p)""")
+SELECT path, CAST(line AS INT) AS line, {o.shown('text')} AS text, CAST(octet_length(encode(regexp_extract(text, '(?s)^(.*?)(?:the)', 1, 'i'))) AS INT) AS col FROM h WHERE rn <= 5 AND path IN (SELECT path FROM p)""")
 def g_paged_files(spark: SparkSession, sf: str) -> DataFrame:
     return engine(spark, sf).grep("the", where="ext:md,txt", limit=20, offset=5)
 
 
-@query("e_recent")
+@query("e_recent", f"{E}, {DOC_OPENS_SQL} SELECT e.path, CAST(floor(used.score * 100) AS BIGINT) AS score FROM e JOIN used ON used.k = e.path WHERE starts_with(e.path, '/Users/u/notes/') ORDER BY 2 DESC, 1 LIMIT 50")
 def e_recent(spark: SparkSession, sf: str) -> DataFrame:
     return engine(spark, sf, opens=doc_opens(spark, sf)).recent("in:~/notes limit:50")
 
