@@ -103,11 +103,13 @@ def s_typo1(spark: SparkSession, sf: str) -> DataFrame:
     return typo_scores(entries(spark, sf).select("name").distinct(), "custmoer")
 
 
-DOCS_SQL = f"WITH b AS ({files_sql(True, ('documents',))}), l AS (SELECT path, unnest(range(1, len(string_split(body, chr(10))) + 1)) AS line, unnest(string_split(body, chr(10))) AS text, len(string_split(body, chr(10))) AS n FROM b), m AS (SELECT path, line, text FROM l WHERE NOT (line = n AND text = ''))"
+#: Tables whose files have a body.
+BODIES = ("documents", "pages")
+DOCS_SQL = f"WITH b AS ({files_sql(True, BODIES)}), l AS (SELECT path, unnest(range(1, len(string_split(body, chr(10))) + 1)) AS line, unnest(string_split(body, chr(10))) AS text, len(string_split(body, chr(10))) AS n FROM b), m AS (SELECT path, line, text FROM l WHERE NOT (line = n AND text = ''))"
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return files(spark, sf, body=True, tables=("documents",))
+    return files(spark, sf, body=True, tables=BODIES)
 
 
 def grep_query(name: str, regex: str, sql: str) -> None:
@@ -146,17 +148,18 @@ def g_rank_order(spark: SparkSession, sf: str) -> DataFrame:
     return with_names(files(spark, sf)).withColumn("rank", content.doc_rank(F.col("path")).cast("int")).orderBy(F.desc("rank"), F.desc("mtime"), "path").limit(200).select("path", "rank")
 
 
-SYMBOL_SQL = "^(|.*?[^A-Za-z0-9_])(fn|func|function|def|class|struct|enum|trait|interface|type|typealias|impl|let|const|var|val|static|module|mod|protocol|extension|macro_rules!|define|typedef|union|object|record|namespace|actor)(<[^>]*>)?[ \\t*&]+(mut[ \\t]+)?t([^A-Za-z0-9_]|$)"
+DECLARING = "fn|func|function|def|class|struct|enum|trait|interface|type|typealias|impl|let|const|var|val|static|module|mod|protocol|extension|macro_rules!|define|typedef|union|object|record|namespace|actor"
+SYMBOL_SQL = f"^(|.*?[^A-Za-z0-9_])({DECLARING})(<[^>]*>)?[ \\t*&]+(mut[ \\t]+)?t([^A-Za-z0-9_]|$)"
 
 
-@query("g_symbol", f"""WITH b AS ({files_sql(True, ('pages',))}), l AS (SELECT path, unnest(range(1, len(string_split(body, chr(10))) + 1)) AS line, unnest(string_split(body, chr(10))) AS text FROM b),
+@query("g_symbol", f"""WITH b AS ({files_sql(True, BODIES)}), l AS (SELECT path, unnest(range(1, len(string_split(body, chr(10))) + 1)) AS line, unnest(string_split(body, chr(10))) AS text FROM b),
 h AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line) AS rn FROM l WHERE regexp_matches(text, '{SYMBOL_SQL}'))
 SELECT path, CAST(line AS INT) AS line, {o.shown('text')} AS text, CAST(octet_length(encode(regexp_extract(text, '{SYMBOL_SQL}', 1))) AS INT) AS col FROM h WHERE rn <= 5""")
 def g_symbol(spark: SparkSession, sf: str) -> DataFrame:
-    return content.grep(files(spark, sf, body=True, tables=("pages",)), content.java_regex("t", "symbol"))
+    return content.grep(docs(spark, sf), content.java_regex("t", "symbol"))
 
 
-@query("i_content_dedupe", f"WITH b AS ({files_sql(True, ('documents',))}) SELECT sha256(body) AS gid, count(*) AS copies FROM b GROUP BY 1")
+@query("i_content_dedupe", f"WITH b AS ({files_sql(True, BODIES)}) SELECT sha256(body) AS gid, count(*) AS copies FROM b GROUP BY 1")
 def i_content_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     return content.contents(docs(spark, sf)).select("gid", "copies")
 
@@ -164,12 +167,12 @@ def i_content_dedupe(spark: SparkSession, sf: str) -> DataFrame:
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ\u017f\u212a", "abcdefghijklmnopqrstuvwxyzsk"
 
 
-@query("i_trigram_postings_count", f"WITH c AS (SELECT DISTINCT translate(text, '{UP}', '{LOW}') AS low, text FROM documents WHERE length(text) >= 3), k AS (SELECT DISTINCT text, substr(low, i, 3) AS key FROM (SELECT *, unnest(range(1, length(low) - 1)) AS i FROM c)) SELECT key, count(*) AS bodies FROM k GROUP BY key")
+@query("i_trigram_postings_count", f"WITH c AS (SELECT DISTINCT translate(text, '{UP}', '{LOW}') AS low, text FROM (SELECT text FROM documents UNION ALL SELECT html FROM pages) WHERE length(text) >= 2), k AS (SELECT DISTINCT text, substr(low, i, 3) AS key FROM (SELECT *, unnest(range(1, length(low) - 1)) AS i FROM c)) SELECT key, count(*) AS bodies FROM k GROUP BY key")
 def i_trigram_postings_count(spark: SparkSession, sf: str) -> DataFrame:
-    return content.trigrams(content.contents(docs(spark, sf))).groupBy("key").agg(F.count(F.lit(1)).alias("bodies"))
+    return content.trigrams(content.contents(docs(spark, sf))).filter(~F.col("key").endswith(content.END)).groupBy("key").agg(F.count(F.lit(1)).alias("bodies"))
 
 
-@query("i_indexed_grep", f"WITH b AS ({files_sql(True, ('documents',))}) SELECT path FROM b WHERE contains(body, 'GNU General')")
+@query("i_indexed_grep", f"WITH b AS ({files_sql(True, BODIES)}) SELECT path FROM b WHERE contains(body, 'GNU General')")
 def i_indexed_grep(spark: SparkSession, sf: str) -> DataFrame:
     d = docs(spark, sf).withColumn("gid", F.sha2("body", 256))
     bodies = content.contents(docs(spark, sf))
@@ -183,10 +186,10 @@ def i_ext_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return entries(spark, sf).filter("kind = 0").groupBy(ext.alias("ext")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("i_symbols", "SELECT 't' AS symbol, count(DISTINCT html) AS bodies FROM pages WHERE regexp_matches(html, '(^|[^A-Za-z0-9_])var t[^A-Za-z0-9_]')")
+@query("i_symbols", f"WITH b AS ({files_sql(True, BODIES)}), s AS (SELECT DISTINCT body, unnest(regexp_extract_all(body, '(?:^|[^A-Za-z0-9_])(?:{DECLARING})(?:<[^>\n]*>)?[ \t*&]+(?:mut[ \t]+)?([A-Za-z_][A-Za-z0-9_]*)', 1)) AS symbol FROM b) SELECT symbol, count(DISTINCT body) AS bodies FROM s GROUP BY symbol")
 def i_symbols(spark: SparkSession, sf: str) -> DataFrame:
-    bodies = content.contents(files(spark, sf, body=True, tables=("pages",)))
-    return content.symbols(bodies).filter("symbol = 't'").groupBy("symbol").agg(F.count(F.lit(1)).alias("bodies"))
+    bodies = content.contents(docs(spark, sf))
+    return content.symbols(bodies).groupBy("symbol").agg(F.count(F.lit(1)).alias("bodies"))
 
 
 OPENS_SQL = "o AS (SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(floor(epoch(ts)) AS BIGINT) AS ts FROM events WHERE event_type IN ('click', 'view'))"
@@ -305,7 +308,7 @@ def i_ignore_files(spark: SparkSession, sf: str) -> DataFrame:
 REGEX = "(apache|gnu general|mit) (public )?licen[sc]e"
 
 
-@query("i_regex_plan", f"WITH b AS ({files_sql(True, ('documents',))}) SELECT path FROM b WHERE regexp_matches(body, '{REGEX}', 'i')")
+@query("i_regex_plan", f"WITH b AS ({files_sql(True, BODIES)}) SELECT path FROM b WHERE regexp_matches(body, '{REGEX}', 'i')")
 def i_regex_plan(spark: SparkSession, sf: str) -> DataFrame:
     d = docs(spark, sf).withColumn("gid", F.sha2("body", 256))
     likely = content.planned(content.trigrams(content.contents(docs(spark, sf))), trigrams.of_regex(REGEX))

@@ -13,7 +13,7 @@ from .operators import content, eligible, enrich, live
 from .operators.ignore import rules_of
 from .operators.names import known_folders, live_search, search_deep
 from .plans.parser import parse
-from .queries import DOCS_SQL, ORACLES, QUERIES, E, GIT_SQL, PRIOR_SQL, docs, engine, git_listed, query
+from .queries import BODIES, DOCS_SQL, ORACLES, QUERIES, E, GIT_SQL, PRIOR_SQL, docs, engine, git_listed, query
 from .sources.corpus import ENTRIES_SQL, HOME, NOW, entries, files, files_sql, with_names
 from .sources.segments import Segments
 from .streaming import units
@@ -145,24 +145,18 @@ def t_named_hits(spark: SparkSession, sf: str) -> DataFrame:
 
 # Content.
 
-LINES = f"WITH b AS ({files_sql(True, ('documents', 'pages'))}), l AS (SELECT path, unnest(range(1, len(string_split(body, chr(10))) + 1)) AS line, unnest(string_split(body, chr(10))) AS text, len(string_split(body, chr(10))) AS n FROM b), m AS (SELECT path, line, text FROM l WHERE NOT (line = n AND text = ''))"
 
 
-def bodies(spark: SparkSession, sf: str) -> DataFrame:
-    """All files with a body: documents and pages."""
-    return files(spark, sf, body=True, tables=("documents", "pages"))
-
-
-@query("g_match_ranges", f"{LINES} SELECT path, CAST(line AS INT) AS line, CAST(len(regexp_extract_all(text, '(?i)the')) AS INT) AS n, CAST(octet_length(encode(regexp_extract(text, '(?is)^(.*?)the', 1))) AS INT) AS first, CAST(octet_length(encode(regexp_extract(text, '(?is)^(.*the)', 1))) AS INT) AS last FROM m WHERE regexp_matches(text, '(?i)the')")
+@query("g_match_ranges", f"{DOCS_SQL} SELECT path, CAST(line AS INT) AS line, CAST(len(regexp_extract_all(text, '(?i)the')) AS INT) AS n, CAST(octet_length(encode(regexp_extract(text, '(?is)^(.*?)the', 1))) AS INT) AS first, CAST(octet_length(encode(regexp_extract(text, '(?is)^(.*the)', 1))) AS INT) AS last FROM m WHERE regexp_matches(text, '(?i)the')")
 def g_match_ranges(spark: SparkSession, sf: str) -> DataFrame:
-    hits = content.lines_of(bodies(spark, sf).filter(F.col("body").rlike("(?i)the"))).filter(F.col("text").rlike("(?i)the"))
+    hits = content.lines_of(docs(spark, sf).filter(F.col("body").rlike("(?i)the"))).filter(F.col("text").rlike("(?i)the"))
     found = hits.select("path", "line", content.match_ranges(F.col("text"), "(?i)the").alias("r"))
     return found.select("path", "line", F.size("r").alias("n"), F.col("r")[0]["first"].alias("first"), F.element_at("r", -1)["end"].alias("last"))
 
 
-@query("g_defined_here", f"{LINES} SELECT path, CAST(line AS INT) AS line FROM m WHERE regexp_matches(text, '(^|[^A-Za-z0-9_])(var|let|const|fn|def|class|type|static|function)[ \\t*&]+(mut[ \\t]+)?t([^A-Za-z0-9_]|$)')")
+@query("g_defined_here", f"{DOCS_SQL} SELECT path, CAST(line AS INT) AS line FROM m WHERE regexp_matches(text, '(^|[^A-Za-z0-9_])(var|let|const|fn|def|class|type|static|function)[ \\t*&]+(mut[ \\t]+)?t([^A-Za-z0-9_]|$)')")
 def g_defined_here(spark: SparkSession, sf: str) -> DataFrame:
-    return content.lines_of(bodies(spark, sf)).filter(content.defines(F.col("text"), "t")).select("path", "line")
+    return content.lines_of(docs(spark, sf)).filter(content.defines(F.col("text"), "t")).select("path", "line")
 
 
 @query("g_one_file", f"{DOCS_SQL} SELECT path, CAST(line AS INT) AS line, {o.shown('text')} AS text, CAST(octet_length(encode(regexp_extract(text, '(?is)^(.*?)e', 1))) AS INT) AS col FROM (SELECT *, row_number() OVER (ORDER BY line) AS rn FROM m WHERE path = (SELECT min(path) FROM b) AND regexp_matches(text, '(?i)e')) WHERE rn <= 200")
@@ -171,9 +165,9 @@ def g_one_file(spark: SparkSession, sf: str) -> DataFrame:
     return engine(spark, sf).grep_file(first, "e")
 
 
-@query("g_all_bodies", f"{LINES} SELECT path, count(*) AS lines FROM m WHERE regexp_matches(text, '(?i)licen[sc]e') GROUP BY path")
+@query("g_all_bodies", f"{DOCS_SQL} SELECT path, count(*) AS lines FROM m WHERE regexp_matches(text, '(?i)licen[sc]e') GROUP BY path")
 def g_all_bodies(spark: SparkSession, sf: str) -> DataFrame:
-    return content.grep(bodies(spark, sf), content.java_regex("licen[sc]e", "regex"), per_file=1 << 30).groupBy("path").agg(F.count(F.lit(1)).alias("lines"))
+    return content.grep(docs(spark, sf), content.java_regex("licen[sc]e", "regex"), per_file=1 << 30).groupBy("path").agg(F.count(F.lit(1)).alias("lines"))
 
 
 @query("g_match_lines", f"{DOCS_SQL} SELECT path || ':' || line || ': ' || {o.shown('text')} AS value FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line) AS rn FROM m WHERE contains(text, 'Apache')) WHERE rn <= 5")
@@ -181,14 +175,14 @@ def g_match_lines(spark: SparkSession, sf: str) -> DataFrame:
     return match_lines(content.grep(docs(spark, sf), content.java_regex("Apache")))
 
 
-@query("i_two_letters", f"WITH b AS ({files_sql(True, ('documents', 'pages'))}) SELECT DISTINCT sha256(body) AS gid FROM b WHERE contains(translate(body, '{o.UP}', '{o.LOW}'), 'qu')")
+@query("i_two_letters", f"WITH b AS ({files_sql(True, BODIES)}) SELECT DISTINCT sha256(body) AS gid FROM b WHERE contains(translate(body, '{o.UP}', '{o.LOW}'), 'qu')")
 def i_two_letters(spark: SparkSession, sf: str) -> DataFrame:
-    return content.literal_candidates(content.trigrams(content.contents(bodies(spark, sf))), "qu")
+    return content.literal_candidates(content.trigrams(content.contents(docs(spark, sf))), "qu")
 
 
-@query("i_end_keys", f"WITH b AS ({files_sql(True, ('documents', 'pages'))}), k AS (SELECT DISTINCT body, right(translate(body, '{o.UP}', '{o.LOW}'), 2) AS two FROM b WHERE length(body) >= 2) SELECT two, count(*) AS bodies FROM k GROUP BY two")
+@query("i_end_keys", f"WITH b AS ({files_sql(True, BODIES)}), k AS (SELECT DISTINCT body, right(translate(body, '{o.UP}', '{o.LOW}'), 2) AS two FROM b WHERE length(body) >= 2) SELECT two, count(*) AS bodies FROM k GROUP BY two")
 def i_end_keys(spark: SparkSession, sf: str) -> DataFrame:
-    keys = content.trigrams(content.contents(bodies(spark, sf))).filter(F.col("key").endswith(content.END))
+    keys = content.trigrams(content.contents(docs(spark, sf))).filter(F.col("key").endswith(content.END))
     return keys.groupBy(F.left("key", F.lit(2)).alias("two")).agg(F.count(F.lit(1)).alias("bodies"))
 
 
@@ -205,13 +199,13 @@ def work_folder(spark: SparkSession) -> str:
 def two_syncs(spark: SparkSession, sf: str) -> tuple[Segments, DataFrame]:
     """An index of all documents and pages that was then synced once more: what lay in build folders is gone, .md files are in capitals."""
     index = Segments(spark, work_folder(spark))
-    index.sync(bodies(spark, sf))
+    index.sync(docs(spark, sf))
     md = F.col("path").endswith(".md")
-    now = bodies(spark, sf).filter("path NOT LIKE '%/build/%'").withColumns({"body": F.when(md, F.translate("body", o.LOW, o.UP)).otherwise(F.col("body")), "mtime": F.when(md, F.col("mtime") + 1).otherwise(F.col("mtime"))})
+    now = docs(spark, sf).filter("path NOT LIKE '%/build/%'").withColumns({"body": F.when(md, F.translate("body", o.LOW, o.UP)).otherwise(F.col("body")), "mtime": F.when(md, F.col("mtime") + 1).otherwise(F.col("mtime"))})
     return index, index.sync(now)
 
 
-SYNCED = f"WITH b AS ({files_sql(True, ('documents', 'pages'))}), s AS (SELECT path, CASE WHEN path LIKE '%.md' THEN translate(body, '{o.LOW}', '{o.UP}') ELSE body END AS body FROM b WHERE path NOT LIKE '%/build/%'), t AS (SELECT * FROM s WHERE octet_length(encode(body)) > 0 AND instr(body, chr(0)) = 0 AND NOT (octet_length(encode(body)) >= 4096 AND length(body) - length(replace(body, chr(10), '')) < octet_length(encode(body)) // 1001))"
+SYNCED = f"WITH b AS ({files_sql(True, BODIES)}), s AS (SELECT path, CASE WHEN path LIKE '%.md' THEN translate(body, '{o.LOW}', '{o.UP}') ELSE body END AS body FROM b WHERE path NOT LIKE '%/build/%'), t AS (SELECT * FROM s WHERE octet_length(encode(body)) > 0 AND instr(body, chr(0)) = 0 AND NOT (octet_length(encode(body)) >= 4096 AND length(body) - length(replace(body, chr(10), '')) < octet_length(encode(body)) // 1001))"
 
 
 @query("i_segment_search", f"{SYNCED} SELECT path FROM t WHERE contains(body, 'GNU')")
@@ -220,7 +214,7 @@ def i_segment_search(spark: SparkSession, sf: str) -> DataFrame:
     return index.grep("GNU", limit=1_000_000, per_file=1).select("path")
 
 
-@query("i_segment_sync", f"WITH b AS ({files_sql(True, ('documents', 'pages'))}) SELECT path, CASE WHEN path LIKE '%/build/%' THEN 'drop' ELSE 'reindex' END AS op FROM b WHERE path LIKE '%/build/%' OR path LIKE '%.md'")
+@query("i_segment_sync", f"WITH b AS ({files_sql(True, BODIES)}) SELECT path, CASE WHEN path LIKE '%/build/%' THEN 'drop' ELSE 'reindex' END AS op FROM b WHERE path LIKE '%/build/%' OR path LIKE '%.md'")
 def i_segment_sync(spark: SparkSession, sf: str) -> DataFrame:
     return two_syncs(spark, sf)[1]
 
@@ -232,7 +226,7 @@ def i_segment_references(spark: SparkSession, sf: str) -> DataFrame:
     return index.references().groupBy("gid").agg(F.sum("n").alias("n"))
 
 
-@query("i_fresh_first", f"WITH b AS ({files_sql(True, ('documents',))}) SELECT path, path LIKE '%.txt' AS fresh FROM b WHERE CASE WHEN path LIKE '%.txt' THEN true ELSE contains(body, 'Apache') END")
+@query("i_fresh_first", f"WITH b AS ({files_sql(True, BODIES)}) SELECT path, path LIKE '%.txt' AS fresh FROM b WHERE CASE WHEN path LIKE '%.txt' THEN true ELSE contains(body, 'Apache') END")
 def i_fresh_first(spark: SparkSession, sf: str) -> DataFrame:
     index = Segments(spark, work_folder(spark))
     index.sync(docs(spark, sf))
