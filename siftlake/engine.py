@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .operators import content, eligible, enrich, names
 from .plans import trigrams
-from .plans.globs import GlobError, request_regex
+from .plans.globs import GlobError, narrowing, request_regex
 from .plans.ir import Query
 from .plans.parser import QueryError, parse
 
@@ -136,7 +136,11 @@ class Engine:
 
     def glob(self, pattern: str, base: str = "/", ignored: DataFrame | None = None) -> DataFrame:
         """Entries whose path a glob matches, those of a table of ignored paths left out."""
-        hits = self.entries.filter(F.col("path").rlike(request_regex(pattern, base)))
+        start, exts = narrowing(pattern, base)
+        likely = self.entries.filter(names.folded(F.col("path")).startswith(start)) if start.isascii() else self.entries
+        if exts:
+            likely = likely.filter(names.ext_is(F.col("name"), exts))
+        hits = likely.filter(F.col("path").rlike(request_regex(pattern, base)))
         return hits if ignored is None else hits.join(ignored, "path", "left_anti")
 
     def recent(self, where: str = "") -> DataFrame:

@@ -114,6 +114,14 @@ def listed_with(listed: DataFrame, selector: str, entries: DataFrame) -> DataFra
     return files.unionByName(below.join(own, "path", "left_anti")).dropDuplicates(["path"])
 
 
+def refreshed(listed: DataFrame, folders: DataFrame, fresh: DataFrame) -> DataFrame:
+    """A listing (listed, bits, is_dir) with all at or below some folders (path) read anew; joined by equality with the folders above."""
+    parts = F.split("listed", "/")
+    above = listed.withColumn("above", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))))
+    stale = above.join(folders.select(F.col("path").alias("above")), "above", "left_semi").select("listed").distinct()
+    return listed.join(stale, "listed", "left_anti").unionByName(fresh)
+
+
 def word(bits: Column) -> Column:
     """The status as a word; none if clean."""
     out = None

@@ -13,6 +13,7 @@ from pyspark.sql.column import Column
 
 from ..functions.scoring import LOWER, UPPER, fuzzy, fuzzy_column, mode_score, prior, tweaks
 from ..plans.ir import Query, Token
+from ..plans.trigrams import of_regex
 
 #: What a token that only a folder on the path matches adds: three quarters of the folder's best, or FLAT beyond the first four.
 FLAT, SCORED_TOKENS = 6, 4
@@ -63,7 +64,7 @@ def predicate(q: Query) -> Column:
     if q.not_exts:
         out.append(~ext_is(name, q.not_exts))
     if q.name_regex:
-        out.append(name.rlike("(?i)" + q.name_regex))
+        out += [folded(name).contains(k) for k in required(q.name_regex)] + [name.rlike("(?i)" + q.name_regex)]
     for t in q.tokens:
         if t.negate:
             out.append(~any_part(path, t))
@@ -72,10 +73,18 @@ def predicate(q: Query) -> Column:
         hit = reduce(lambda a, b: a | b, [below.rlike(p) for p in g.patterns])
         out.append(~hit if g.negate else hit)
     if q.path_regex:
-        out.append(path.rlike("(?i)" + q.path_regex))
+        out += [folded(path).contains(k) for k in required(q.path_regex)] + [path.rlike("(?i)" + q.path_regex)]
     return reduce(lambda a, b: a & b, out, F.lit(True))
 
 
+def required(regex: str) -> list[str]:
+    """A few texts, A-Z folded, that all that a regex matches must hold: looked for before the regex is."""
+    plan = of_regex("(?i)" + regex)
+    keys = [plan] if isinstance(plan, str) else [k for k in plan[1] if isinstance(k, str)] if plan and plan[0] == "and" else []
+    # Letters beyond ASCII fold to k and s in a regex, but not here.
+    return sorted(k for k in keys if k.isascii() and not set(k) & set("ks"))[:4]
+
+
 def token_scores(names: DataFrame, token: Token, typos: str = "none") -> DataFrame:
     """name, score of the names that match a token; typos: none, one (an edit after the first letter) or deep."""
     if token.mode == "fuzzy":

@@ -125,3 +125,19 @@ def ignore_rule(line: str) -> tuple[str, bool, bool] | None:
         else:
             out += re.escape(piece[1:] if piece[0] == "\\" else piece)
     return None if depth else ("(?s)^" + out + "$", white, folder)
+
+
+def narrowing(pattern: str, base: str) -> tuple[str, list[str]]:
+    """What a request's glob asks of all that it matches: a lower-case beginning of the path, and extensions (none: any).
+
+    Both are looked at before the regex; folders before the first wildcard only count where the glob is tied to the base.
+    """
+    root = base.rstrip("/").lower()
+    folders = pattern.strip("/").split("/") if "/" in pattern.rstrip("/") else []
+    fixed = []
+    for part in folders[:-1]:
+        if re.search(r"[*?\[{\\]", part):
+            break
+        fixed.append(part.lower())
+    last = re.fullmatch(r"(?:.*/)?\*\.(?:(\w+)|\{(\w+(?:,\w+)*)\})", pattern)
+    return "/".join([root, *fixed]), (last[1] or last[2]).lower().split(",") if last else []

@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from . import oracles as o
 from .operators import content, eligible, enrich, live
 from .operators.ignore import rules_of
-from .operators.names import known_folders, live_search, search_deep
+from .operators.names import known_folders, live_search, predicate, search_deep
 from .plans.parser import parse
 from .queries import BODIES, DOCS_SQL, ORACLES, QUERIES, E, GIT_SQL, PRIOR_SQL, docs, engine, git_listed, query
+from .sources import porcelain, store
 from .sources.corpus import ENTRIES_SQL, HOME, NOW, entries, files, files_sql, with_names
 from .sources.segments import Segments
 from .streaming import units
+from .streaming.feed import Feed
 from .tools import match_lines
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -296,3 +298,67 @@ def e_worked_on(spark: SparkSession, sf: str) -> DataFrame:
     e = spark.read.parquet(f"{sf}/events.parquet").filter(F.col("event_type").isin("click", "view"))
     used = e.select(F.get_json_object("props", "$.k").alias("path"), F.unix_timestamp("ts").alias("ts"))
     return enrich.worked_on(used, commits(spark, sf), NOW).select("path", F.round("score", 6).alias("score"))
+
+
+# Sources and the feed's tables.
+
+
+@query("f_snapshot", f"{E} SELECT path, kind, size, mtime FROM e WHERE starts_with(path, '/Users/u/Contacts/') AND size >= 210")
+def f_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """A filter on a snapshot, which is sorted so that it skips row groups."""
+    folder = work_folder(spark)
+    store.save_snapshot(entries(spark, sf), folder, 7, NOW)
+    table, _, _ = store.load_snapshot(spark, folder)
+    return table.filter(predicate(parse("in:~/Contacts size:>210b", HOME, NOW))).select("path", "kind", "size", "mtime")
+
+
+@query("f_never_opened", f"{E} SELECT path FROM e WHERE NOT (path = '/Users/u/Contacts' OR starts_with(path, '/Users/u/Contacts/') OR path = '/Users/u/notes/en' OR starts_with(path, '/Users/u/notes/en/'))")
+def f_never_opened(spark: SparkSession, sf: str) -> DataFrame:
+    skips = store.skip_list("# people\n~/Contacts/\n\n/Users/u/notes/en\n", HOME)
+    return entries(spark, sf).filter(~store.blocked(F.col("path"), skips)).select("path")
+
+
+@query("e_usage_file", f"{E} SELECT path, CAST(size AS DOUBLE) AS score, mtime AS last FROM e WHERE kind = 0 AND starts_with(path, '/Users/u/notes/')")
+def e_usage_file(spark: SparkSession, sf: str) -> DataFrame:
+    folder = work_folder(spark)
+    kept = entries(spark, sf).filter("kind = 0 AND path LIKE '/Users/u/notes/%'")
+    store.write_usage(kept.select("path", F.col("size").cast("double").alias("score"), F.col("mtime").alias("last")), folder)
+    return store.read_usage(spark, folder)
+
+
+@query("e_status_text", f"{E}, {GIT_SQL} SELECT path AS listed, bits, false AS is_dir FROM x WHERE bits > 0")
+def e_status_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The listed states, written as status text a repository and read back."""
+    listed = git_listed(spark, sf).select(F.regexp_extract("listed", "^(/Users/u/notes/[^/]+)/", 1).alias("repo"), "listed", "bits")
+    rel = F.expr("substring(listed, length(repo) + 2)")
+    own = F.lit(" N... 100644 100644 100644 a a ")
+    record = F.when(F.col("bits") == 1, F.concat(F.lit("1 .M"), own, rel)).when(F.col("bits") == 6, F.concat(F.lit("1 A."), own, rel)).when(F.col("bits") == 32, F.concat(F.lit("? "), rel)).otherwise(F.concat(F.lit("u UU N... 100644 100644 100644 100644 a a a "), rel))
+    texts = listed.groupBy("repo").agg(F.array_join(F.collect_list(record), "\0").alias("text"))
+    return porcelain.status_rows(texts)
+
+
+@query("e_refreshed_status", f"{E}, {GIT_SQL} SELECT path AS listed, CAST(CASE WHEN starts_with(path, '/Users/u/notes/en/') THEN 1 ELSE bits END AS INT) AS bits, false AS is_dir FROM x WHERE CASE WHEN starts_with(path, '/Users/u/notes/en/') THEN path LIKE '%.md' ELSE bits > 0 END")
+def e_refreshed_status(spark: SparkSession, sf: str) -> DataFrame:
+    fresh = files(spark, sf, tables=("documents",)).filter("path LIKE '/Users/u/notes/en/%.md'").select(F.col("path").alias("listed"), F.lit(1).alias("bits"), F.lit(False).alias("is_dir"))
+    changed = spark.createDataFrame([("/Users/u/notes/en",)], "path string")
+    return enrich.refreshed(git_listed(spark, sf), changed, fresh)
+
+
+@query("l_feed_batches", f"{E} SELECT path, kind, CASE WHEN kind = 0 AND size % 5 = 0 THEN size + 7 ELSE size END AS size, mtime FROM e WHERE path <> '/Users/u/Contacts' AND NOT starts_with(path, '/Users/u/Contacts/')")
+def l_feed_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """All entries as a first batch, changed sizes as a second, a folder that is gone as a third; the second is delivered twice."""
+    feed = Feed(work_folder(spark))
+    e = entries(spark, sf).withColumn("gone", F.lit(False))
+    row = lambda df, base: df.select((F.xxhash64("path").bitwiseAND(F.lit(0xFFFF)) + base).alias("id"), F.col("parent").alias("dir"), F.lit(False).alias("recursive"), "path", "kind", "size", "mtime", "gone")
+    first, second = row(e, 0), row(e.filter("kind = 0 AND size % 5 = 0").withColumn("size", F.col("size") + 7), 1 << 20)
+    for number, batch in enumerate((first, second)):
+        feed.apply(batch, number)
+    feed.apply(second, 1)
+    feed.compact(spark, 0, 0, asked=True)
+    feed.apply(row(e.filter("path = '/Users/u/Contacts'").withColumn("gone", F.lit(True)), 1 << 21), 2)
+    return feed.current(spark)
+
+
+@query("f_braces", f"{E} SELECT path FROM e WHERE regexp_matches(path, '(?i)/doc_[^/]*[0-9]([.]md|[.]rs|0[.]txt)$')")
+def f_braces(spark: SparkSession, sf: str) -> DataFrame:
+    return engine(spark, sf).entries.filter(predicate(parse("doc_*[0-9]{.{md,rs},0.txt}", HOME, NOW))).select("path")
