@@ -1,4 +1,5 @@
 import hashlib
+import pathlib
 import re
 import unicodedata
 import zlib
@@ -375,11 +376,150 @@ def test_html_wrappers_of_a_page_are_kept():
     assert text("<body><article><p>It holds</p><p><math><mi>x</mi></math> here</p><div class=share>no</div></article>") == "It holds\n\nx here"
     assert text("<body><div hidden><article>none</article></div><p>a</p>") == "a" and text("<body><article class=comment>c</article><p>some text</p>") == "some text"
 
+WILD = "doc_id long, text string, lang string, source string, n_chars long, `row` string, `__row` string, `__sha` string, c0 string, score string, key string"
+
+
+@pytest.fixture(scope="module")
+def wild(spark):
+    """Odd rows with columns of names that operators use themselves; one text of many lines and one very long line."""
+    rows = [(i, t, "en", "s", 0, "r", "w", "h", "c", "x", "k") for i, t in ODD] + [(20, "a line\n" * 4000, "en", "s", 0, *"rwhcxk"), (21, "x" * 300_000, None, None, None, *"rwhcxk")]
+    return spark.createDataFrame(rows, WILD)
+
+
+def test_clashing_names_are_kept_and_ignored(spark, wild):
+    import corpus_pipeline
+
+    names = wild.columns
+    kept = exact_dedup(wild)
+    assert kept.columns == names and {r["__sha"] for r in kept.collect()} == {"h"} and kept.count() == 9
+    near = corpus_pipeline.near_stage(spark, wild, SF)
+    assert near.columns == names and {r["__row"] for r in near.collect()} == {"w"} and near.count() <= 9
+    for stage in (corpus_pipeline.language_stage, corpus_pipeline.quality_stage):
+        out = stage(spark, wild, SF)
+        assert out.columns == names and out.count() <= wild.count()
+    n = wild.count()
+    assert fingerprints(wild).count() == n and license_scan.license_scan(wild).count() == n and encode_and_decode(wild).count() == n
+    assert quality.quality_of_documents(wild, table(spark, SF, "labels")).count() == n and langid.language_of_documents(wild).count() == n
+    assert packing.pack_documents(wild).agg(F.countDistinct("doc_id")).first()[0] == 10 and token_output.materialise(wild).filter("piece = 0").count() == n
+    pages = wild.select(F.col("doc_id").alias("page_id"), F.lit("http://h/").alias("url"), F.col("text").alias("html"), *[f"`{c}`" for c in names if c not in ("doc_id", "text")])
+    assert html_extract.extract(pages).columns == ["page_id", "url", "text", "n_chars"] and html_extract.extract(pages).count() == n
+
+
+def test_html_of_odd_tables(spark):
+    schema = "page_id long, url string, html string"
+    assert html_extract.extract(spark.createDataFrame([], schema)).count() == 0
+    page = "<body><p>one</p><div class=x>two</div></body>"
+    rows = [(1, "http://h/1", page)] * 7 + [(None, None, page), (2, None, "<p>" + "word " * 200_000), (3, "http://h/3", '<p title="abc>hello'), (4, "", None)]
+    got = [(r.page_id, r.text) for r in html_extract.extract(spark.createDataFrame(rows, schema)).collect()]
+    assert len(got) == len(rows) and got.count((1, "one\n\ntwo")) == 7 and (None, "one\n\ntwo") in got and (3, "hello") in got and (4, "") in got
+    assert dict(got)[2] == ("word " * 200_000).strip()
+
+
+def test_html_is_read_in_linear_time():
+    import time
+
+    for source in ('<a ' * 60_000 + '"', '<a "' * 60_000, '<a ">" ' * 60_000, "<" * 60_000, "<div>" * 60_000, "<b>" * 60_000 + "<li>x</li>" * 60_000, "<p><span class=ad>" * 30_000):
+        began = time.time()
+        page = html_extract.parse(source)
+        html_extract.subtrees(page)
+        html_extract.main_text(page, {1})
+        assert time.time() - began < 20
+
+
+def plain_marginals(scores, pairs):
+    """Forward-backward of one chain, in plain numbers."""
+    n = len(scores)
+    own = [(1.0, np.exp(s)) for s in scores]
+    step = np.exp(pairs)
+    ahead, behind = [np.array(own[0])], [np.ones(2)]
+    for k in range(1, n):
+        v = ahead[-1] @ step * own[k]
+        ahead.append(v / v.sum())
+    for k in range(n - 1, 0, -1):
+        v = step @ (own[k] * behind[-1])
+        behind.append(v / v.sum())
+    both = [a * b for a, b in zip(ahead, reversed(behind))]
+    return [v[1] / v.sum() for v in both]
+
+
+def test_quality_scores_against_plain_chains(spark, wild):
+    """Every score, of odd texts and giants too, is the length-weighted mean of marginals of a chain that stands alone."""
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    chain = quality.train(docs, labels)
+    for rows in (wild.select("doc_id", "text"), docs.select("doc_id", "text")):
+        got = quality.score(rows, chain, ["doc_id", "text"]).collect()
+        assert len(got) == rows.count()
+        for r in got:
+            features, lengths, counts = quality.line_features([r.text or ""])
+            good = plain_marginals(chain.scores(features), chain.pairs)
+            want = float(np.average(good, weights=lengths))
+            assert abs(r.score - want) < 1e-6 and r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1
+
+
+def test_language_of_what_has_no_letters_and_of_long_rows(spark):
+    train = [(k, "der hund und die katze sind im garten und spielen " * 300, "de") for k in range(40)] + [(100 + k, "the dog and the cat are in the garden and they play " * (1 + k % 3), "en") for k in range(40)]
+    docs = spark.createDataFrame(train + [(500 + k, t, None) for k, t in enumerate(["½ ²", "Ⅷ", "123 !?", "", None, "der hund ist im garten"])], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.language_of_documents(docs).collect()}
+    assert [got[500 + k] for k in range(5)] == ["und"] * 5 and got[505] == "de"
+    many = spark.createDataFrame([(k, f"word{k} text", f"l{k}") for k in range(400)], "doc_id long, text string, lang string")
+    assert len(langid.fit(many).languages) == langid.LANGUAGES
+
+
+def test_packing_of_repeats_and_its_rounds(spark, monkeypatch):
+    """Repeated rows are packed each; several rounds of merging lose nothing and leave little waste."""
+    encode = encoder()
+    monkeypatch.setattr(packing, "GROUP_ITEMS", 40)
+    docs = table(spark, SF, "documents").select("doc_id", "text")
+    twice = docs.unionByName(docs.limit(50))
+    got = packing.pack_documents(twice).toPandas()
+    want = Counter((r.doc_id, k, start, length) for r in twice.collect() for k, (start, length) in enumerate(packing.cut_points(len(encode(r.text or "")) + 1)))
+    assert Counter(zip(got.doc_id, got.piece, got.start, got.length)) == want
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert g.length.sum() <= 1024 and (g.offset.to_numpy() == np.concatenate([[0], np.cumsum(g.length)[:-1]])).all()
+    assert got.sequence_id.nunique() <= 1.05 * np.ceil(got.length.sum() / 1024) + 3
+
 
 def test_pipeline(spark):
+    """Every stage's decisions and the packed pieces, against plain Python over the same rows."""
     import corpus_pipeline
 
-    docs = {r.doc_id: r.text for r in table(spark, SF, "documents").collect()}
-    got = {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()}
-    texts = Counter(re.sub(r"\s+", " ", docs[i]) for i in got)
-    assert got <= set(docs) and max(texts.values()) == 1 and len(got) > 0.6 * len(docs)
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    left = {r.doc_id: r.text or "" for r in docs.collect()}
+    chain = quality.train(docs, labels)
+
+    def score(text):
+        features, lengths, _ = quality.line_features([text])
+        return float(np.average(plain_marginals(chain.scores(features), chain.pairs), weights=lengths))
+
+    left = {i: t for i, t in left.items() if score(t) >= quality.THRESHOLD}
+    frame = docs.filter(F.col("doc_id").isin(list(left)))
+    classify = langid.classifier(langid.fit(frame.filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)))
+    left = {i: t for i, t in left.items() if not classify(t)[2]}
+    first = {}
+    for i in sorted(left):
+        first.setdefault(re.sub(r"[ \t\n\x0b\f\r]+", " ", left[i]), i)
+    left = {i: left[i] for i in first.values()}
+    ids = sorted(left)
+    bags = {i: near_dedup.bag(left[i]) for i in ids}
+    head = {i: i for i in ids}
+
+    def root(i):
+        while head[i] != i:
+            i = head[i]
+        return i
+
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            if near_dedup.overlap(bags[i], bags[j]) >= near_dedup.SIMILARITY:
+                a, b = sorted((root(i), root(j)))
+                head[b] = a
+    left = {i: left[i] for i in ids if root(i) == i}
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert {r.doc_id for r in got} == set(left)
+    encode = encoder()
+    want = {(i, k, start, length) for i, t in left.items() for k, (start, length) in enumerate(packing.cut_points(len(encode(t)) + 1))}
+    assert {(r.doc_id, r.piece, r.start, r.length) for r in got} == want and len(got) == len(want)
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = sum(1 for _ in pathlib.Path(folder).iterdir())
+    drop_written(spark)
+    assert sum(1 for _ in pathlib.Path(folder).iterdir()) < before
