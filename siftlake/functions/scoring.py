@@ -72,23 +72,21 @@ def fuzzy_steps(text: str) -> Steps:
     return steps
 
 
+def stepped(names: DataFrame, text: str) -> DataFrame:
+    """names with all steps of a word: one projection whose later columns name earlier ones, so that it is analysed once."""
+    return names.selectExpr(*[f"`{c}`" for c in names.columns], *[f"{expression} AS {alias}" for alias, expression in fuzzy_steps(text)])
+
+
 def fuzzy(names: DataFrame, text: str) -> DataFrame:
     """names (name) that match, with score."""
     found = names.filter(F.translate("name", UPPER, LOWER).like(like(text)))
-    columns = names.columns
-    for alias, expression in fuzzy_steps(text):
-        found = found.withColumn(alias, F.expr(expression))
-    return found.select(*columns, "score")
+    return stepped(found, text).select(*names.columns, "score")
 
 
 def fuzzy_column(names: DataFrame, text: str, alias: str) -> DataFrame:
     """names with the score under an alias, null where a name doesn't match: several words are scored in one pass."""
-    columns = names.columns
-    out = names
-    for step, expression in fuzzy_steps(text):
-        out = out.withColumn(step, F.expr(expression))
     hit = F.translate("name", UPPER, LOWER).like(like(text))
-    return out.select(*columns, F.when(hit, F.col("score")).alias(alias))
+    return stepped(names, text).select(*names.columns, F.when(hit, F.col("score")).alias(alias))
 
 
 def mode_score(text: str, mode: str) -> tuple[str, str]:
