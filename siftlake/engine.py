@@ -38,6 +38,9 @@ class Engine:
     repos: DataFrame | None = None
     #: Whether words may have a typo, and deeper ones where that finds nothing good.
     typos: bool = False
+    #: How many documents the content index doesn't hold yet; and what writes all that is held in memory, for the op save.
+    indexing: int = 0
+    save: Callable[[], object] | None = None
 
     def search(self, text: str, offset: int = 0, hide_ignored: bool = False) -> DataFrame:
         """Ranked entries with every filter of the query applied, those on status and content too."""
@@ -189,10 +192,16 @@ class Engine:
             if op == "ping":
                 return {"ok": True, **tag}
             if op == "status":
-                return {"ok": True, **self.counts(), **tag}
+                return {"ok": True, **self.counts(), "indexing": self.indexing, **tag}
+            if op == "save":
+                return {"ok": True, "saved": self.save is not None and bool(self.save() or True), **tag}
+            if op == "open":
+                return {"ok": True, "score": float(enrich.frecency(self.opened(str(args["path"])).opens.filter(F.col("path") == args["path"]), self.now).first().score), **tag}
             if op not in ops:
                 raise QueryError(f"unknown op: {op}")
             reply = {"ok": True, "hits": [r.asDict() for r in ops[op](**args).collect()], **tag}
+            if op == "grep" and self.indexing:
+                reply["indexing"] = self.indexing
             limit = self.parsed(str(args.get("text", ""))).limit if op == "search" else args.get("limit") if op == "grep" else None
             offset = int(args.get("offset", 0) or 0)
             shown = len({h["path"] for h in reply["hits"]})

@@ -18,6 +18,7 @@ from ..plans.trigrams import of_regex
 #: What a token that only a folder on the path matches adds: three quarters of the folder's best, or FLAT beyond the first four.
 FLAT, SCORED_TOKENS = 6, 4
 PATH_MISS, PATH_HIT = 40, 30
+HIDDEN = -8
 #: Hits that are looked at to tell whether words are well found.
 WELL_TOP = 8
 
@@ -115,7 +116,9 @@ def search(entries: DataFrame, q: Query, now: int, offset: int = 0, typos: str =
 
     Names are scored once each and joined back, which Catalyst doesn't do by itself; folders are scored per distinct name too.
     """
-    score = F.col("own") + prior("parent") + F.expr(tweaks(now))
+    # Entries that the file system hides, if that is known of them.
+    hidden = F.when(F.col("hidden"), HIDDEN).otherwise(0) if "hidden" in entries.columns else F.lit(0)
+    score = F.col("own") + prior("parent") + F.expr(tweaks(now)) + hidden
     out = matched(entries, q, typos).select("path", "parent", "name", "kind", "size", "mtime", score.cast("int").alias("score"))
     ordered = out.orderBy(*total_order())
     top = ordered.limit(q.limit) if not offset else ordered.offset(offset).limit(q.limit)

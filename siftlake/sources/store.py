@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,15 +16,24 @@ from .corpus import with_names
 MOST_BYTES = 10 << 20
 
 
-def crawl(spark: SparkSession, root: str, bodies: bool = False) -> DataFrame:
-    """path, parent, name, kind, size, mtime (and body) of the files below a folder; contents are read only where bodies are asked for."""
+def crawl(spark: SparkSession, root: str, bodies: bool = False, folders: bool = False) -> DataFrame:
+    """path, parent, name, kind, size, mtime (and body) of the files below a folder, and of the folders that hold any, if asked for.
+
+    Contents are read only where bodies are asked for; a folder's time is that of the newest file below it.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = F.regexp_replace("path", "^[a-z]+:/+", "/")
     if bodies:
         files = files.filter(F.col("length") <= MOST_BYTES)
     columns = [path.alias("path"), F.lit(0).alias("kind"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mtime")]
-    found = with_names(files.select(*columns, *[F.col("content").cast("string").alias("body")] * bodies))
-    return found.select("path", "parent", "name", "kind", "size", "mtime", *["body"] * bodies)
+    found = files.select(*columns, *[F.col("content").cast("string").alias("body")] * bodies)
+    if folders:
+        top = re.sub("^[a-z]+:/+", "/", root).rstrip("/")
+        parts = F.split("path", "/")
+        above = F.explode(F.transform(F.sequence(F.lit(2), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/")))
+        held = found.select(above.alias("path"), "mtime").filter(F.col("path").startswith(top + "/")).groupBy("path").agg(F.max("mtime").alias("mtime"))
+        found = found.unionByName(held.select("path", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("size"), "mtime"), allowMissingColumns=True)
+    return with_names(found).select("path", "parent", "name", "kind", "size", "mtime", *["body"] * bodies)
 
 
 def blocked(path: Column, folders: list[str]) -> Column:

@@ -256,3 +256,32 @@ def test_flushes_by_runs(spark):
             want.append(batch)
         batch[1], batch[2] = t, batch[2] + 1
     assert sorted((r.first, r.last, r.n) for r in flushes(df, "unit").collect()) == [tuple(b) for b in want]
+
+
+def test_commands_over_a_real_folder(spark, tmp_path, capsys):
+    from siftlake import __main__ as cli
+
+    root, folder = tmp_path / "root", f"file://{tmp_path}/index"
+    (root / "src").mkdir(parents=True)
+    (root / "src" / "main.rs").write_text("fn main() {\n}\n")
+    (root / "notes.md").write_text("# Notes on spark\n")
+    assert cli.main(["index", f"file://{root}", folder]) == 0 and capsys.readouterr().out.split()[-1] == "2"
+    assert cli.main(["search", folder, "main"]) == 0 and capsys.readouterr().out.split() == [f"{root}/src/main.rs"]
+    assert cli.main(["search", folder, "src", "kind:dir"]) == 0 and capsys.readouterr().out.split() == [f"{root}/src"]
+    assert cli.main(["grep", folder, "notes"]) == 0 and capsys.readouterr().out.strip() == f"{root}/notes.md:1: # Notes on spark"
+    assert cli.main(["status", folder]) == 0 and json.loads(capsys.readouterr().out)["files"] == 2
+    assert cli.main(["search", folder, "kind:x"]) == 1 and cli.main(["version"]) == 0
+    (root / "notes.md").unlink()
+    assert cli.main(["index", f"file://{root}", folder]) == 0 and cli.main(["grep", folder, "notes"]) == 0
+    assert "notes.md" not in capsys.readouterr().out
+
+
+def test_hidden_entries_and_ops(spark):
+    e = tree(spark, ["/h/u/a.txt", "/h/u/b.txt"]).withColumn("hidden", F.col("name") == "a.txt")
+    got = {r.path: r.score for r in names.search(e, parse("kind:file", HOME, NOW), NOW).collect()}
+    assert got["/h/u/b.txt"] - got["/h/u/a.txt"] == 8
+    saved = []
+    engine = Engine(e, home=HOME, now=NOW, save=lambda: saved.append(1), indexing=3)
+    assert engine.answer("save") == {"ok": True, "saved": True} and saved == [1] and engine.answer("status")["indexing"] == 3
+    assert engine.answer("open", path="/h/u/a.txt") == {"ok": True, "score": 1.0}
+    assert engine.answer("open", path="/h/u/a.txt", id=4)["id"] == 4 and not engine.answer("search", text="size:..5")["ok"]
