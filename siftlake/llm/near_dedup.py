@@ -9,7 +9,8 @@ text's latest component.
 Signatures are cut into bands; texts that share a band are candidates. In each bucket the text that shares most with others is the
 leader, and every member is compared with it, by the exact multiset overlap of the texts. Buckets whose members are all in one
 class by then are settled. In the others every two members of different classes are compared, in blocks of BLOCK members within
-tasks (texts travel, pairs don't), so that no link is lost and no group is one task's. Classes are connected components.
+tasks (texts travel, pairs don't) and but for those that the distances to a few pivots keep apart, so that no link is lost and no
+group is one task's. Classes are connected components.
 
 Texts with the same words are one node from the start. A miss needs a pair of similarity 0.8 to share none of BANDS bands of
 ROWS components: (1 - 0.8 ** 4) ** 24, under 4 in a million; above 0.85 under 1 in a billion.
@@ -40,6 +41,8 @@ BANDS, ROWS = 24, 4
 SIZE = BANDS * ROWS
 BLOCK = 128
 BLOCK_CHARS = 16 << 20
+#: Members of a group that all others are measured against, so that most pairs needn't be compared.
+PIVOTS = 6
 #: Pairs of one leader that meet in a task.
 PAIRS = 512
 M1, M2, GOLD = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15
@@ -166,6 +169,25 @@ def bag(text: str) -> Counter:
     return Counter(zip(*(words[i:] for i in range(k)), strict=False)) if k else Counter()
 
 
+def apart(bags: list[Counter]) -> np.ndarray:
+    """For each two bags whether a few pivots tell that they aren't similar, without comparing them.
+
+    1 - overlap is a metric, so bags whose distances to a pivot differ by more than 1 - SIMILARITY are no closer to each other than that. Each pivot
+    is the bag farthest from those before it.
+    """
+    far = np.zeros((len(bags), len(bags)), dtype=bool)
+    nearest = np.full(len(bags), np.inf)
+    pivot = 0
+    for _ in range(PIVOTS if len(bags) > 2 * PIVOTS else 0):
+        d = np.array([1 - overlap(bags[pivot], b) for b in bags])
+        far |= np.abs(d[:, None] - d[None, :]) > 1 - SIMILARITY + 1e-9
+        nearest = np.minimum(nearest, d)
+        pivot = int(nearest.argmax())
+        if nearest[pivot] <= 0:
+            break
+    return far
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those pairs (a, b, n) whose texts (node, text) have an overlap of SIMILARITY at least.
 
@@ -214,6 +236,8 @@ def verified_in_blocks(members: DataFrame, texts: DataFrame) -> DataFrame:
     def compare(rows: list[tuple]) -> Iterator[tuple[int, int]]:
         bags = {r[0]: bag(r[3]) for r in rows}
         sizes = {k: b.total() for k, b in bags.items()}
+        far = apart(list(bags.values()))
+        place = {k: i for i, k in enumerate(bags)}
         parent: dict[int, int] = {}
 
         def root(c: int) -> int:
@@ -224,7 +248,7 @@ def verified_in_blocks(members: DataFrame, texts: DataFrame) -> DataFrame:
         for n, (a, ca, block, *_) in enumerate(rows):
             for b, cb, other, *_ in rows[:n]:
                 # Within a block a pair meets in the group of that block alone, or with each other block: once is enough.
-                if (block != other or rows[0][4] == rows[0][5]) and root(ca) != root(cb) and min(sizes[a], sizes[b]) >= SIMILARITY * max(sizes[a], sizes[b]) and overlap(bags[a], bags[b]) >= SIMILARITY:
+                if (block != other or rows[0][4] == rows[0][5]) and not far[place[a], place[b]] and root(ca) != root(cb) and min(sizes[a], sizes[b]) >= SIMILARITY * max(sizes[a], sizes[b]) and overlap(bags[a], bags[b]) >= SIMILARITY:
                     parent[root(ca)] = root(cb)
                     yield a, b
 
