@@ -27,6 +27,8 @@ from .common import crc_mod, map_batches, text_of
 #: Bound of the training sample: rows, and characters of a row that may be in it.
 SAMPLE_ROWS = 4000
 SAMPLE_CHARS = 20_000
+#: Lines whose features are held at once.
+MOST_LINES = 50_000
 STEPS = 150
 RATE = 0.1
 RIDGE = 1e-3
@@ -49,8 +51,11 @@ def classes() -> np.ndarray:
 CLASS_OF = classes()
 
 
-def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of every line of the texts, the lines' weights, and the number of lines of each text."""
+def line_features(texts: list[str], repeated: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of every line of the texts, the lines' weights, and the number of lines of each text.
+
+    repeated: which lines stood in their text before, if that is known of more of it than the texts hold.
+    """
     lines = [line for t in texts for line in t.split("\n")]
     counts = np.array([t.count("\n") + 1 for t in texts], dtype=np.int64)
     joined = "\n".join(lines)
@@ -66,13 +71,10 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     single = np.fromiter((len(set(line)) for line in lines), dtype=np.float64, count=len(lines))
     starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
     before = np.zeros(len(lines))
-    for a, n in zip(starts, counts, strict=True):
+    for a, n in zip(starts, counts, strict=True) if repeated is None else ():
         if n > 1:
-            seen: set[str] = set()
-            for i in range(a, a + n):
-                if lines[i] in seen and lines[i]:
-                    before[i] = 1
-                seen.add(lines[i])
+            before[a : a + n] = repeats(lines[a : a + n])
+    before = before if repeated is None else repeated
     n = np.maximum(lengths, 1)
     w = np.maximum(n_words, 1)
     own = np.stack([
@@ -88,6 +90,16 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return np.concatenate([own, prev, after, first[:, None], last[:, None]], axis=1), lengths + 1.0, counts
 
 
+def repeats(lines: list[str]) -> np.ndarray:
+    """1 for each line that isn't empty and stood before."""
+    seen: set[str] = set()
+    out = np.zeros(len(lines))
+    for i, line in enumerate(lines):
+        out[i] = line in seen and line != ""
+        seen.add(line)
+    return out
+
+
 @dataclass(frozen=True)
 class Chain:
     """Weights of a line for good, of pairs of neighbouring labels, and the features' mean and scale."""
@@ -174,10 +186,44 @@ def document_scores(chain: Chain | None, texts: list[str]) -> np.ndarray:
     """Each text's mean of its lines' marginals of good, weighted by length."""
     if chain is None:
         return np.full(len(texts), 0.5)
-    features, lengths, counts = line_features(texts)
-    good, _, _ = marginals(chain.scores(features), chain.pairs, counts)
-    starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    return np.clip(np.add.reduceat(good * lengths, starts) / np.add.reduceat(lengths, starts), 0, 1)
+    out, group, held = [], [], 0
+    for text in texts:
+        n = text.count("\n") + 1
+        if n > MOST_LINES:
+            out.append((group, n, text))
+            group, held = [], 0
+            continue
+        if group and held + n > MOST_LINES:
+            out.append((group, 0, ""))
+            group, held = [], 0
+        group.append(text)
+        held += n
+    out.append((group, 0, ""))
+    scores: list[float] = []
+    for group, giant, text in out:
+        if group:
+            features, lengths, counts = line_features(group)
+            good, _, _ = marginals(chain.scores(features), chain.pairs, counts)
+            starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+            scores += list(np.add.reduceat(good * lengths, starts) / np.add.reduceat(lengths, starts))
+        if giant:
+            scores.append(giant_score(chain, text))
+    return np.clip(np.asarray(scores, dtype=np.float64), 0, 1)
+
+
+def giant_score(chain: Chain, text: str) -> float:
+    """The score of a text of more lines than features are held of at once: scores of lines are found in pieces, the chain is one."""
+    lines = text.split("\n")
+    again = repeats(lines)
+    scores, lengths = np.empty(len(lines)), np.empty(len(lines))
+    for a in range(0, len(lines), MOST_LINES):
+        b = min(a + MOST_LINES, len(lines))
+        # A line more at either end, so that neighbours are known.
+        left, right = max(0, a - 1), min(len(lines), b + 1)
+        features, weights, _ = line_features(["\n".join(lines[left:right])], again[left:right])
+        scores[a:b], lengths[a:b] = chain.scores(features)[a - left : b - left], weights[a - left : b - left]
+    good, _, _ = marginals(scores, chain.pairs, np.array([len(lines)]))
+    return float(np.average(good, weights=lengths))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Chain | None:

@@ -456,6 +456,27 @@ def test_quality_scores_against_plain_chains(spark, wild):
             assert abs(r.score - want) < 1e-6 and r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1
 
 
+def test_scores_of_giants_in_pieces(monkeypatch):
+    rng = np.random.default_rng(6)
+    words = ["alpha", "beta!!", "Gamma", "42", "delta,", ""]
+    texts = ["\n".join(" ".join(rng.choice(words, int(rng.integers(0, 6)))) for _ in range(int(n))) for n in (1, 3, 40, 7, 90, 25)]
+    chain = quality.fit(texts, [1, 0, 1, 0, 1, 0])
+    whole = quality.document_scores(chain, texts)
+    monkeypatch.setattr(quality, "MOST_LINES", 10)
+    assert np.allclose(quality.document_scores(chain, texts), whole)
+
+
+def test_pivots_keep_only_what_is_apart_apart():
+    rng = np.random.default_rng(7)
+    bags = [Counter(rng.integers(0, 40, int(rng.integers(5, 60))).tolist()) for _ in range(30)]
+    bags += [b + Counter([int(rng.integers(0, 40))]) for b in bags]
+    far = near_dedup.apart(bags)
+    assert far.any()
+    for i in range(len(bags)):
+        for j in range(len(bags)):
+            assert not far[i, j] or near_dedup.overlap(bags[i], bags[j]) < near_dedup.SIMILARITY
+
+
 def test_language_of_what_has_no_letters_and_of_long_rows(spark):
     train = [(k, "der hund und die katze sind im garten und spielen " * 300, "de") for k in range(40)] + [(100 + k, "the dog and the cat are in the garden and they play " * (1 + k % 3), "en") for k in range(40)]
     docs = spark.createDataFrame(train + [(500 + k, t, None) for k, t in enumerate(["½ ²", "Ⅷ", "123 !?", "", None, "der hund ist im garten"])], "doc_id long, text string, lang string")
