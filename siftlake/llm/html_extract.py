@@ -19,11 +19,12 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
-from xxhash import xxh3_64, xxh3_64_intdigest
+from xxhash import xxh3_64_intdigest
 
 from .common import hot_keys, map_batches, skew_join, text_of, written
 
@@ -59,7 +60,7 @@ CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
 
 
-@dataclass
+@dataclass(slots=True)
 class Element:
     tag: str
     start: int
@@ -76,7 +77,7 @@ class Element:
     veiled: bool = False
     up: Element | None = None
     #: Of the element's tag, its text and its children's digests, without differences of white space.
-    hasher: xxh3_64 | None = None
+    fed: list[str] | None = None
     digest: int = 0
 
 
@@ -89,6 +90,7 @@ class Page:
     elements: list[Element] = field(default_factory=list)
 
 
+@lru_cache(maxsize=16_384)
 def names_of(attributes: str) -> tuple[set[str], set[str], bool]:
     """Words of class and id, roles, and whether the element is hidden."""
     words: set[str] = set()
@@ -134,8 +136,8 @@ def tokens(source: str) -> Iterator[tuple[str, str, str, int, int]]:
             yield "text", source[at:stop], "", at, stop
             at = stop
             continue
-        closer = next((c for o, c in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<!", ">"), ("<?", ">")) if source.startswith(o, at)), None)
-        if closer:
+        if source[at + 1 : at + 2] in ("!", "?"):
+            closer = next(c for o, c in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<", ">")) if source.startswith(o, at))
             end = source.find(closer, at + (4 if closer == "-->" else 2))
             stop = size if end < 0 else end + len(closer)
             if closer == "]]>":
@@ -162,7 +164,8 @@ def tokens(source: str) -> Iterator[tuple[str, str, str, int, int]]:
         at = stop
 
 
-def parse(source: str) -> Page:
+def parse(source: str, hashed: bool = True) -> Page:
+    """The page; its elements have digests if hashed."""
     page = Page(source)
     stack: list[Element] = []
     #: How many elements of a tag are open: the stack is searched only for those.
@@ -173,12 +176,15 @@ def parse(source: str) -> Page:
         while len(stack) > upto:
             e = stack.pop()
             standing[e.tag] -= 1
-            e.end, e.last, e.digest, e.hasher = at, len(page.pieces), e.hasher.intdigest() - (1 << 63), None
-            feed(f"\0{e.digest}")
+            e.end, e.last = at, len(page.pieces)
+            if hashed:
+                e.digest = xxh3_64_intdigest(" ".join("\0".join(e.fed).split()).encode("utf-8", "surrogatepass")) - (1 << 63)
+                e.fed = None
+                feed(str(e.digest))
 
     def feed(text: str) -> None:
-        if stack:
-            stack[-1].hasher.update(SPACE.sub(" ", text).encode("utf-8", "surrogatepass"))
+        if hashed and stack:
+            stack[-1].fed.append(text)
 
     for kind, token, attributes, start, stop in tokens(source):
         if kind == "text":
@@ -191,7 +197,7 @@ def parse(source: str) -> Page:
             continue
         if tag == "br":
             page.pieces.append((block, " "))
-            feed("\0br")
+            feed("<br")
             continue
         if tag in BLOCK:
             block += 1
@@ -219,7 +225,7 @@ def parse(source: str) -> Page:
                 elif stack[k].tag in SCOPES[tag]:
                     break
         if tag in VOID or attributes.rstrip().endswith("/") and tag not in BLOCK:
-            feed(f"\0{tag}{attributes}")
+            feed(f"<{tag}{attributes}")
             continue
         up = stack[-1] if stack else None
         inside = up is not None and up.inside
@@ -229,10 +235,10 @@ def parse(source: str) -> Page:
         soft = tag in FORMS or "form" in roles or tag not in ("html", "body") and bool(words & CLUTTER)
         if not inside and not article and tag not in ("html", "body"):
             hard, soft = hard or tag == "header", soft or bool(words & OUTER)
-        e = Element(tag, start, len(page.pieces), False, inside or article, article=article, clutter=hard or soft, soft=soft and not hard, hidden=hidden, veiled=up is not None and (up.hidden or up.veiled), up=up, hasher=xxh3_64())
+        e = Element(tag, start, len(page.pieces), False, inside or article, article=article, clutter=hard or soft, soft=soft and not hard, hidden=hidden, veiled=up is not None and (up.hidden or up.veiled), up=up, fed=[])
         stack.append(e)
         standing[tag] += 1
-        feed(f"{tag}{attributes}\0")
+        feed(f"<{tag}{attributes}")
         page.elements.append(e)
     close(0, len(source))
     drop(page)
@@ -260,7 +266,7 @@ def drop(page: Page) -> None:
         return
     sizes = [0]
     for _, text in page.pieces:
-        sizes.append(sizes[-1] + len(SPACE.sub(" ", text).strip()))
+        sizes.append(sizes[-1] + len(" ".join(text.split())))
     size = lambda e: sizes[e.last] - sizes[e.first]
     whole = roots(page)
     if not whole:
@@ -334,7 +340,7 @@ def page_subtrees(pages: DataFrame) -> DataFrame:
             for *keys, host, source in zip(batch["k0"], batch["k1"], batch["host"], batch["html"], strict=True):
                 page = parse(source)
                 got = list(subtrees(page))
-                text = SPACE.sub(" ", " ".join(t for _, t in page.pieces)).strip()
+                text = " ".join(" ".join(t for _, t in page.pieces).split())
                 out["hash"] += got
                 for name, value in zip(out, (*keys, host), strict=False):
                     out[name] += [value] * len(got)
@@ -374,7 +380,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def make() -> Callable[[dict], dict]:
         def step(batch: dict) -> dict:
-            texts = [main_text(parse(s), set(t or ())) for s, t in zip(batch["html"], batch["template"], strict=True)]
+            texts = [main_text(parse(s, hashed=bool(t)), set(t or ())) for s, t in zip(batch["html"], batch["template"], strict=True)]
             return {"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]}
 
         return step
