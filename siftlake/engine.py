@@ -212,6 +212,36 @@ class Engine:
             return {"ok": False, "error": str(e), **tag}
 
 
+@dataclass
+class Typing:
+    """Searches of one word as it is typed: as long as a word only gets longer, names that the shorter one left out aren't scored again."""
+
+    engine: Engine
+    last: tuple[Query, DataFrame] | None = None
+
+    def search(self, text: str) -> DataFrame:
+        q = self.engine.parsed(text)
+        tokens = [t for t in q.tokens if not t.negate]
+        if self.engine.typos or len(tokens) != 1 or tokens[0].mode != "fuzzy" or len(forms(text)) > 1:
+            return self.engine.search(text)
+        entries, token = self.engine.entries, tokens[0]
+        if self.last and self.narrows(self.last[0], q):
+            entries = entries.join(self.last[1], "name", "left_semi")
+        kept = names.fuzzy(entries.filter(names.predicate(q)).select("name").distinct(), token.text).select("name").cache()
+        if self.last:
+            kept.count()  # before what it was made from is let go
+            self.last[1].unpersist()
+        self.last = q, kept
+        return replace(self.engine, entries=self.engine.entries.join(kept, "name", "left_semi")).ranked(q, 0)
+
+    @staticmethod
+    def narrows(old: Query, new: Query) -> bool:
+        """Whether all names that a query matches are matched by an older one: the same but for a word that starts with the old one."""
+        words = [[t.text for t in q.tokens if not t.negate] for q in (old, new)]
+        same = [replace(q, tokens=[t for t in q.tokens if t.negate], limit=0) for q in (old, new)]
+        return same[0] == same[1] and words[1][0].startswith(words[0][0])
+
+
 def forms(text: str) -> list[str]:
     """A query in its own normal form and, where letters outside ASCII differ in it, the other."""
     if text.isascii():

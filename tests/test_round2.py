@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from siftlake.engine import Engine
+from siftlake.engine import Engine, Typing
 from siftlake.operators import content, eligible, enrich, live, names
 from siftlake.operators.ignore import rules_of
 from siftlake.plans.parser import parse
@@ -285,3 +285,12 @@ def test_hidden_entries_and_ops(spark):
     assert engine.answer("save") == {"ok": True, "saved": True} and saved == [1] and engine.answer("status")["indexing"] == 3
     assert engine.answer("open", path="/h/u/a.txt") == {"ok": True, "score": 1.0}
     assert engine.answer("open", path="/h/u/a.txt", id=4)["id"] == 4 and not engine.answer("search", text="size:..5")["ok"]
+
+
+def test_typing_narrows(spark):
+    e = tree(spark, ["/h/u/customer.rs", "/h/u/cousin.txt", "/h/u/c_u_s.md", "/h/u/other.md"])
+    engine = Engine(e, home=HOME, now=NOW)
+    typing = Typing(engine)
+    for text in ("c", "cu", "cus", "cust", "cu", "cu ext:md", "cus ext:md", "'cus", "other"):
+        assert [tuple(r) for r in typing.search(text).collect()] == [tuple(r) for r in engine.search(text).collect()], text
+    assert Typing.narrows(parse("cu ext:md", HOME, NOW), parse("cus ext:md", HOME, NOW)) and not Typing.narrows(parse("cu", HOME, NOW), parse("cus ext:md", HOME, NOW))
