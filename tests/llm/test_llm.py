@@ -415,6 +415,46 @@ def test_html_of_odd_tables(spark):
     assert dict(got)[2] == ("word " * 200_000).strip()
 
 
+def test_html_against_plain_counts(spark):
+    """Texts of all pages of a table, and of its pages with menus of every kind put in, against counts over all of them in one place."""
+    pages = table(spark, "/root/testdata/sf0.01", "pages").select("page_id", F.lit("http://host.example/x").alias("url"), "html")
+    menu = F.when(F.col("page_id") % 3 == 0, "<div><b>one menu</b> of three</div>").when(F.col("page_id") % 97 == 1, "<section>seldom seen</section>").otherwise("")
+    for df in (table(spark, "/root/testdata/sf0.01", "pages"), pages.withColumn("html", F.concat(menu, "html")), pages.unionByName(pages).unionByName(pages)):
+        rows = df.collect()
+        seen = {}
+        for r in rows:
+            page = html_extract.parse(r.html)
+            host = re.sub(r"^[a-z]+://([^/]+).*$", r"\1", r.url)
+            for h in html_extract.subtrees(page):
+                seen.setdefault((host, h), set()).add(" ".join(" ".join(t for _, t in page.pieces).split()))
+        want = Counter()
+        for r in rows:
+            host = re.sub(r"^[a-z]+://([^/]+).*$", r"\1", r.url)
+            page = html_extract.parse(r.html)
+            want[r.page_id, html_extract.main_text(page, {h for h in html_extract.subtrees(page) if len(seen[host, h]) >= html_extract.MIN_PAGES})] += 1
+        assert Counter((r.page_id, r.text) for r in html_extract.extract(df).collect()) == want
+
+
+def test_language_against_plain_compression(spark):
+    """Each text's language is the one whose dictionary makes its blocks smallest, each block compressed by itself."""
+    import zstandard
+
+    docs = table(spark, SF, "documents")
+    model = langid.fit(docs)
+    got = {r.doc_id: r for r in langid.predict(docs, model, ["doc_id"]).collect()}
+    for r in docs.collect():
+        words = " ".join("".join(c if c.isalpha() or unicodedata.category(c)[0] == "M" else " " for c in (r.text or "").lower()).split())
+        if not words:
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        sizes = []
+        for text in model.texts:
+            squeeze = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=zstandard.ZstdCompressionDict(text, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
+            sizes.append(sum(len(squeeze.compress(b)) for b in langid.blocks(f" {langid.letters(r.text)} ")))
+        assert got[r.doc_id].lang_pred == model.languages[sizes.index(min(sizes))]
+        assert got[r.doc_id].rejected == (sorted(sizes)[1] - min(sizes) < max(langid.LEAST_MARGIN, langid.MARGIN * len(langid.letters(r.text)) / 1000))
+
+
 def test_html_is_read_in_linear_time():
     import time
 
