@@ -44,6 +44,8 @@ class Feed:
     """
 
     folder: str
+    #: As of the last batch that this object applied; saved_watermark is what outlives it.
+    watermark: int = 0
     stream: int | None = None
     #: Called with each batch and its number once it is applied.
     hooks: list[Callable[[DataFrame, int], None]] = field(default_factory=list)
@@ -63,8 +65,9 @@ class Feed:
         coalesced(batch).write.mode("overwrite").parquet(f"{self.folder}/dirs/batch={number}")
         own = batch if self.stream is None or "stream" not in batch.columns else batch.filter(F.col("stream") == self.stream)
         seen = own.agg(F.max("id")).first()[0]
-        before = self.watermark(spark, number)
+        before = self.saved_watermark(spark, number)
         mark = before if seen is None else advance(before, seen, min(self.floors.values(), default=None), self.gap)
+        self.watermark = mark
         spark.createDataFrame([(mark,)], "watermark long").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/marks/batch={number}")
         for hook in self.hooks:
             hook(batch, number)
@@ -81,7 +84,7 @@ class Feed:
         diff = folder_diff(here, listing).join(listing, "path", "left").select("path", "op", "kind", "size", "mtime")
         diff.write.mode("overwrite").parquet(f"{self.folder}/delta/batch={number}")
 
-    def watermark(self, spark: SparkSession, before: int | None = None) -> int:
+    def saved_watermark(self, spark: SparkSession, before: int | None = None) -> int:
         """As of all batches (before one); 0 without any."""
         if not self.exists(spark, "marks"):
             return 0

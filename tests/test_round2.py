@@ -224,12 +224,12 @@ def test_feed_takes_subtrees_and_keeps_its_watermark(spark, tmp_path):
     schema = "id long, dir string, recursive boolean, path string, kind int, size long, mtime long, gone boolean, stream int"
     feed.apply(spark.createDataFrame([(1, "/a", False, "/a", 1, 0, 1, False, 1), (2, "/a", False, "/a/x", 0, 5, 1, False, 1), (3, "/a/s", False, "/a/s/y", 0, 6, 1, False, 1)], schema), 0)
     feed.apply(spark.createDataFrame([(4, "/", False, "/a", 1, 0, 1, True, 1)], schema), 1)
-    assert feed.current(spark).count() == 0 and feed.watermark(spark) == 4
+    assert feed.current(spark).count() == 0 and feed.saved_watermark(spark) == 4
     feed.apply(spark.createDataFrame([(90, "/b", False, "/b", 0, 1, 1, False, 0)], schema), 2)  # a straggler of another stream
-    assert feed.watermark(spark) == 4 and feed.current(spark).count() == 1
+    assert feed.saved_watermark(spark) == 4 and feed.current(spark).count() == 1
     again = Feed(f"file://{tmp_path}/feed", stream=1, floors={"held": 7})
     again.apply(spark.createDataFrame([(9, "/c", False, "/c/z", 0, 1, 1, False, 1)], schema), 3)
-    assert again.watermark(spark) == 6
+    assert again.saved_watermark(spark) == 6
     listing = spark.createDataFrame([("/c/w", 0, 2, 2)], "path string, kind int, size long, mtime long")
     again.list_folder("/c", listing, 4)
     now = {r.path for r in again.current(spark).collect()}
