@@ -31,6 +31,12 @@ def ext_is(name: Column, exts: list[str]) -> Column:
     return name.contains(".") & folded(F.substring_index(name, ".", -1)).isin(exts)
 
 
+def extension_counts(entries: DataFrame) -> DataFrame:
+    """ext, n: how many files have an extension, A-Z folded; the empty one is of those without."""
+    ext = F.when(F.col("name").contains("."), folded(F.substring_index("name", ".", -1))).otherwise("")
+    return entries.filter("kind = 0").groupBy(ext.alias("ext")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def holds(text: Column, token: Token) -> Column:
     """Whether a name matches a token, as far as negation and folders ask."""
     low, want = folded(text), token.text

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from . import oracles as o
 from .functions.scoring import prior, quoted, tweaks
 from .engine import Engine
-from .operators import content, enrich, live
+from .operators import content, eligible, enrich, live
 from .operators.ignore import ignored, rules_of
-from .operators.names import deep_scores, fuzzy, predicate, search, typo_scores
+from .operators.names import deep_scores, extension_counts, fuzzy, predicate, search, typo_scores
 from .plans import trigrams
 from .plans.parser import parse
 from .sources.corpus import ENTRIES_SQL, HOME, NOW, entries, files, files_sql, with_names
@@ -138,9 +138,10 @@ def g_is_text(spark: SparkSession, sf: str) -> DataFrame:
     return files(spark, sf, body=True, tables=("documents", "pages")).filter(content.is_text(F.col("body"))).select("path")
 
 
-@query("g_eligible", f"{E} SELECT path FROM e WHERE kind = 0 AND size <= 10485760 AND NOT (lower(name) LIKE '%.json' AND size >= 102400)")
+@query("g_eligible", f"{E} SELECT path FROM e WHERE kind = 0 AND size <= 10485760 AND NOT (lower(name) LIKE '%.json' AND size >= 102400) AND NOT regexp_matches(name, '.[.](db|o|pdf|png|zip)$', 'i')")
 def g_eligible(spark: SparkSession, sf: str) -> DataFrame:
-    return entries(spark, sf).filter("kind = 0 AND size <= 10485760").filter(~content.generated(F.col("name"), F.col("size"))).select("path")
+    name, size = F.col("name"), F.col("size")
+    return entries(spark, sf).filter("kind = 0").filter(eligible.name_fits_in_repo(name, size) & ~content.generated(name, size)).select("path")
 
 
 @query("g_rank_order", f"{E} SELECT path, CAST(CASE WHEN contains(path, '/.') THEN -2 ELSE 0 END - CASE WHEN path LIKE '%.log' THEN 1 ELSE 0 END AS INT) AS rank FROM e WHERE kind = 0 ORDER BY rank DESC, mtime DESC, path LIMIT 200")
@@ -182,8 +183,7 @@ def i_indexed_grep(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("i_ext_histogram", f"{E} SELECT CASE WHEN contains(name, '.') THEN {EXT} ELSE '' END AS ext, count(*) AS n FROM e WHERE kind = 0 GROUP BY 1")
 def i_ext_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    ext = F.when(F.contains("name", F.lit(".")), F.lower(F.substring_index("name", ".", -1))).otherwise("")
-    return entries(spark, sf).filter("kind = 0").groupBy(ext.alias("ext")).agg(F.count(F.lit(1)).alias("n"))
+    return extension_counts(entries(spark, sf))
 
 
 @query("i_symbols", f"WITH b AS ({files_sql(True, BODIES)}), s AS (SELECT DISTINCT body, unnest(regexp_extract_all(body, '(?:^|[^A-Za-z0-9_])(?:{DECLARING})(?:<[^>\n]*>)?[ \t*&]+(?:mut[ \t]+)?([A-Za-z_][A-Za-z0-9_]*)', 1)) AS symbol FROM b) SELECT symbol, count(DISTINCT body) AS bodies FROM s GROUP BY symbol")

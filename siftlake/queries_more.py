@@ -114,6 +114,16 @@ def s_path_words(spark: SparkSession, sf: str) -> DataFrame:
     return engine(spark, sf).search("src1/doc limit:80")
 
 
+NINE = "x n o t e s d c m".split()
+
+
+@query("s_nine_words", f"""{PRIOR_SQL}, {o.several(NINE[1:])} SELECT own.path, own.kind, own.size, own.mtime, CAST(own + prior + {o.nudges(NOW, 'own')} AS INT) AS score
+ FROM own JOIN p ON p.path = own.parent ORDER BY score DESC, own.kind <> 0, string_split(own.parent, '/'), own.name LIMIT 90""")
+def s_nine_words(spark: SparkSession, sf: str) -> DataFrame:
+    """More words than count: the first is dropped, and from the fifth on a folder's match adds the same for all."""
+    return engine(spark, sf).search(" ".join([*NINE, "limit:90"]))
+
+
 NEW_FOLDER = "/Users/u/notes/en/src1/fresh/deep"
 
 

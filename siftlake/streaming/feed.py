@@ -85,12 +85,13 @@ class Feed:
         diff.write.mode("overwrite").parquet(f"{self.folder}/delta/batch={number}")
 
     def saved_watermark(self, spark: SparkSession, before: int | None = None) -> int:
-        """As of all batches (before one); 0 without any."""
+        """As of all batches (before one); without any what this object starts with, the event id of the snapshot that it follows."""
         if not self.exists(spark, "marks"):
-            return 0
+            return self.watermark
         marks = spark.read.parquet(f"{self.folder}/marks")
         marks = marks if before is None else marks.filter(F.col("batch") < before)
-        return marks.agg(F.max_by("watermark", "batch")).first()[0] or 0
+        found = marks.agg(F.max_by("watermark", "batch")).first()[0]
+        return self.watermark if found is None else found
 
     def rows(self, spark: SparkSession, before: int | None = None) -> DataFrame:
         """All that is written: the last compacted table and the differences since, each with its batch."""

@@ -294,3 +294,35 @@ def test_typing_narrows(spark):
     for text in ("c", "cu", "cus", "cust", "cu", "cu ext:md", "cus ext:md", "'cus", "other"):
         assert [tuple(r) for r in typing.search(text).collect()] == [tuple(r) for r in engine.search(text).collect()], text
     assert Typing.narrows(parse("cu ext:md", HOME, NOW), parse("cus ext:md", HOME, NOW)) and not Typing.narrows(parse("cu", HOME, NOW), parse("cus ext:md", HOME, NOW))
+
+
+def test_words_of_an_overlay(spark):
+    """Three quarters of a folder's match for each word, the fifth and later ones too, where the base adds the same for all."""
+    path = "/h/u/abcdefgh/zeta.md"
+    e = tree(spark, [path]).filter("kind = 0")
+    words = ["zeta", "ab", "abc", "abcd", "bcd", "bc"]
+    q = parse(" ".join(words), HOME, NOW)
+    own = names.fuzzy_score("zeta.md", "zeta")
+    shares = [names.fuzzy_score("abcdefgh", w) for w in words[1:]]
+    got = [names.matched(e, q, overlay=o).first().own for o in (True, False)]
+    assert got == [own + sum(int(s * 3 / 4) for s in shares), own + sum(int(s * 3 / 4) for s in shares[:3]) + 2 * names.FLAT]
+
+
+def test_feed_holds_and_starts(spark, tmp_path):
+    """What is put off holds the watermark below it, a gap takes it back to its start, and a new feed starts from its snapshot's event."""
+    schema = "id long, dir string, recursive boolean, path string, kind int, size long, mtime long, gone boolean, stream int"
+    batch = lambda i, stream=1: spark.createDataFrame([(i, "/d", False, f"/d/{i}", 0, 1, 1, False, stream)], schema)
+    feed = Feed(f"file://{tmp_path}/feed", watermark=40, stream=1, floors={"relist": 45})
+    feed.apply(batch(60), 0)
+    assert feed.watermark == 44
+    feed.apply(batch(61), 1)
+    assert feed.watermark == 44
+    feed.floors.clear()
+    feed.apply(batch(999, 0), 2)
+    assert feed.watermark == 44
+    feed.apply(batch(62), 3)
+    assert feed.watermark == 62
+    feed.gap = 50
+    feed.apply(batch(70), 4)
+    assert feed.watermark == 50 and Feed(f"file://{tmp_path}/feed").saved_watermark(spark) == 50
+    assert Feed(f"file://{tmp_path}/other", watermark=9).saved_watermark(spark) == 9
