@@ -37,7 +37,7 @@ class Engine:
     ignored: DataFrame | None = None
     repos: DataFrame | None = None
     #: Whether words may have a typo, and deeper ones where that finds nothing good.
-    typos: bool = False
+    typos: bool = True
     #: How many documents the content index doesn't hold yet; and what writes all that is held in memory, for the op save.
     indexing: int = 0
     save: Callable[[], object] | None = None
