@@ -74,13 +74,17 @@ def plain_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return df.toDF(*names.values()), names
 
 
-#: A key is hot if it has more than this share of all rows.
+#: A key is hot if it has more than this share of all rows, and more rows than a task reads in no time.
 HOT = 1 / 1024
+FEW = 100
 
 
 def hot_keys(counted: DataFrame, key: str, n: str, rows: int) -> list[int]:
-    """Hashes of the hot keys of a table of counts (n rows have a key, of so many): fewer than 1 / HOT, whatever the input."""
-    return [r[0] for r in counted.filter(F.col(n) > rows * HOT).select(F.xxhash64(key)).collect()]
+    """Hashes of the hot keys of a table of counts (n rows have a key, of so many): fewer than 1 / HOT, whatever the input.
+
+    Each is a literal in every plan that joins by them, so keys of a small table that have few rows, if a large share, are left out.
+    """
+    return [r[0] for r in counted.filter(F.col(n) > max(rows * HOT, FEW)).select(F.xxhash64(key)).collect()]
 
 
 def skew_join(left: DataFrame, right: DataFrame, on: str, hot: list[int], how: str = "inner") -> DataFrame:

@@ -29,6 +29,8 @@ SAMPLE_ROWS = 4000
 SAMPLE_CHARS = 20_000
 #: Lines whose features are held at once.
 MOST_LINES = 50_000
+#: Characters of a sample that are cut into words at once.
+MOST_CHARS = 1 << 20
 STEPS = 150
 RATE = 0.1
 RIDGE = 1e-3
@@ -90,6 +92,20 @@ def line_features(texts: list[str], repeated: np.ndarray | None = None) -> tuple
     return np.concatenate([own, prev, after, first[:, None], last[:, None]], axis=1), lengths + 1.0, counts
 
 
+def sample_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """line_features of many texts, of MOST_CHARS (or one text) at once: only the features themselves are held of all."""
+    counts = np.array([t.count("\n") + 1 for t in texts], dtype=np.int64)
+    features, lengths = np.empty((counts.sum(), 3 * FEATURES + 2)), np.empty(counts.sum())
+    a = line = held = 0
+    for b, text in enumerate(texts, 1):
+        held += len(text)
+        if b == len(texts) or held + len(texts[b]) > MOST_CHARS:
+            end = line + counts[a:b].sum()
+            features[line:end], lengths[line:end], _ = line_features(texts[a:b])
+            a, line, held = b, end, 0
+    return features, lengths, counts
+
+
 def repeats(lines: list[str]) -> np.ndarray:
     """1 for each line that isn't empty and stood before."""
     seen: set[str] = set()
@@ -143,10 +159,16 @@ def marginals(scores: np.ndarray, pairs: np.ndarray, counts: np.ndarray) -> tupl
     return good, total, expected
 
 
-def fit_chain(features: np.ndarray, labels: np.ndarray, counts: np.ndarray, weights: np.ndarray) -> Chain:
-    """Maximum likelihood with a ridge, by Adam on the whole sample. weights: of each line, for its own label's share."""
+def standardise(features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and scale of the features, which are brought to 0 and 1 in place: no second array of all lines stays."""
     mean, scale = features.mean(axis=0), features.std(axis=0) + 1e-6
-    x = (features - mean) / scale
+    features -= mean
+    features /= scale
+    return mean, scale
+
+
+def fit_chain(x: np.ndarray, labels: np.ndarray, counts: np.ndarray, weights: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> Chain:
+    """Maximum likelihood with a ridge, by Adam on the whole sample. x: features by their mean and scale; weights: of each line, for its own label's share."""
     starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
     inner = np.ones(len(labels), dtype=bool)
     inner[starts] = False
@@ -169,17 +191,18 @@ def fit(texts: list[str], labels: list[int]) -> Chain | None:
     """The chain for texts with labels 1 (good) or 0."""
     if not texts:
         return None
-    features, lengths, counts = line_features(texts)
+    features, lengths, counts = sample_features(texts)
+    mean, scale = standardise(features)
     own = np.repeat(np.asarray(labels, dtype=np.int64), counts)
-    chain = fit_chain(features, own, counts, np.ones(len(own)))
-    good, _, _ = marginals(chain.scores(features), chain.pairs, counts)
+    chain = fit_chain(features, own, counts, np.ones(len(own)), mean, scale)
+    good, _, _ = marginals(features @ chain.weights + chain.bias, chain.pairs, counts)
     # Lines of bad documents that look good are taken as good, but for each document's worst line.
     lines = np.where((own == 0) & (good > 0.7), 1, own)
     starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
     for a, n, label in zip(starts, counts, labels, strict=True):
         if not label:
             lines[a + int(np.argmin(good[a : a + n] / np.sqrt(lengths[a : a + n])))] = 0
-    return fit_chain(features, lines, counts, np.ones(len(own)))
+    return fit_chain(features, lines, counts, np.ones(len(own)), mean, scale)
 
 
 def document_scores(chain: Chain | None, texts: list[str]) -> np.ndarray:

@@ -1,6 +1,7 @@
 import hashlib
 import pathlib
 import re
+import tracemalloc
 import unicodedata
 import zlib
 from collections import Counter
@@ -51,6 +52,13 @@ def test_skew_join_is_a_join(spark):
             assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, left.join(right, "k", how).collect()), key=str)
 
 
+def test_few_rows_make_no_key_hot(spark):
+    """Every hot key is a literal in the driver's plans: a small table has none but those with many rows."""
+    counted = spark.range(1000).select(F.col("id").alias("k"), F.when(F.col("id") == 7, 900).otherwise(3).alias("n"))
+    assert hot_keys(counted, "k", "n", 2000) == [counted.filter("k = 7").select(F.xxhash64("k")).first()[0]]
+    assert hot_keys(counted, "k", "n", 1_000_000) == []
+
+
 def test_components_of_hubs_and_chains(spark):
     links = [(0, i) for i in range(1, 300)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5001), (5001, 5000), (7, 7)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(links, "a long, b long")).collect()))
@@ -506,6 +514,24 @@ def test_scores_of_giants_in_pieces(monkeypatch):
     assert np.allclose(quality.document_scores(chain, texts), whole)
 
 
+def test_training_holds_features_alone(monkeypatch):
+    """The driver holds features of all lines of the sample, but words and code points of a part of it; the parts make no difference."""
+    rng = np.random.default_rng(8)
+    words = ["alpha", "beta!!", "Gamma", "42", "delta,", "", "\n"]
+    texts = [" ".join(rng.choice(words, 4000)) for _ in range(200)] + ["", "\n\n"]
+    labels = [i % 2 for i in range(len(texts))]
+    monkeypatch.setattr(quality, "STEPS", 2)
+    whole = quality.line_features(texts)
+    tracemalloc.start()
+    quality.fit(texts, labels)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 2.5 * whole[0].nbytes
+    for most in (10, 50_000, 1 << 30):
+        monkeypatch.setattr(quality, "MOST_CHARS", most)
+        assert all(np.array_equal(a, b) for a, b in zip(quality.sample_features(texts), whole, strict=True))
+
+
 def test_pivots_keep_only_what_is_apart_apart():
     rng = np.random.default_rng(7)
     bags = [Counter(rng.integers(0, 40, int(rng.integers(5, 60))).tolist()) for _ in range(30)]
