@@ -171,11 +171,12 @@ class Segments:
         numbers = self.part("bodies", BODIES).select("segment", "no", "gid").join(gids.distinct().select("gid.segment", "gid.no"), ["segment", "no"], "left_semi")
         return docs.join(numbers.select("gid").distinct(), "gid", "left_semi")
 
-    def grep(self, pattern: str, mode: str = "literal", fresh: DataFrame | None = None, limit: int = 50, per_file: int = content.PER_FILE) -> DataFrame:
-        """path, line, text, col, fresh of the first limit matching files.
+    def grep(self, pattern: str, mode: str = "literal", fresh: DataFrame | None = None, limit: int | None = 50, per_file: int = content.PER_FILE, unheld: DataFrame | None = None) -> DataFrame:
+        """path, line, text, col, fresh of the first limit matching files; of all if it is None.
 
         Files that changed since the last sync (fresh: path, mtime, body) are read as they are now and come first, newest first; the others
-        go by rank, then newest, then path.
+        go by rank, then newest, then path. Files that are recorded without a body, as they don't look like text, are left out unless unheld
+        (path, mtime, body) has them as they are.
         """
         regex = content.java_regex(pattern, mode)
         found = self.candidates(pattern, mode)
@@ -184,12 +185,19 @@ class Segments:
         # Those that can't match are out before any is shuffled.
         bodies = self.part("bodies", BODIES).select("gid", "body").filter(F.col("body").rlike("(?m)" + regex)).dropDuplicates(["gid"])
         docs = found.join(bodies, "gid").select("path", "mtime", "body", F.lit(False).alias("fresh"))
+        if unheld is not None:
+            bare = self.docs().filter("gid IS NULL").select("path")
+            bare = bare if fresh is None else bare.join(fresh, "path", "left_anti")
+            likely = unheld.filter(F.col("body").rlike("(?m)" + regex))
+            docs = docs.unionByName(likely.join(bare, "path", "left_semi").select("path", "mtime", "body", F.lit(False).alias("fresh")))
         if fresh is not None:
             docs = docs.unionByName(fresh.select("path", "mtime", "body", F.lit(True).alias("fresh")))
         lines = content.grep(docs, regex, per_file)
         files = docs.select("path", "mtime", "fresh").join(lines.select("path").distinct(), "path", "left_semi")
         rank = F.when(F.col("fresh"), 0).otherwise(content.doc_rank(F.col("path")))
         order = [F.desc("fresh"), F.desc("rank"), F.desc("mtime"), F.asc("path")]
-        page = files.withColumn("rank", rank).orderBy(*order).limit(limit)
+        page = files.withColumn("rank", rank)
+        if limit is not None:
+            page = page.orderBy(*order).limit(limit)
         return lines.join(page, "path").orderBy(*order, "line").select("path", "line", "text", "col", "fresh")
 

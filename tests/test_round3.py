@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from siftlake.operators import bits, live
+from siftlake.operators import bits, content, enrich, live, names
 from siftlake.sources.segments import Segments
 
 
@@ -42,3 +42,61 @@ def test_files_of_unknown_size_are_synced(spark):
     wanted = spark.createDataFrame([("/new", None, 1), ("/same", None, 1), ("/other", None, 2)], schema)
     held = spark.createDataFrame([("/same", None, 1), ("/other", None, 1), ("/gone", None, 1)], schema)
     assert {r.path: r.op for r in live.sync_diff(wanted, held).collect()} == {"/new": "reindex", "/same": "keep", "/other": "reindex", "/gone": "drop"}
+
+
+def test_grep_reads_files_without_a_held_body(spark, tmp_path):
+    long = "Apache " * 900
+    rows = [("/long", len(long), 1, long), ("/short", 6, 2, "Apache"), ("/nul", 8, 3, "Apache\0b"), ("/now", 2, 4, "ab")]
+    docs = spark.createDataFrame(rows, "path string, size long, mtime long, body string")
+    index = Segments(spark, f"file://{tmp_path}/index")
+    index.sync(docs)
+    assert [r.path for r in index.grep("Apache", limit=None).collect()] == ["/short"]
+    fresh = docs.filter("path IN ('/now', '/nul')").withColumn("body", F.lit("Apache"))
+    got = index.grep("Apache", fresh=fresh, limit=None, per_file=1, unheld=docs).collect()
+    assert {(r.path, r.fresh) for r in got} == {("/long", False), ("/short", False), ("/nul", True), ("/now", True)}
+
+
+def test_postings_of_some_keys(spark):
+    rows = [("/a", "GNU General"), ("/b", "GNU General"), ("/c", "the gnu"), ("/d", None), ("/e", ""), ("/f", "\u017fu\u212aX Gene")]
+    docs = spark.createDataFrame(rows, "path string, body string")
+    keys = ["gnu", "nu ", "gen", "suk", "ene", "zzz"]
+    whole = content.trigrams(content.contents(docs.filter("body IS NOT NULL"))).filter(F.col("key").isin(keys))
+    some = content.postings_of(docs, keys)
+    assert sorted((r.gid, r.key) for r in some.collect()) == sorted((r.gid, r.key) for r in whole.collect())
+    assert "regexp_extract_all" not in some._jdf.queryExecution().toString()
+
+
+def exploded(df):
+    """Whether a plan explodes the folders above every path, not above every folder."""
+    return "slice(split(path" in df._jdf.queryExecution().toString()
+
+
+def test_status_cuts_folders_and_not_paths(spark):
+    paths = spark.createDataFrame([("/a/b/c.rs",), ("/a/b/d.rs",), ("/a/e.rs",), ("/f.rs",), ("/a/b",)], "path string")
+    listed = spark.createDataFrame([("/a", 32, True), ("/a/b", 64, True), ("/a/b/d.rs", 1, False), ("/a/e.rs/x", 2, False)], "listed string, bits int, is_dir boolean")
+    got = enrich.status_of(paths, listed)
+    assert {r.path: r.bits for r in got.collect()} == {"/a/b/c.rs": 64, "/a/b/d.rs": 1, "/a/e.rs": 32, "/f.rs": 0, "/a/b": 64} and not exploded(got)
+
+
+def test_listed_state_cuts_folders_and_not_paths(spark):
+    paths = spark.createDataFrame([("/a/b/c.rs",), ("/a/b/d.rs",), ("/a/e.rs",), ("/a/b",), ("/g/h.rs",)], "path string")
+    listed = spark.createDataFrame([("/a/b", 32, True), ("/a/b/d.rs", 1, False), ("/g/h.rs", 32, False)], "listed string, bits int, is_dir boolean")
+    got = enrich.listed_with(listed, "untracked", paths)
+    assert sorted(r.path for r in got.collect()) == ["/a/b", "/a/b/c.rs", "/g/h.rs"] and not exploded(got)
+
+
+def test_subtrees_cut_folders_and_not_paths(spark):
+    entries = spark.createDataFrame([("/a",), ("/a/b",), ("/a/b/c",), ("/ab",), ("/d/e",)], "path string")
+    got = live.with_subtrees(entries.filter("path = '/a/b' OR path = '/d/e'"), entries)
+    assert sorted(r.path for r in got.collect()) == ["/a/b", "/a/b/c", "/d/e"] and not exploded(got)
+
+
+def test_words_are_cut_where_edits_end():
+    rng = random.Random(9)
+    for _ in range(4000):
+        text = "".join(rng.choice("abc1") for _ in range(rng.randint(5, 8)))
+        word = "".join(rng.choice("abc1") for _ in range(rng.randint(0, 14)))
+        assert names.fewest_edits(word, text, 2) == names.fewest_edits(word[: len(text) + 2], text, 2)
+    names.fewest_edits.cache_clear()
+    assert {names.deep_score(f"customer#{i:09d}.vcf", "ucstomer", 2) for i in range(500)} == {names.deep_score("customer#000000000.vcf", "ucstomer", 2)}
+    assert names.fewest_edits.cache_info().currsize < 20
