@@ -136,6 +136,17 @@ def trigrams(bodies: DataFrame, by: str = "gid") -> DataFrame:
     return bodies.select(by, F.explode(F.array_union(keys, last)).alias("key"))
 
 
+def postings_of(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """key, gid: what trigrams(contents(docs)) has of some three-character keys, without making all others.
+
+    Each of them is looked for in each body, which is folded once; no body is shuffled.
+    """
+    low = F.translate("body", UPPER + "\u017f\u212a", LOWER + "sk")
+    wanted = F.array(*[F.lit(k) for k in keys])
+    held = F.transform(F.array(low), lambda text: F.filter(wanted, lambda k: F.contains(text, k)))[0]
+    return docs.select(F.sha2("body", 256).alias("gid"), held.alias("keys")).select("gid", F.explode("keys").alias("key")).distinct()
+
+
 def joined(letters: Column) -> Column:
     """The distinct runs of three letters."""
     n = F.greatest(F.size(letters) - 2, F.lit(0))
