@@ -80,13 +80,23 @@ def nearness(path: Column, near: str) -> Column:
 def status_of(paths: DataFrame, listed: DataFrame) -> DataFrame:
     """path, bits: a file's own, else those of the deepest listed folder above it, else 0.
 
-    Ancestors are exploded and joined by equality, so no pair of path and prefix is ever tried.
+    Folders are few beside files: each distinct one is cut into those above it, which are joined by equality, so no pair of path and
+    prefix is ever tried.
     """
-    parts = F.split("path", "/")
-    above = paths.select("path", F.explode(F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("listed"))
-    hits = above.join(listed, "listed").filter(F.col("is_dir") | (F.col("listed") == F.col("path")))
-    best = hits.groupBy("path").agg(F.max_by("bits", F.length("listed")).alias("bits"))
-    return paths.join(best, "path", "left").select("path", F.coalesce("bits", F.lit(0)).alias("bits"))
+    parent = F.regexp_replace("path", "/[^/]*$", "")
+    own = listed.groupBy(F.col("listed").alias("path")).agg(F.first("bits").alias("own"))
+    folders = paths.select(parent.alias("parent")).distinct()
+    hits = with_above(folders, "parent", "listed").join(listed.filter("is_dir"), "listed")
+    best = hits.groupBy("parent").agg(F.max_by("bits", F.length("listed")).alias("inherited"))
+    found = paths.join(own, "path", "left").withColumn("parent", parent).join(best, "parent", "left")
+    return found.select("path", F.coalesce("own", "inherited", F.lit(0)).alias("bits"))
+
+
+def with_above(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """rows once for each folder at or above that of a column, as name."""
+    parts = F.split(column, "/")
+    own = rows.filter(F.size(parts) >= 2)
+    return own.withColumn(name, F.explode(F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))))
 
 
 def status_in_repositories(paths: DataFrame, repos: DataFrame, listed: DataFrame) -> DataFrame:
@@ -106,9 +116,12 @@ def listed_with(listed: DataFrame, selector: str, entries: DataFrame) -> DataFra
         raise ValueError(f"not a listed state: {selector}")
     hits = listed.filter(selected(F.col("bits"), selector))
     files = entries.join(hits.filter("NOT is_dir").select(F.col("listed").alias("path")), "path", "left_semi")
-    parts = F.split("path", "/")
-    above = entries.withColumn("above", F.explode(F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))))
-    below = above.join(hits.filter("is_dir").select(F.col("listed").alias("above")), "above", "left_semi").select(*entries.columns)
+    whole = hits.filter("is_dir").select("listed")
+    parent = F.regexp_replace("path", "/[^/]*$", "")
+    inside = with_above(entries.select(parent.alias("parent")).distinct(), "parent", "listed").join(whole, "listed", "left_semi").select("parent").distinct()
+    # In such a folder, or such a folder itself.
+    within = entries.withColumn("_in", parent).join(inside.withColumnRenamed("parent", "_in"), "_in", "left_semi").select(*entries.columns)
+    below = within.unionByName(entries.join(whole.select(F.col("listed").alias("path")), "path", "left_semi"))
     # A file that is listed itself has its own state, whatever its folder's.
     own = listed.filter("NOT is_dir").select(F.col("listed").alias("path"))
     return files.unionByName(below.join(own, "path", "left_anti")).dropDuplicates(["path"])
