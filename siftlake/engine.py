@@ -61,6 +61,11 @@ class Engine:
 
     def ranked(self, q: Query, offset: int) -> DataFrame:
         found = self.entries
+        if q.git or q.grep:
+            # What the query's other filters leave out needs no status and no text.
+            found = found.filter(names.predicate(q))
+            if len(own := [t for t in q.tokens if not t.negate]) == 1:
+                found = found.filter(names.holds(F.col("name"), own[0])) if own[0].mode in ("prefix", "suffix", "exact") else found
         if q.git:
             found = self.with_status(found, q.git)
         if q.grep:

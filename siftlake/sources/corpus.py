@@ -68,9 +68,11 @@ def with_names(df: DataFrame) -> DataFrame:
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, parent, name, kind (0 file, 1 folder), size, mtime: all files and every folder above one."""
     own = files(spark, sf_dir)
-    parts = F.split("path", "/")
-    above = F.explode(F.transform(F.sequence(F.lit(2), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/")))
-    folders = own.select(above.alias("path"), "mtime").groupBy("path").agg(F.max("mtime").alias("mtime"))
+    # Folders are few beside files: each is cut into those above it once.
+    held = own.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).agg(F.max("mtime").alias("mtime")).filter("folder <> ''")
+    parts = F.split("folder", "/")
+    above = F.explode(F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/")))
+    folders = held.select(above.alias("path"), "mtime").groupBy("path").agg(F.max("mtime").alias("mtime"))
     folders = folders.select("path", F.lit(0).cast("bigint").alias("size"), "mtime", F.lit(1).alias("kind"))
     return with_names(own.withColumn("kind", F.lit(0)).unionByName(folders)).select("path", "parent", "name", "kind", "size", "mtime")
 
