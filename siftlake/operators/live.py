@@ -16,11 +16,13 @@ def live_view(base: DataFrame, dead: DataFrame, delta: DataFrame) -> DataFrame:
 
 
 def with_subtrees(gone: DataFrame, entries: DataFrame) -> DataFrame:
-    """path of the gone paths and of all entries below them; folders above are exploded and joined by equality."""
-    parts = F.split("path", "/")
-    above = entries.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("above"))
-    below = above.join(gone.select(F.col("path").alias("above")), "above", "left_semi").select("path")
-    return below.union(gone.select("path")).distinct()
+    """path of the gone paths and of all entries below them; the folders above each distinct folder are exploded and joined by equality."""
+    held = entries.select("path", F.regexp_replace("path", "/[^/]*$", "").alias("parent"))
+    folders = held.select("parent").distinct()
+    parts = F.split("parent", "/")
+    above = folders.select("parent", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("above"))
+    lost = above.join(gone.select(F.col("path").alias("above")), "above", "left_semi").select("parent").distinct()
+    return held.join(lost, "parent", "left_semi").select("path").union(gone.select("path")).distinct()
 
 
 def changed_since(entries: DataFrame, since: int, synced: int | None = None) -> DataFrame:
