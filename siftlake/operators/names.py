@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import replace
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -295,7 +295,7 @@ def deep_score(name: str, text: str, most: int, cost: int = 60) -> int | None:
         return None
     low = name[:63].translate({c: c + 32 for c in range(65, 91)})
     starts = [int(len(name) > 1 and name[0] == ".")] + [i + 1 for i, c in enumerate(low) if c == " "]
-    found = [(got[0], s, got[1]) for s in starts if (got := fewest_edits(low[s:], text, most))]
+    found = [(got[0], s, got[1]) for s in starts if (got := fewest_edits(low[s : s + len(text) + most], text, most))]
     if not found:
         return None
     edits, start, length = min(found)
@@ -303,10 +303,12 @@ def deep_score(name: str, text: str, most: int, cost: int = 60) -> int | None:
     return None if part is None else part - cost * edits
 
 
+@lru_cache(1 << 16)
 def fewest_edits(word: str, text: str, most: int) -> tuple[int, int] | None:
     """(edits, length) of the prefix of word nearest to text: letters may be wrong, extra, missing or swapped, digits never.
 
-    One row of costs for each letter of text, over prefixes of word; swaps look two rows back.
+    One row of costs for each letter of text, over prefixes of word; swaps look two rows back. A prefix longer than text by more than most
+    has too many edits, so callers cut words there, and those that start alike are looked at once.
     """
     far = most + 1
     before: list[int] = []
